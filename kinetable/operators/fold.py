@@ -80,8 +80,8 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         head = pdf.iloc[0]
-        given = head["_in"] if "_in" in pdf.columns else None
-        state = fold.start() if given is None else json.loads(given)
+        fresh = "_in" not in pdf.columns or pd.isna(head["_in"])
+        state = fold.start() if fresh else json.loads(head["_in"])
         state, out = _run(fold, pdf, state, True)
         if "_last" not in pdf.columns or head["_last"]:
             out.extend(fold.finish(state))
@@ -112,7 +112,7 @@ def _settle(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         head = pdf.iloc[0]
-        before = fold.start() if head["_in"] is None else json.loads(head["_in"])
+        before = fold.start() if pd.isna(head["_in"]) else json.loads(head["_in"])
         after, _ = _run(fold, pdf, before, False)
         return pd.DataFrame(
             [[*(head[c] for c in part), json.dumps(before), json.dumps(fold.token(before)), json.dumps(after), json.dumps(fold.token(after))]],
