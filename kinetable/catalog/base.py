@@ -36,9 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SHOT_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 SHOT_METRICS = (
     Metric("quantity", "Quantity", "units", "l_quantity"),
-    Metric("unit_price", "Unit price", "money", "l_extendedprice / l_quantity"),
-    Metric("discount_amount", "Discount amount", "money", "l_extendedprice * l_discount / l_quantity"),
-    Metric("tax_amount", "Tax amount", "money", "CASE WHEN l_tax > 0 THEN l_extendedprice * l_tax / l_quantity END"),
+    Metric("unit_price_root", "Unit price root", "money", "sqrt(l_extendedprice / l_quantity)"),
+    Metric("discount_root", "Discount root", "money", "sqrt(l_extendedprice * l_discount)"),
+    Metric("tax_root", "Tax root", "money", "CASE WHEN l_tax > 0 THEN sqrt(l_extendedprice * l_tax) END"),
 )
 _SHOT_COLUMNS = """
     CASE l_returnflag WHEN 'A' THEN 'made' WHEN 'R' THEN 'missed' ELSE 'unknown' END AS outcome,
@@ -76,9 +76,9 @@ def shots_sql(sid: str = "l_orderkey") -> str:
 METRICS_SQL = """metric_rows AS (
   SELECT *, unnest([
     {pos: 0, key: 'quantity', label: 'Quantity', unit: 'units', value: l_quantity},
-    {pos: 1, key: 'unit_price', label: 'Unit price', unit: 'money', value: l_extendedprice / l_quantity},
-    {pos: 2, key: 'discount_amount', label: 'Discount amount', unit: 'money', value: l_extendedprice * l_discount / l_quantity},
-    {pos: 3, key: 'tax_amount', label: 'Tax amount', unit: 'money', value: CASE WHEN l_tax > 0 THEN l_extendedprice * l_tax / l_quantity END}
+    {pos: 1, key: 'unit_price_root', label: 'Unit price root', unit: 'money', value: sqrt(l_extendedprice / l_quantity)},
+    {pos: 2, key: 'discount_root', label: 'Discount root', unit: 'money', value: sqrt(l_extendedprice * l_discount)},
+    {pos: 3, key: 'tax_root', label: 'Tax root', unit: 'money', value: CASE WHEN l_tax > 0 THEN sqrt(l_extendedprice * l_tax) END}
   ]) AS m FROM shots)"""
 
 
