@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates",)
+MODULES = ("aggregates", "outcomes")
 
 
 def registered():

@@ -66,7 +66,7 @@ def _split(columns: str) -> list[str]:
 
 def shot_series() -> Series:
     """Attempts of a session by date; blocks are months, so a hot session spreads over them."""
-    return Series(["sid"], SHOT_ORDER, F.months_between(F.trunc("l_shipdate", "month"), F.lit("1995-01-01")).cast("long"))
+    return Series(["sid"], SHOT_ORDER, "year(l_shipdate) * 12 + month(l_shipdate)")
 
 
 def shots_sql(sid: str = "l_orderkey") -> str:
@@ -84,7 +84,7 @@ METRICS_SQL = """metric_rows AS (
 
 # ------------------------------------------------------------ frame series (events)
 
-EVENT_SERIES = Series(["user_id"], ["ts", "event_id"], F.unix_date(F.to_date("ts")).cast("long"))
+EVENT_SERIES = Series(["user_id"], ["ts", "event_id"], "unix_date(to_date(ts))")
 _SOURCE = """CASE event_type WHEN 'view' THEN 'detected' WHEN 'purchase' THEN 'detected' WHEN 'click' THEN 'interpolated'
     WHEN 'signup' THEN 'predicted' ELSE 'unavailable' END"""
 
@@ -152,7 +152,7 @@ JOINTS = (
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-number vectors as thirteen joints of (x, y, z, visibility); one session per label."""
     emb = table(spark, sf_dir, "embeddings")
-    series = Series(["label"], ["vec_id"], F.floor(F.col("vec_id") / 4096))
+    series = Series(["label"], ["vec_id"], "floor(vec_id / 4096)")
     placed = positions(emb, series, "pos")
 
     def joint(i: int) -> Column:

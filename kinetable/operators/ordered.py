@@ -26,16 +26,19 @@ HALO_ROWS = 4096
 
 
 class Series:
-    """Rows of each key in a total order; ``block`` must not decrease along that order."""
+    """Rows of each key in a total order.
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], block: Column | None = None):
+    ``block`` is SQL text for the block number; it must not decrease along the order.
+    """
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str], block: str | None = None):
         self.keys = list(keys)
         self.order = list(order)
         self.block = block
 
     @classmethod
     def frames(cls, keys: Sequence[str], order: str = "frame_index", size: int = HALO_ROWS) -> Series:
-        return cls(keys, [order], F.floor(F.col(order) / F.lit(size)))
+        return cls(keys, [order], f"floor({order} / {size})")
 
 
 @dataclass(frozen=True)
@@ -164,7 +167,7 @@ def scan(df: DataFrame, series: Series, **specs: Spec) -> DataFrame:
     keys, order = series.keys, series.order
     if series.block is None:
         return df.select("*", *[_merge(s, _local(s, keys, order), None).alias(n) for n, s in specs.items()])
-    rows = df.withColumn(BLOCK, series.block)
+    rows = df.withColumn(BLOCK, F.expr(series.block))
     part = [*keys, BLOCK]
     border = rows.groupBy(*part).agg(*[_summary(s, order).alias(f"_c_{n}") for n, s in specs.items()])
     border = border.select(*part, *[_carried(s, f"_c_{n}", keys).alias(f"_c_{n}") for n, s in specs.items()])
