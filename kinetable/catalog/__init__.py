@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "outcomes")
+MODULES = ("aggregates", "outcomes", "windows")
 
 
 def registered():

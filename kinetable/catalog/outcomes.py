@@ -179,9 +179,9 @@ def speed_near_rim(spark, sf):
     return crossing_pairs(rows, KEYS).select(*KEYS, c("a.f").alias("a_frame"), c("b.f").alias("b_frame"), F.round(speed, 4).alias("speed_mps"))
 
 
-@query("FN09", FLIGHT_SQL + """SELECT sid, shot_index, CASE WHEN ef IS NOT NULL THEN round(least(1.0, (0.30 + 0.30 * (1 - (et - lt) / (0.75 + 1e-6)) + 0.20 * least(1.0, n_approach / 2.0) + 0.20 * least(1.0, 0.08 * n_approach)) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 8) END AS deflect_conf,
-  round((least(1.0, 0.5 + 0.05 * n_beside) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 8) AS beside_conf,
-  round((least(1.0, 0.4 + 0.05 * n_far) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 8) AS far_conf FROM ev WHERE n_reliable > 0""")
+@query("FN09", FLIGHT_SQL + """SELECT sid, shot_index, CASE WHEN ef IS NOT NULL THEN round(least(1.0, (0.30 + 0.30 * (1 - (et - lt) / (0.75 + 1e-6)) + 0.20 * least(1.0, n_approach / 2.0) + 0.20 * least(1.0, 0.08 * n_approach)) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 11) END AS deflect_conf,
+  round((least(1.0, 0.5 + 0.05 * n_beside) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 11) AS beside_conf,
+  round((least(1.0, 0.4 + 0.05 * n_far) * (0.5 + 0.5 * hc) * (0.5 + 0.5 * stab))::DOUBLE, 11) AS far_conf FROM ev WHERE n_reliable > 0""")
 def miss_confidences(spark, sf):
     from kinetable.operators.flight import attempt_evidence
 
@@ -190,9 +190,9 @@ def miss_confidences(spark, sf):
     dt = c("escape.t") - c("last_approach.t")
     deflect = F.when(dt.isNotNull(), rim.deflect_conf(dt, c("n_approach"), c("hoop_conf"), c("stability")))
     return e.select(
-        *KEYS, F.round(deflect, 8).alias("deflect_conf"),
-        F.round(rim.beside_conf(c("n_beside"), c("hoop_conf"), c("stability")), 8).alias("beside_conf"),
-        F.round(rim.far_conf(c("n_far"), c("hoop_conf"), c("stability")), 8).alias("far_conf"),
+        *KEYS, F.round(deflect, 11).alias("deflect_conf"),
+        F.round(rim.beside_conf(c("n_beside"), c("hoop_conf"), c("stability")), 11).alias("beside_conf"),
+        F.round(rim.far_conf(c("n_far"), c("hoop_conf"), c("stability")), 11).alias("far_conf"),
     )
 
 

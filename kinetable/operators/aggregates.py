@@ -1,14 +1,257 @@
-"""Grouped aggregates with the tie and empty-group rules of the domain."""
+"""Grouped aggregates with the tie, rounding and empty-group rules of the domain."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kinetable.functions.scores import RELIABLE_SOURCES, SOURCES
+from kinetable.operators.fold import Fold, keyed_fold
+from kinetable.operators.joins import interval_join
+from kinetable.operators.ordered import Series, next_row, prev_row, running_sum, scan, total
+from kinetable.params import DEFAULTS, VoteParams
+
+c = F.col
+
+# Fixed value: the joints whose mean visibility is the pose confidence.
+CORE_JOINTS = tuple(f"{side}_{part}" for part in ("shoulder", "elbow", "wrist", "hip", "knee") for side in ("left", "right"))
 
 
 def arg_min(df: DataFrame, keys: Sequence[str], by: str, ties: Sequence[str], keep: Mapping[str, str]) -> DataFrame:
     """Columns of the row with the smallest ``by``; ``ties`` make the choice total."""
-    picked = F.min_by(F.struct(*[F.col(s).alias(d) for s, d in keep.items()]), F.struct(by, *ties))
+    picked = F.min_by(F.struct(*[c(s).alias(d) for s, d in keep.items()]), F.struct(by, *ties))
     return df.groupBy(*keys).agg(picked.alias("_r")).select(*keys, "_r.*")
+
+
+def provenance_counts(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    good = F.count_if(c("source").isin(*RELIABLE_SOURCES))
+    return points.groupBy(*keys).agg(
+        *[F.count_if(c("source") == s).alias(f"num_{s}") for s in SOURCES],
+        F.round(good / F.count(F.lit(1)), 3).alias("quality"),
+    )
+
+
+def provenance_mix(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of each source; the window runs over at most four rows per key."""
+    n = points.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("n"))
+    share = c("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy(*keys))
+    return n.withColumn("pct", F.round(share, 4))
+
+
+def track_quality(points: DataFrame, windows: DataFrame, keys: Sequence[str], window_id: str, at: str, lo: str, hi: str) -> DataFrame:
+    """Reliable share of each window's points; 0.0 for windows without points."""
+    inside = interval_join(points, windows, keys, at, lo, hi)
+    q = inside.groupBy(*keys, window_id).agg(F.avg(F.when(c("source").isin(*RELIABLE_SOURCES), 1.0).otherwise(0.0)).alias("q"))
+    return windows.select(*keys, window_id).join(q, [*keys, window_id], "left").select(*keys, window_id, F.coalesce("q", F.lit(0.0)).alias("track_quality"))
+
+
+def pose_confidence() -> Column:
+    """Mean visibility of the core joints."""
+    return sum((c(f"joints.{j}.visibility") for j in CORE_JOINTS), F.lit(0.0)) / F.lit(float(len(CORE_JOINTS)))
+
+
+def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank: Column, block: str, name: str) -> DataFrame:
+    """The value at zero-based ``rank`` (an expression over ``n``) of each key's sorted values.
+
+    Equal values are counted first; counts are then prefix-summed over value blocks, so a
+    huge group is never sorted in one task.
+    """
+    counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    rows = scan(counts, Series(keys, [value], block), _cum=running_sum(c("_k")), n=total(c("_k")))
+    hit = (c("_cum") > rank) & (c("_cum") - c("_k") <= rank)
+    return rows.filter(hit).select(*keys, c(value).alias(name), "n")
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "upper_median") -> DataFrame:
+    return ranked_value(df, keys, value, F.floor(c("n") / 2), block, name)
+
+
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, block: str, q: float = 0.95, name: str = "p95") -> DataFrame:
+    """Nearest-rank quantile; the rank is rounded half to even."""
+    rank = F.least(c("n") - 1, F.bround(F.lit(q) * (c("n") - 1), 0))
+    return ranked_value(df, keys, value, rank, block, name)
+
+
+def weighted_side(samples: DataFrame, keys: Sequence[str], floor: float = DEFAULTS.detection.landmark_floor) -> DataFrame:
+    """Nearer side by visibility-weighted mean distance; null when neither side was seen."""
+
+    def mean(side: str) -> Column:
+        ok = c(f"{side}_vis") >= floor
+        weight = F.sum(F.when(ok, c(f"{side}_vis")))
+        return F.when(weight > 0, F.sum(F.when(ok, c(f"{side}_dist") * c(f"{side}_vis"))) / weight)
+
+    agg = samples.groupBy(*keys).agg(mean("left").alias("left_mean"), mean("right").alias("right_mean"))
+    side = (
+        F.when(c("left_mean").isNull() & c("right_mean").isNull(), None)
+        .when(c("left_mean").isNull(), "right")
+        .when(c("right_mean").isNull() | (c("left_mean") < c("right_mean")), "left")
+        .otherwise("right")
+    )
+    return agg.withColumn("shooting_side", side)
+
+
+def coverage(dets: DataFrame, keys: Sequence[str], frame: str, total_frames: Column) -> DataFrame:
+    """Share of frames with a detection and the mean of the per-frame best confidence."""
+    per = dets.groupBy(*keys, frame).agg(F.max("confidence").alias("best"))
+    return per.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames_with_detection"),
+        F.round(F.count(F.lit(1)) / total_frames, 4).alias("coverage"),
+        F.round(F.avg("best"), 4).alias("mean_best_confidence"),
+    )
+
+
+def detector_report(dets: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
+    per = dets.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"))
+    multi = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_with_detection"), F.count_if(c("n") > 1).alias("frames_with_multiple_candidates"))
+    conf = dets.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.round(F.median("confidence"), 4).alias("median_confidence"))
+    return multi.join(conf, list(keys))
+
+
+def window_coverage(dets: DataFrame, windows: DataFrame, keys: Sequence[str], window_id: str, frame: str, lo: str, hi: str) -> DataFrame:
+    """Coverage of the flight, of its last 30 percent, and of the release frame +-2."""
+    seen = dets.select(*keys, frame).distinct()
+    reach = windows.withColumns({"_from": F.greatest(F.lit(0), c(lo) - 2), "_to": F.greatest(c(hi), c(lo) + 2)})
+    inside = interval_join(seen, reach, keys, frame, "_from", "_to")
+    near = c(lo) + F.floor(F.lit(0.7) * (c(hi) - c(lo) + 1))
+    at = c(frame)
+    n = inside.groupBy(*keys, window_id).agg(
+        F.count_if(at.between(c(lo), c(hi))).alias("flight"),
+        F.count_if(at.between(near, c(hi))).alias("near"),
+        F.count_if(at <= c(lo) + 2).alias("release"),
+    )
+    out = windows.join(n, [*keys, window_id], "left")
+    frac = lambda k, size: F.round(F.coalesce(k, F.lit(0)) / F.nullif(size, F.lit(0)), 4)
+    return out.select(
+        *keys, window_id, frac(c("flight"), c(hi) - c(lo) + 1).alias("flight_coverage"), frac(c("near"), c(hi) - near + 1).alias("near_rim_coverage"),
+        F.coalesce("release", F.lit(0)).cast("long").alias("release_frames_seen"),
+    )
+
+
+def longest_gap(dets: DataFrame, windows: DataFrame, keys: Sequence[str], window_id: str, frame: str, lo: str, hi: str) -> DataFrame:
+    """Longest run of frames without a detection in each window; no frame spine is built."""
+    seen = dets.select(*keys, frame).distinct()
+    inside = interval_join(seen, windows, keys, frame, lo, hi)
+    rows = scan(inside, Series([*keys, window_id], [frame], f"floor({frame} / 4096)"), _p=prev_row(c(frame)), _n=next_row(c(frame)))
+    before = c(frame) - F.coalesce(c("_p"), c(lo) - 1) - 1
+    after = F.when(c("_n").isNull(), c(hi) - c(frame)).otherwise(0)
+    gaps = rows.groupBy(*keys, window_id).agg(F.max(F.greatest(before, after)).alias("gap"))
+    return windows.join(gaps, [*keys, window_id], "left").select(
+        *keys, window_id, F.coalesce(c("gap"), c(hi) - c(lo) + 1).cast("long").alias("longest_gap")
+    )
+
+
+def positional_stability(cands: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean population deviation of x and y of the candidates within two radii of the target."""
+    near = cands.join(target, list(keys)).filter(F.hypot(c("x") - c("target_x"), c("y") - c("target_y")) < c("target_r") * 2)
+    agg = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"))
+    return agg.filter("n_points >= 2").select(*keys, "n_points", F.round((c("_sx") + c("_sy")) / 2, 4).alias("stability_px"))
+
+
+def best_per_frame(cands: DataFrame, keys: Sequence[str], frame: str, order: str) -> DataFrame:
+    """Highest confidence per frame, first in input order on ties."""
+    rest = [n for n in cands.columns if n not in (*keys, frame)]
+    pick = F.min_by(F.struct(*rest), F.struct((-c("confidence")).alias("a"), c(order).alias("b")))
+    return cands.groupBy(*keys, frame).agg(pick.alias("_r")).select(*keys, frame, "_r.*")
+
+
+class ClusterFold(Fold):
+    """Order-dependent greedy clusters around running centroids; emits the cluster of each row."""
+
+    forgets = False
+
+    def __init__(self, order: Sequence[T.StructField], radius: float):
+        self.columns = [*[f.name for f in order], "x", "y"]
+        self.radius = radius
+        self.schema = T.StructType([*order, T.StructField("cluster", T.LongType())])
+
+    def start(self):
+        return []
+
+    def step(self, state, row):
+        *ids, x, y = row
+        for i, (n, sx, sy) in enumerate(state):
+            if ((x - sx / n) ** 2 + (y - sy / n) ** 2) ** 0.5 <= self.radius:
+                state[i] = [n + 1, sx + x, sy + y]
+                return state, [(*ids, i)]
+        state.append([1, x, y])
+        return state, [(*ids, len(state) - 1)]
+
+    def token(self, state):
+        return state
+
+
+def vote_location(cands: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, p: VoteParams = DEFAULTS.vote) -> DataFrame:
+    """Cluster candidates, keep the best per cluster and frame, and let frames vote."""
+    fold = ClusterFold([cands.schema[o] for o in order], p.radius_px)
+    tagged = cands.join(keyed_fold(cands, keys, order, block, fold), [*keys, *order])
+    best = best_per_frame(tagged, [*keys, "cluster"], order[0], order[-1])
+    clusters = best.groupBy(*keys, "cluster").agg(
+        F.avg("x").alias("rim_center_x"), F.avg("y").alias("rim_center_y"), F.avg("radius").alias("rim_radius_px"),
+        F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("_conf"),
+        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("method"),
+    )
+    rank = F.struct("votes", F.round("_conf", 12), -c("cluster"))
+    rest = ["rim_center_x", "rim_center_y", "rim_radius_px", "votes", "_conf", "method"]
+    top = clusters.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*keys, "_r.*")
+    agreement = F.least(F.lit(1.0), c("votes") / F.lit(float(max(p.full_votes, 1))))
+    return top.withColumn("confidence", F.round(F.lit(0.6) * agreement + F.lit(0.4) * c("_conf"), 3)).drop("_conf")
+
+
+def straightness(points: DataFrame, keys: Sequence[str], min_points: int = 3) -> DataFrame:
+    """Direct distance over path length of each (bounded) attempt's reliable points."""
+    good = points.filter(c("source").isin(*RELIABLE_SOURCES))
+    rows = scan(good, Series(keys, ["frame_index"]), _q=prev_row(F.struct("x", "y")))
+    agg = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.hypot(c("x") - c("_q.x"), c("y") - c("_q.y"))).alias("path"),
+        F.min_by(F.struct("x", "y"), "frame_index").alias("a"), F.max_by(F.struct("x", "y"), "frame_index").alias("b"),
+    )
+    direct = F.hypot(c("b.x") - c("a.x"), c("b.y") - c("a.y"))
+    ratio = F.when((c("n") >= min_points) & (c("path") >= 1e-9), direct / c("path"))
+    return agg.select(*keys, F.round(ratio, 3).alias("straightness_ratio"))
+
+
+def state_run_stats(runs: DataFrame, keys: Sequence[str], fps: float = 30.0, long_sec: float = 0.5) -> DataFrame:
+    """Durations of runs: min, max, upper median, mean, number of long runs."""
+    sec = c("length") / F.lit(fps)
+    rows = runs.withColumn("_s", sec)
+    agg = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"), F.round(F.min("_s"), 4).alias("min_sec"), F.round(F.max("_s"), 4).alias("max_sec"),
+        F.round(F.avg("_s"), 4).alias("mean_sec"), F.count_if(c("_s") > long_sec).alias("long_runs"),
+    )
+    med = upper_median(rows, keys, "length", "floor(length / 64)", "_m").select(*keys, F.round(c("_m") / F.lit(fps), 4).alias("median_sec"))
+    return agg.join(med, list(keys))
+
+
+def longest_runs(runs: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
+    """Top ``n`` runs by length (earlier first on ties) first within salts, then per key."""
+    salted = runs.withColumn("_s", F.pmod(F.hash("start"), F.lit(16)))
+    w = lambda part: Window.partitionBy(*part).orderBy(F.col("length").desc(), "start")
+    local = salted.withColumn("_r", F.row_number().over(w([*keys, "_s"]))).filter(c("_r") <= n)
+    return local.withColumn("rank", F.row_number().over(w(keys))).filter(c("rank") <= n).select(*keys, "start", "end", "length", "rank")
+
+
+def tier_counts(rows: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.count_if(c(tier) == t).alias(f"n_{t}") for t in ("high", "medium", "low")])
+
+
+def motion_summary(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary of relative motion per frame pair."""
+    clean = c("mask_available") & c("mask_source").isin("detected", "none")
+    return pairs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_frame_pairs"), F.count_if(c("relative_motion") > 1.0).alias("n_elevated_pairs"),
+        F.max("relative_motion").alias("max_relative_motion"), F.round(F.avg("relative_motion"), 4).alias("mean_relative_motion"),
+        F.count_if(clean).alias("n_fully_clean_pairs"),
+    )
+
+
+def evidence_window(shots: DataFrame, frames: DataFrame, keys: Sequence[str], pad: int = 12, fallback: int = 60) -> DataFrame:
+    """Frame range around all candidate frames of an attempt, clipped to the attempt."""
+    reach = frames.groupBy(*keys).agg(F.min("frame").alias("_lo"), F.max("frame").alias("_hi"))
+    rows = shots.join(reach, list(keys), "left")
+    lo = F.coalesce(c("_lo") - pad, c("start_frame"))
+    hi = F.coalesce(c("_hi") + pad, c("start_frame") + fallback)
+    return rows.select(*keys, F.greatest(lo, c("start_frame") - pad).alias("lo"), F.least(hi, c("end_frame")).alias("hi"))

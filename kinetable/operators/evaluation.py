@@ -9,9 +9,40 @@ from pyspark.sql import functions as F
 
 from kinetable.plans.registry import Metric, metric_rows
 
+c = F.col
+
 
 def completeness(shots: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
     """Filled cells over all cells of the metric registry."""
     rows = metric_rows(shots, list(keys), metrics)
     out = rows.groupBy(*keys).agg(F.count("value").alias("filled"), F.count(F.lit(1)).alias("cells"))
-    return out.withColumn("completeness", F.round(F.col("filled") / F.col("cells"), 4))
+    return out.withColumn("completeness", F.round(c("filled") / c("cells"), 4))
+
+
+def confusion(matched: DataFrame, truth: str, pred: str, labels: Sequence[str], unknown: str = "unknown") -> DataFrame:
+    """Confusion counts per truth label, with recall, committed accuracy and unknown share."""
+    return matched.groupBy(c(truth).alias("truth")).agg(
+        *[F.count_if(c(pred) == p).alias(f"pred_{p}") for p in labels],
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.count_if(c(pred) == c(truth)) / F.count(F.lit(1)), 4).alias("recall"),
+        F.round(F.try_divide(F.count_if(c(pred) == c(truth)), F.count_if(c(pred) != unknown)), 4).alias("committed_accuracy"),
+        F.round(F.count_if(c(pred) == unknown) / F.count(F.lit(1)), 4).alias("unknown_rate"),
+    )
+
+
+def timing_error(matched: DataFrame, keys: Sequence[str], delta: str = "delta") -> DataFrame:
+    return matched.groupBy(*keys).agg(
+        F.count(delta).alias("n"), F.round(F.avg(F.abs(delta)), 4).alias("mean_error"), F.round(F.max(F.abs(delta)), 4).alias("max_error")
+    )
+
+
+def regression_summary(shots: DataFrame, coaching: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One comparable row per session: counts, outcome counts and coaching keys."""
+    per = shots.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_shots"),
+        F.count_if(c("outcome") == "made").alias("made"), F.count_if(c("outcome") == "missed").alias("missed"),
+        F.count_if(c("outcome") == "unknown").alias("unknown"), F.count_if("excluded_from_analysis").alias("excluded"),
+        F.min_by("outcome", F.struct(*order)).alias("first_outcome"), F.max_by("outcome", F.struct(*order)).alias("last_outcome"),
+    )
+    told = coaching.select(*keys, "eligible", "confidence", "strength_key", "priority_key")
+    return per.join(told, list(keys), "left")
