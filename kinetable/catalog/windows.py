@@ -119,13 +119,13 @@ def upward_predicates(spark, sf):
     return s.select("sid", "frame_index", is_burst().alias("burst"), is_flight().alias("flight"))
 
 
-EMA_SQL = """RECURSIVE_EMA AS (SELECT sid, frame_index, x AS r FROM frames WHERE frame_index = 0
-  UNION ALL SELECT f.sid, f.frame_index, 0.7 * e.r + 0.3 * f.x FROM RECURSIVE_EMA e JOIN frames f ON f.sid = e.sid AND f.frame_index = e.frame_index + 1)"""
+EMA_SQL = """RECURSIVE_EMA AS (SELECT sid, frame_index, sqrt(x) AS r FROM frames WHERE frame_index = 0
+  UNION ALL SELECT f.sid, f.frame_index, 0.7 * e.r + 0.3 * sqrt(f.x) FROM RECURSIVE_EMA e JOIN frames f ON f.sid = e.sid AND f.frame_index = e.frame_index + 1)"""
 
 
 @query("WIN12", with_(FRAMES_SQL, EMA_SQL, recursive=True) + "SELECT sid, frame_index, round(r, 8) AS radius_ema FROM RECURSIVE_EMA")
 def ema(spark, sf):
-    rows = win.ema(frames(spark, sf), KEYS, ["frame_index"], "x", block(), name="radius_ema")
+    rows = win.ema(frames(spark, sf).withColumn("r", F.sqrt("x")), KEYS, ["frame_index"], "r", block(), name="radius_ema")
     return rows.select("sid", "frame_index", F.round("radius_ema", 8).alias("radius_ema"))
 
 

@@ -56,3 +56,18 @@ def welch_p(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Colu
 
 def straightness(direct: Column, path: Column, n: Column, min_points: int = 2) -> Column:
     return F.when((n >= min_points) & (path >= 1e-9), direct / path)
+
+
+def fit_line(t: Column, v: Column) -> tuple[Column, Column]:
+    """Least-squares slope and intercept as aggregates."""
+    return F.regr_slope(v, t), F.regr_intercept(v, t)
+
+
+def fit_parabola(t: Column, v: Column) -> Column:
+    """Leading coefficient of the least-squares parabola (normal equations)."""
+    n = F.count(F.when(t.isNotNull() & v.isNotNull(), 1))
+    s1, s2, s3, s4 = (F.sum(F.pow(t, F.lit(float(k)))) for k in (1, 2, 3, 4))
+    b0, b1, b2 = F.sum(v), F.sum(t * v), F.sum(t * t * v)
+    det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)
+    lead = b2 * (s2 * n - s1 * s1) - s3 * (b1 * n - s1 * b0) + s2 * (b1 * s1 - s2 * b0)
+    return F.when(F.abs(det) > 1e-12, lead / det)

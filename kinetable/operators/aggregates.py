@@ -220,7 +220,7 @@ def state_run_stats(runs: DataFrame, keys: Sequence[str], fps: float = 30.0, lon
     rows = runs.withColumn("_s", sec)
     agg = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"), F.round(F.min("_s"), 4).alias("min_sec"), F.round(F.max("_s"), 4).alias("max_sec"),
-        F.round(F.avg("_s"), 4).alias("mean_sec"), F.count_if(c("_s") > long_sec).alias("long_runs"),
+        F.round(F.avg("_s"), 9).alias("mean_sec"), F.count_if(c("_s") > long_sec).alias("long_runs"),
     )
     med = upper_median(rows, keys, "length", "floor(length / 64)", "_m").select(*keys, F.round(c("_m") / F.lit(fps), 4).alias("median_sec"))
     return agg.join(med, list(keys))

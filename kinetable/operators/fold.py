@@ -62,7 +62,7 @@ def _run(fold: Fold, pdf: pd.DataFrame, state, emit: bool):
     out = []
     columns = [pdf[c].tolist() for c in fold.columns]
     for row in zip(*columns):
-        state, produced = fold.step(state, tuple(None if v is None or v != v else v for v in row))
+        state, produced = fold.step(state, tuple(None if v.__class__ is float and v != v else v for v in row))
         if emit and produced:
             out.extend(produced)
     return state, out

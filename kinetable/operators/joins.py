@@ -132,3 +132,11 @@ def overlay_truth(shots: DataFrame, truth: DataFrame, on: Sequence[str], label:
 
 def foreign_key_orphans(child: DataFrame, parent: DataFrame, on: Sequence[str]) -> DataFrame:
     return child.join(parent.select(*on), list(on), "left_anti")
+
+
+def sessions_with_children(parent: DataFrame, child: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """Parents with their child counts; ``status`` tells orphans (no parent) and empty parents."""
+    per = child.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    both = parent.withColumn("_p", F.lit(1)).join(per, list(on), "full")
+    status = F.when(c("_p").isNull(), "orphan").when(c(name).isNull(), "empty").otherwise("ok")
+    return both.select(*on, *[n for n in parent.columns if n not in on], F.coalesce(c(name), F.lit(0)).alias(name), status.alias("status"))
