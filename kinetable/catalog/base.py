@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, positions
 from kinetable.plans.registry import Metric
 
@@ -217,11 +218,17 @@ def with_(*parts: str, recursive: bool = False) -> str:
 TORSO_PX = 400.0
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame signals: the object follows a wrist for six frames, then leaves it for six."""
+def signals(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFrame:
+    """Frame signals: the object follows a wrist for six frames, then rises away from it for six;
+    the table's own values are the noise on top.
+
+    ``staged`` writes them once, as the table they would be for the folds that read them often.
+    """
     from kinetable.operators.windows import min_distance, velocity
 
-    f = frames(spark, sf_dir)
+    step = F.pmod("frame_index", F.lit(12))
+    height = F.lit(60.0) - F.when(step >= 6, F.lit(7.0) * (step - 5)).otherwise(F.lit(0.0)) + F.col("y") / 40
+    f = frames(spark, sf_dir).withColumns({"x": F.col("x") / 4, "y": height})
     n = F.pmod("event_id", F.lit(7)).cast("double")
     held = F.pmod(F.floor(F.col("frame_index") / 6), F.lit(2)) == 0
     off = F.when(held, n).otherwise(F.lit(150.0))
@@ -232,7 +239,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     available = F.col("source") != "unavailable"
     rows = f.withColumns({"left_wrist": left, "right_wrist": right})
     rows = velocity(rows, FRAME_SERIES, "y", "timestamp_sec", available, F.lit(TORSO_PX), "ball_vertical_velocity_norm")
-    return rows.select(
+    out = rows.select(
         "sid", "frame_index", "timestamp_sec",
         available.alias("ball_available"),
         F.when(available, F.col("x")).alias("ball_x"),
@@ -240,20 +247,22 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(available, min_distance(F.col("x"), F.col("y"), [F.col("left_wrist"), F.col("right_wrist")], F.lit(TORSO_PX))).alias("ball_hand_dist_norm"),
         "ball_vertical_velocity_norm",
         F.when(F.pmod("event_id", F.lit(11)) != 0, F.lit(180.0) - F.pmod(F.col("event_id") * 13, F.lit(60))).alias("knee_angle_deg"),
-        F.lit(150.0).alias("shoulder_y"),
+        F.lit(58.0).alias("shoulder_y"),
         F.when(F.pmod("event_id", F.lit(9)) != 0, F.pmod("event_id", F.lit(5)) * F.lit(0.9)).alias("hip_x_norm"),
         F.col("source").isin("detected", "interpolated").alias("ball_is_observed"),
         "left_wrist", "right_wrist",
         F.col("source").alias("ball_source"),
         "x", "y", "source", "confidence", "radius",
     )
+    return stage(out) if staged else out
 
 
-SIGNALS_SQL = f"""sig0 AS (SELECT *, source <> 'unavailable' AS ok, lag(y) OVER w AS py, lag(timestamp_sec) OVER w AS pt, lag(source <> 'unavailable') OVER w AS pok,
-  CASE WHEN (frame_index // 6) % 2 = 0 THEN (event_id % 7)::DOUBLE ELSE 150.0 END AS off FROM frames WINDOW w AS (PARTITION BY sid ORDER BY frame_index)),
+SIGNALS_SQL = f"""sframes AS (SELECT * REPLACE (x / 4 AS x, 60.0::DOUBLE - CASE WHEN frame_index % 12 >= 6 THEN 7.0::DOUBLE * (frame_index % 12 - 5) ELSE 0.0 END + y / 40 AS y) FROM frames),
+sig0 AS (SELECT *, source <> 'unavailable' AS ok, lag(y) OVER w AS py, lag(timestamp_sec) OVER w AS pt, lag(source <> 'unavailable') OVER w AS pok,
+  CASE WHEN (frame_index // 6) % 2 = 0 THEN (event_id % 7)::DOUBLE ELSE 150.0 END AS off FROM sframes WINDOW w AS (PARTITION BY sid ORDER BY frame_index)),
 signals AS (SELECT sid, frame_index, timestamp_sec, ok AS ball_available, CASE WHEN ok THEN x END AS ball_x, CASE WHEN ok THEN y END AS ball_y,
   x + off AS lx, y + off AS ly, CASE WHEN event_id % 3 <> 0 THEN x + 90 END AS rx, CASE WHEN event_id % 3 <> 0 THEN y + 60 END AS ry,
   CASE WHEN ok THEN least(sqrt(pow(off, 2) + pow(off, 2)), CASE WHEN event_id % 3 <> 0 THEN sqrt(pow(90.0, 2) + pow(60.0, 2)) END) / {TORSO_PX} END AS dist,
   CASE WHEN ok AND pok AND timestamp_sec - pt > 1e-6 THEN (y - py) / (timestamp_sec - pt) / {TORSO_PX} END AS v,
-  CASE WHEN event_id % 11 <> 0 THEN 180.0 - (event_id * 13) % 60 END::DOUBLE AS knee, 150.0::DOUBLE AS shoulder_y,
+  CASE WHEN event_id % 11 <> 0 THEN 180.0 - (event_id * 13) % 60 END::DOUBLE AS knee, 58.0::DOUBLE AS shoulder_y,
   CASE WHEN event_id % 9 <> 0 THEN (event_id % 5) * 0.9 END::DOUBLE AS hip, source IN ('detected', 'interpolated') AS observed, source, x, y, confidence, radius FROM sig0)"""

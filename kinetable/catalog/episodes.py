@@ -9,9 +9,10 @@ from kinetable.catalog.base import (
 )
 from kinetable.catalog.joins import ATTEMPTS_SQL, attempts
 from kinetable.catalog.projections import KNEE, L, R, TORSO, angle_sql
-from kinetable.catalog.windows import TRUSTED_SQL
+from kinetable.catalog.windows import TRUSTED_SQL as _TRUSTED
 from kinetable.operators import releases as rl
 from kinetable.operators import signals as sg
+from kinetable.operators.lineage import stage
 from kinetable.operators.mechanics import FIELDS, mechanics
 from kinetable.operators.ordered import Series
 from kinetable.operators.recovery import recover_points
@@ -21,6 +22,7 @@ from kinetable.operators.track import gather_candidates, select_primary, track
 from kinetable.plans import session_pipeline as sp
 
 c = F.col
+TRUSTED_S = _TRUSTED.replace("FROM frames", "FROM sframes")
 _P = "PARTITION BY sid ORDER BY frame_index"
 
 TRACK_SQL = """obs AS (SELECT sid, frame_index AS i, timestamp_sec AS t, x AS zx, y AS zy, radius AS zr, confidence AS zc, source = 'detected' AS seen FROM frames),
@@ -80,12 +82,12 @@ def frame_signals(spark, sf):
 @query("EPI04")
 def segment(spark, sf):
     """State-dependent look-back; tests check it against a direct fold over whole series."""
-    return segment_shots(signals(spark, sf))
+    return segment_shots(signals(spark, sf, True))
 
 
 @query("EPI23")
 def trace(spark, sf):
-    return segment_trace(signals(spark, sf))
+    return segment_trace(signals(spark, sf, True))
 
 
 @query("EPI05", with_(FRAMES_SQL, SIGNALS_SQL, ATTEMPTS_SQL) + """, w AS (SELECT a.*, s.frame_index AS f, s.dist, s.v, s.timestamp_sec AS t FROM attempts a JOIN signals s ON s.sid = a.sid AND s.frame_index BETWEEN greatest(start_frame, release_frame - 8) AND least(end_frame, release_frame + 8)),
@@ -125,10 +127,10 @@ CTRL_SQL = """ct AS (SELECT sid, i, 'uncontrolled' AS st, 0 AS n, 0 AS veto_n, N
    FROM (SELECT p.*, CASE WHEN c.n > 0 AND c.rp = 'strong_override' THEN strong ELSE path IS NOT NULL END AS go FROM ct c JOIN pr p ON p.sid = c.sid AND p.i = c.i + 1) p JOIN ct c ON c.sid = p.sid AND c.i = p.i - 1)))"""
 
 
-@query("EPI06", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_SQL, PAIRS_SQL, CTRL_SQL, recursive=True) + f"""SELECT sid, rf AS release_frame, round(rt, 4) AS release_time_sec,
+@query("EPI06", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, PAIRS_SQL, CTRL_SQL, recursive=True) + f"""SELECT sid, rf AS release_frame, round(rt, 4) AS release_time_sec,
  CASE rp WHEN 'strong' THEN 0.75 WHEN 'soft' THEN 0.6 ELSE 0.55 END::DOUBLE AS confidence, rp AS path, 3::BIGINT AS consecutive, round(rs, 3) AS separation_norm FROM ct WHERE emit""")
 def release_events(spark, sf):
-    out = rl.release_events(signals(spark, sf), F.lit(TORSO_PX))
+    out = rl.release_events(signals(spark, sf, True), F.lit(TORSO_PX))
     return out.withColumn("release_time_sec", F.round("release_time_sec", 4))
 
 
@@ -144,17 +146,17 @@ POSS_SQL = """ps AS (SELECT sid, i, 'uncontrolled' AS st, 0 AS n, NULL::DOUBLE A
   FROM ps c JOIN pr p ON p.sid = c.sid AND p.i = c.i + 1))"""
 
 
-@query("EPI07", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_SQL, PAIRS_SQL, POSS_SQL, recursive=True) + """SELECT sid, rf AS release_frame, round(rt, 4) AS release_time_sec,
+@query("EPI07", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, PAIRS_SQL, POSS_SQL, recursive=True) + """SELECT sid, rf AS release_frame, round(rt, 4) AS release_time_sec,
  CASE rp WHEN 'strong' THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence, rp AS path, 3::BIGINT AS consecutive, round(rs, 3) AS separation_norm FROM ps WHERE emit""")
 def possession_releases(spark, sf):
-    out = rl.possession_releases(signals(spark, sf), F.lit(TORSO_PX))
+    out = rl.possession_releases(signals(spark, sf, True), F.lit(TORSO_PX))
     return out.withColumn("release_time_sec", F.round("release_time_sec", 4))
 
 
 @query("EPI08")
 def trajectory_shots(spark, sf):
     """Arming skips ahead over a followed flight; tests check it against a direct scan."""
-    return rl.trajectory_shots(signals(spark, sf), F.lit(TORSO_PX))
+    return rl.trajectory_shots(signals(spark, sf, True), F.lit(TORSO_PX))
 
 
 CORR_SQL = f"""tp AS (SELECT *, lag(timestamp_sec) OVER ({_P}) AS pt FROM trusted),
@@ -165,14 +167,14 @@ cr AS (SELECT a.sid, a.frame_index AS arm_frame, a.pose, hc.hoop_conf, (SELECT m
   FROM td a JOIN hoops hc USING (sid) WHERE a.frame_index % 4 = 0)"""
 
 
-@query("EPI09", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_SQL, HOOPS_SQL, CORR_SQL) + """SELECT sid, arm_frame, CASE WHEN hoop_conf < 0.3 THEN 'no_hoop_location' WHEN d <= 3 THEN 'hoop_corroborated' ELSE 'no_hoop_evidence' END AS hoop_tier,
+@query("EPI09", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, HOOPS_SQL, CORR_SQL) + """SELECT sid, arm_frame, CASE WHEN hoop_conf < 0.3 THEN 'no_hoop_location' WHEN d <= 3 THEN 'hoop_corroborated' ELSE 'no_hoop_evidence' END AS hoop_tier,
  CASE WHEN hoop_conf >= 0.3 THEN round(d, 2) END AS min_distance_rim_radii, CASE WHEN pose IS NULL THEN 'no_pose_data' WHEN pose <= 0.18 THEN 'pose_corroborated' ELSE 'no_pose_evidence' END AS pose_tier, round(pose, 3) AS min_distance_norm,
  CASE WHEN hoop_conf < 0.3 OR d > 3 THEN 'low' WHEN pose > 0.18 THEN 'medium' ELSE 'high' END AS tier FROM cr""")
 def corroborate(spark, sf):
     from kinetable.catalog.base import FRAME_SERIES
     from kinetable.operators.windows import trusted
 
-    s = signals(spark, sf)
+    s = signals(spark, sf, True)
     armed = trusted(s, FRAME_SERIES).filter(F.pmod("frame_index", F.lit(4)) == 0).select("sid", c("frame_index").alias("arm_frame"))
     return rl.corroborate(armed, s, hoops(spark, sf), F.lit(TORSO_PX))
 
@@ -180,9 +182,9 @@ def corroborate(spark, sf):
 @query("EPI10")
 def recover(spark, sf):
     """Greedy chain with a pruned fit; tests check it on planted flights."""
-    f = frames(spark, sf)
+    f = stage(frames(spark, sf))
     cands = f.filter("source IN ('predicted', 'unavailable')").select("sid", "frame_index", "timestamp_sec", "x", "y", "radius", "confidence", c("event_id").alias("cand_id"))
-    return recover_points(attempts(spark, sf), f, cands, hoops(spark, sf))
+    return recover_points(attempts(spark, sf, f), f, cands, hoops(spark, sf))
 
 
 def gray_frames(spark, sf):
@@ -237,7 +239,8 @@ def mechanics_rows(spark, sf):
 
 
 def session_shots(spark, sf):
-    return sp.build_shots(signals(spark, sf), poses(spark, sf), flight_points(spark, sf).drop("shot_index", "event_id", "ts"), hoops(spark, sf), TORSO_PX, 100.0, 500.0)
+    points = stage(flight_points(spark, sf).drop("shot_index", "event_id", "ts"))
+    return sp.build_shots(signals(spark, sf, True), stage(poses(spark, sf)), points, hoops(spark, sf), TORSO_PX, 100.0, 500.0)
 
 
 @query("EPI16")

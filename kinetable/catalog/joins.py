@@ -43,8 +43,8 @@ def points_in_shots(spark, sf):
 ATTEMPTS_SQL = "attempts AS (SELECT sid, frame_index // 12 AS shot_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, min(frame_index) + 5 AS release_frame FROM frames GROUP BY ALL)"
 
 
-def attempts(spark, sf):
-    f = frames(spark, sf)
+def attempts(spark, sf, f=None):
+    f = frames(spark, sf) if f is None else f
     return f.groupBy("sid", F.floor(c("frame_index") / 12).alias("shot_index")).agg(
         F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), (F.min("frame_index") + 5).alias("release_frame")
     )

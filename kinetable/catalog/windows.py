@@ -18,9 +18,9 @@ def block():
     return F.floor(c("frame_index") / 4096)
 
 
-@query("WIN01", with_(FRAMES_SQL, SIGNALS_SQL) + "SELECT sid, frame_index, round(v, 7) AS velocity FROM signals")
+@query("WIN01", with_(FRAMES_SQL, SIGNALS_SQL) + "SELECT sid, frame_index, round(v, 10) AS velocity FROM signals")
 def velocity(spark, sf):
-    return signals(spark, sf).select("sid", "frame_index", F.round("ball_vertical_velocity_norm", 7).alias("velocity"))
+    return signals(spark, sf).select("sid", "frame_index", F.round("ball_vertical_velocity_norm", 10).alias("velocity"))
 
 
 @query("WIN02", with_(FRAMES_SQL, SIGNALS_SQL) + "SELECT sid, frame_index, round(dist, 4) AS distance FROM signals")

@@ -25,13 +25,10 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     """Points inside ``[lo, hi]``.  Intervals are repeated once per frame block they touch,
     so the join key is ``(keys, block)`` and a hot key is cut along its time line."""
     cut = points.withColumn("_b", F.floor(c(at) / F.lit(block)))
-    spread = intervals.withColumn("_b", F.explode(F.sequence(F.floor(c(lo) / F.lit(block)), F.floor(c(hi) / F.lit(block)))))
-    on = [cut[k] == spread[k] for k in [*keys, "_b"]] + [cut[at] >= spread[lo], cut[at] <= spread[hi]]
-    joined = cut.join(spread, on, how)
-    if how in ("left_semi", "left_anti"):
-        return joined.drop("_b")
-    own = [spread[n] for n in intervals.columns if n not in keys]
-    return joined.select(*[cut[n] for n in points.columns], *own)
+    spread = intervals.withColumn("_w_b", F.explode(F.sequence(F.floor(c(lo) / F.lit(block)), F.floor(c(hi) / F.lit(block)))))
+    spread = spread.withColumnsRenamed({k: f"_w_{k}" for k in keys})
+    on = [c(k) == c(f"_w_{k}") for k in keys] + [c("_b") == c("_w_b"), c(at) >= c(lo), c(at) <= c(hi)]
+    return cut.join(spread, on, how).drop("_b", *[f"_w_{k}" for k in [*keys, "b"]])
 
 
 def in_windows(points: DataFrame, windows: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str, block: int = 512) -> DataFrame:

@@ -20,3 +20,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinetable-ckpt-")
         )
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several later branches read.
+
+    Block scans read their input twice, so chains of them stage in between; the cost then
+    grows with the length of the chain instead of doubling at every link.
+    """
+    return cut_lineage(df)

@@ -22,16 +22,37 @@ FIELDS = (
 )
 
 
-def _pose_facts(side: Column, p: DetectionParams) -> Column:
-    """Everything measured on one pose frame, as a struct."""
-    legs, arm, torso = leg_points(side, p), arm_points(side, p), torso_points(p)
+def pose_facts(pose: DataFrame, keys: Sequence[str], p: DetectionParams = DEFAULTS.detection) -> DataFrame:
+    """Every angle and offset of a pose frame for both sides, as plain numbers.
+
+    Only these few numbers are shuffled to the attempts, not the joints.
+    """
+    torso = torso_points(p)
     shoulder, hip = geo.point(torso["shoulder"]), geo.point(torso["hip"])
     length = geo.torso_len(shoulder, hip)
-    wrist = geo.point(arm["wrist"])
+    cols = [geo.lean_deg(shoulder, hip).alias("lean"), pose_confidence().alias("conf")]
+    for name in ("left", "right"):
+        legs, arm = leg_points(F.lit(name), p), arm_points(F.lit(name), p)
+        wrist = geo.point(arm["wrist"])
+        cols += [
+            legs.isNotNull().alias(f"legs_{name}"), angle_of(legs, LEG).alias(f"knee_{name}"),
+            arm.isNotNull().alias(f"arm_{name}"), angle_of(arm, ARM).alias(f"elbow_{name}"),
+            geo.normalize(hip[1] - wrist[1], length).alias(f"height_{name}"), geo.normalize(wrist[0] - shoulder[0], length).alias(f"offset_{name}"),
+        ]
+    return pose.select(*keys, "frame_index", "timestamp_sec", "detected", *cols)
+
+
+def _of_side(name: str) -> Column:
+    return F.when(c("shooting_side") == "left", c(f"{name}_left")).when(c("shooting_side") == "right", c(f"{name}_right"))
+
+
+def _facts() -> Column:
+    """The chosen side's facts; without a side the left leg counts if seen, else the right."""
+    known = F.coalesce(c("shooting_side").isin("left", "right"), F.lit(False))
+    knee = F.when(known, _of_side("knee")).when(c("legs_left"), c("knee_left")).otherwise(c("knee_right"))
     return F.struct(
-        angle_of(legs, LEG).alias("knee"), angle_of(arm, ARM).alias("elbow"), geo.lean_deg(shoulder, hip).alias("lean"),
-        geo.normalize(hip[1] - wrist[1], length).alias("height"), geo.normalize(wrist[0] - shoulder[0], length).alias("offset"),
-        arm.isNotNull().alias("arm_seen"), "detected", c("timestamp_sec").alias("t"), c("frame_index").alias("f"),
+        knee.alias("knee"), _of_side("elbow").alias("elbow"), "lean", _of_side("height").alias("height"), _of_side("offset").alias("offset"),
+        F.coalesce(_of_side("arm"), F.lit(False)).alias("arm_seen"), "detected", c("timestamp_sec").alias("t"), c("frame_index").alias("f"),
     )
 
 
@@ -43,8 +64,8 @@ def mechanics(pose: DataFrame, shots: DataFrame, keys: Sequence[str] = ("sid",),
         *per, "load_start_frame", "upward_start_frame", "release_frame", "shooting_side",
         F.coalesce(load, up, release).alias("_lo"), F.coalesce(release, up).alias("_hi"),
     )
-    rows = interval_join(pose, spans.filter("_lo IS NOT NULL AND _hi IS NOT NULL"), keys, "frame_index", "_lo", "_hi")
-    rows = rows.withColumns({"m": _pose_facts(c("shooting_side"), p), "_conf": pose_confidence()})
+    rows = interval_join(pose_facts(pose, keys, p), spans.filter("_lo IS NOT NULL AND _hi IS NOT NULL"), keys, "frame_index", "_lo", "_hi")
+    rows = rows.withColumns({"m": _facts(), "_conf": c("conf")})
     at = lambda frame: F.max(F.when(c("m.f") == frame, c("m")))
     bent = c("detected") & c("m.knee").isNotNull()
     agg = rows.groupBy(*per).agg(

@@ -9,6 +9,8 @@ block:
 * ``with_halo``  bounded row frames over dense positions (border rows are replicated)
 
 Both shuffle the rows once, on ``(keys, block)``; the summary join reuses that partitioning.
+``scan`` reads its input twice (rows and summary): put everything that shares an order into
+one call, and ``stage`` between long chains.
 Groups with a proven small bound (one attempt, one metric registry) use ``block=None`` and
 get plain windows from the same calls.
 """
@@ -75,6 +77,11 @@ def running_max(value: Column) -> Spec:
     return Spec("running_max", value)
 
 
+def running_max_before(value: Column) -> Spec:
+    """Maximum strictly before the row."""
+    return Spec("running_max_before", value)
+
+
 def total(value: Column) -> Spec:
     """Sum over all rows of the key."""
     return Spec("total", value)
@@ -99,6 +106,8 @@ def _local(spec: Spec, part: list[str], order: list[str]) -> Column:
             return F.sum(spec.value).over(ahead.rowsBetween(*upto))
         case "running_max":
             return F.max(spec.value).over(ahead.rowsBetween(*upto))
+        case "running_max_before":
+            return F.max(spec.value).over(ahead.rowsBetween(*before))
         case "total":
             return F.sum(spec.value).over(Window.partitionBy(*part))
     raise ValueError(spec.kind)
@@ -117,7 +126,7 @@ def _summary(spec: Spec, order: list[str]) -> Column:
             return F.min_by(spec.value, F.when(spec.value.isNotNull(), at))
         case "running_sum" | "total":
             return F.sum(spec.value)
-        case "running_max":
+        case "running_max" | "running_max_before":
             return F.max(spec.value)
     raise ValueError(spec.kind)
 
@@ -137,7 +146,7 @@ def _carried(spec: Spec, name: str, keys: list[str]) -> Column:
             return F.last(name, ignorenulls=True).over(back.rowsBetween(*before))
         case "running_sum":
             return F.sum(name).over(w.rowsBetween(*before))
-        case "running_max":
+        case "running_max" | "running_max_before":
             return F.max(name).over(w.rowsBetween(*before))
         case "total":
             return F.sum(name).over(Window.partitionBy(*keys))
@@ -155,7 +164,7 @@ def _merge(spec: Spec, local: Column, carry: Column | None) -> Column:
             return F.coalesce(local, carry)
         case "running_sum":
             return F.when(local.isNotNull() | carry.isNotNull(), F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)))
-        case "running_max":
+        case "running_max" | "running_max_before":
             return F.greatest(local, carry)
         case "total":
             return carry

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from kinetable.functions.scores import RELIABLE_SOURCES
 from kinetable.operators.aggregates import nearest_rank
 from kinetable.operators.joins import interval_join, last_at_or_before, prefer_new
+from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, dim_join, prev_row, scan
 from kinetable.operators.windows import MIN_DT, bounded_windows
 from kinetable.params import DEFAULTS, RecoveryParams
@@ -84,6 +85,7 @@ def recover_points(windows: DataFrame, ball: DataFrame, candidates: DataFrame, h
     """New points per attempt: ``(keys, shot_index, frame_index, timestamp_sec, x, y, radius, confidence, source)``."""
     k, per = list(keys), [*keys, "shot_index"]
     wins = bounded_windows(windows.select(*per, "start_frame", "end_frame"), Series.frames(k, "start_frame"), "end_frame", margin_frames)
+    ball = stage(ball.select(*k, "frame_index", "timestamp_sec", "x", "y", "source"))
     solid = ball.filter(c("source").isin(*RELIABLE_SOURCES)).select(*k, "frame_index", "timestamp_sec", "x", "y")
     anchors = scan(solid, Series.frames(k), _p=prev_row(F.struct("timestamp_sec", "x", "y")))
     seed = F.struct(
@@ -93,7 +95,7 @@ def recover_points(windows: DataFrame, ball: DataFrame, candidates: DataFrame, h
     seeded = last_at_or_before(wins, anchors, k, "start_frame", "frame_index", seed, "floor(_t / 4096)", "seed")
     seeded = dim_join(seeded.filter(c("seed").isNotNull()), hoops.select(*k, "hoop_r"), k, spread=["shot_index"])
     seeded = dim_join(seeded, speed_bound(ball, k), k, spread=["shot_index"]).filter("vmax > 0")
-    seeded = seeded.select(*per, "start_frame", "hi", "seed.*", "hoop_r", "vmax")
+    seeded = stage(seeded).select(*per, "start_frame", "hi", "seed.*", "hoop_r", "vmax")
     gaps = candidates.join(solid.select(*k, "frame_index"), [*k, "frame_index"], "left_anti")
     offered = interval_join(gaps.select(*k, "frame_index", "timestamp_sec", "x", "y", "radius", "confidence", "cand_id"), seeded, k, "frame_index", "start_frame", "hi")
     schema = T.StructType(

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from kinetable.functions import scores as sc
 from kinetable.operators.fold import Fold, keyed_fold
 from kinetable.operators.joins import interval_join
+from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, dim_join, positions, prev_row, scan
 from kinetable.operators.windows import MIN_DT, chains, trailing_min, trusted
 from kinetable.params import DEFAULTS, OutcomeParams, ReleaseEventParams, ReleaseParams, SegmentParams
@@ -60,7 +61,7 @@ def trusted_pairs(signals: DataFrame, series: Series, scale: Column, p: ReleaseE
 
     Needs ``x, y, source, timestamp_sec, left_wrist, right_wrist``.
     """
-    rows = trusted(signals, series, p)
+    rows = stage(trusted(signals, series, p))
     rows = scan(rows, series, a=prev_row(F.struct("frame_index", "timestamp_sec", "x", "y", "left_wrist", "right_wrist")))
     dist = lambda w: F.when(w.isNotNull(), F.hypot(c("x") - w["x"], c("y") - w["y"]) / scale)
     left, right = dist(c("left_wrist")), dist(c("right_wrist"))
@@ -273,7 +274,7 @@ class TrajectoryFold(Fold):
 
 
 def _fold(signals: DataFrame, keys: Sequence[str], scale: Column, fold: Fold, p: ReleaseEventParams) -> DataFrame:
-    pairs = trusted_pairs(signals, Series.frames(keys), scale, p)
+    pairs = stage(trusted_pairs(signals, Series.frames(keys), scale, p).select(*keys, *fold.columns))
     return keyed_fold(pairs, keys, ["frame_index"], F.floor(c("frame_index") / 4096), fold)
 
 
@@ -303,14 +304,15 @@ def corroborate(cands: DataFrame, signals: DataFrame, hoops: DataFrame, scale: C
     """
     k = list(keys)
     series = Series.frames(k)
-    rows = trusted(signals, series, p)
+    rows = stage(trusted(signals, series, p))
     rows = chains(rows, series, "timestamp_sec", p.max_gap_sec, "_chain")
     dist = lambda w: F.when(w.isNotNull(), F.hypot(c("x") - w["x"], c("y") - w["y"]) / scale)
     rows = positions(rows.withColumn("_wd", F.least(dist(c("left_wrist")), dist(c("right_wrist")))), series, "_tp")
     rows = trailing_min(rows, k, "_tp", "_wd", p.streak, "_pose")
+    rows = stage(rows.select(*k, "frame_index", "x", "y", "_chain", "_pose"))
     arm = rows.select(*k, c("frame_index").alias("arm_frame"), c("_chain").alias("_arm_chain"), "_pose")
     armed = cands.join(arm, [*k, "arm_frame"]).withColumn("_until", c("arm_frame") + sp.max_flight_frames)
-    points = dim_join(rows.select(*k, "frame_index", "x", "y", "_chain"), hoops, k, "left", spread=["frame_index"])
+    points = dim_join(rows.drop("_pose"), hoops, k, "left", spread=["frame_index"])
     span = interval_join(points, armed.select(*k, "arm_frame", "_until", "_arm_chain"), k, "frame_index", "arm_frame", "_until")
     near = span.filter(c("_chain") == c("_arm_chain")).groupBy(*k, "arm_frame").agg(
         F.min(F.hypot(c("x") - c("hoop_x"), c("y") - c("hoop_y")) / c("hoop_r")).alias("_d"), F.max("hoop_conf").alias("_hc"), F.max("hoop_r").alias("_hr")

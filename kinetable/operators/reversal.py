@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.operators.flight import flight_rows
-from kinetable.operators.ordered import Series, running_max, running_sum, scan
+from kinetable.operators.ordered import Series, last_before, running_max, running_max_before, running_sum, scan
 from kinetable.params import DEFAULTS, OutcomeParams
 
 c = F.col
@@ -16,18 +16,13 @@ c = F.col
 
 def reversal_scan(df: DataFrame, series: Series, y: str, k: int = 2) -> DataFrame:
     """Per row: running maximum so far and how many lower rows followed its last increase."""
-    rows = scan(df, series, running_max=running_max(c(y)))
-    from kinetable.operators.ordered import prev_row
-
-    rows = scan(rows, series, _before=prev_row(c("running_max")))
+    rows = scan(df, series, running_max=running_max(c(y)), _before=running_max_before(c(y)))
     rows = rows.withColumn("new_max", c("_before").isNull() | (c(y) > c("_before"))).drop("_before")
     lower = F.when(c(y) < c("running_max"), 1).otherwise(0).cast("long")
-    rows = scan(rows, series, _lower=running_sum(lower), _seq=running_sum(F.when(c("new_max"), 1).otherwise(0).cast("long")))
-    from kinetable.operators.ordered import last_before
-
+    rows = scan(rows, series, _lower=running_sum(lower))
     rows = scan(rows, series, _base=last_before(F.when(c("new_max"), c("_lower"))))
     since = F.when(c("new_max"), F.lit(0).cast("long")).otherwise(c("_lower") - c("_base"))
-    return rows.withColumn("lower_since_max", since).withColumn("reversed", c("lower_since_max") >= k).drop("_lower", "_seq", "_base")
+    return rows.withColumn("lower_since_max", since).withColumn("reversed", c("lower_since_max") >= k).drop("_lower", "_base")
 
 
 def post_contact_reversal(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome) -> DataFrame:

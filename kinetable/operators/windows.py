@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.operators.fold import Fold, keyed_fold
+from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, first_after, islands, last_before, next_row, prev_row, running_sum, scan, total, with_halo
 from kinetable.params import DEFAULTS, DetectionParams, ReleaseEventParams, SegmentParams, TrackParams
 
@@ -141,7 +142,7 @@ def static_run_cut(df: DataFrame, series: Series, eps: float = DEFAULTS.recovery
     rows = scan(df, series, _q=prev_row(F.struct("x", "y")))
     repeat = F.coalesce((F.abs(c("x") - c("_q.x")) < eps) & (F.abs(c("y") - c("_q.y")) < eps), F.lit(False))
     rows = rows.withColumn("_rep", repeat).drop("_q")
-    moved = ~c("_rep")
+    rows, moved = stage(rows), ~c("_rep")
     rows = scan(rows, series, _all=running_sum(F.when(c("_rep"), 1).otherwise(0)))
     rows = scan(rows, series, _base=last_before(F.when(moved, c("_all"))))
     rows = rows.withColumn("_over", c("_rep") & (c("_all") - F.coalesce("_base", F.lit(0)) > most))

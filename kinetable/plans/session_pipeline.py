@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinetable.functions.scores import RELIABLE_SOURCES
 from kinetable.operators.aggregates import weighted_side
 from kinetable.operators.joins import interval_join
+from kinetable.operators.lineage import stage
 from kinetable.operators.mechanics import mechanics
 from kinetable.operators.outcome import classify_outcome
 from kinetable.operators.projections import apply_exclusion
@@ -65,11 +66,11 @@ def build_shots(signals: DataFrame, pose: DataFrame, points: DataFrame, hoops: D
     session is spread over its attempts.
     """
     k, per = list(keys), [*keys, "shot_index"]
-    windows = segment_shots(signals, k)
+    windows = stage(segment_shots(signals, k))
     release = refine_release(windows, signals, k)
     sides = shooting_sides(pose, points, windows, width, height, k)
-    known = windows.join(release, per, "left").join(sides, per, "left")
-    flight = flight_of(points, known, k)
+    known = stage(windows.join(release, per, "left").join(sides, per, "left"))
+    flight = stage(flight_of(points, known, k))
     outcome = classify_outcome(flight, hoops, per, k).select(*per, "outcome", "outcome_confidence", "outcome_reason")
     body = mechanics(pose, known, k)
     inside = interval_join(points, windows.select(*per, "start_frame", "end_frame"), k, "frame_index", "start_frame", "end_frame")
@@ -95,6 +96,7 @@ def build_shots(signals: DataFrame, pose: DataFrame, points: DataFrame, hoops: D
 
 def analyze(shots: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
     """Session summary and coaching selection in one row per session."""
+    shots = stage(shots)
     summary = session_summary(shots, keys, STANDARD)
     told = coaching(shots, keys, STANDARD)
     return summary.join(told.withColumnRenamed("confidence", "coaching_confidence"), list(keys))
