@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "outcomes", "windows", "joins", "detection_stats", "projections", "episodes")
+MODULES = ("aggregates", "outcomes", "windows", "joins", "detection_stats", "projections", "episodes", "storage")
 
 
 def registered():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -29,3 +30,12 @@ def stage(df: DataFrame) -> DataFrame:
     grows with the length of the chain instead of doubling at every link.
     """
     return cut_lineage(df)
+
+
+def scratch_folder(df_or_spark, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder, for tables written on the way."""
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="kinetable-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
