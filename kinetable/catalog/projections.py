@@ -356,7 +356,7 @@ def merge_datasets(spark, sf):
 
     notes = table(spark, sf, "labels").select(c("doc_id").alias("image_id"), "quality")
     merged, remapped = cu.merge_datasets(
-        [images("documents", "doc_id", "d"), images("benchmark", "item_id", "b")], [notes, notes.limit(0)], ["docs", "bench"], "source_pos * 1000000000000 + floor(image_id / 1024)"
+        [images("documents", "doc_id", "d"), images("benchmark", "item_id", "b")], [notes, notes.filter(F.lit(False))], ["docs", "bench"], "source_pos * 1000000000000 + floor(image_id / 1024)"
     )
     n = remapped.groupBy("split", "new_image_id").agg(F.count(F.lit(1)).alias("annotations"))
     out = merged.join(n, ["split", "new_image_id"], "left")

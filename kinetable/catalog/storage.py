@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetable.catalog.base import FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shots, shots_sql, signals, table, with_
+from kinetable.catalog.base import FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shot_series, shots, shots_sql, signals, table, with_
 from kinetable.catalog.projections import NORM, SPLIT
 from kinetable.operators.curation import normalize_split
 from kinetable.operators.lineage import scratch_folder
@@ -46,22 +46,26 @@ def write_signals(spark, sf):
 
 
 def reports(spark, sf):
-    return writers.to_report_json(shots(spark, sf), ["sid"], ["start_time_sec", "l_linenumber", "l_partkey"], ["outcome", "end_time_sec"])
+    return writers.to_report_json(shots(spark, sf), shot_series(), ["outcome", "start_time_sec", "end_time_sec"])
 
 
-@query("SNK03", with_(shots_sql()) + """SELECT sid, count(*)::INTEGER AS n_shots, arg_min(outcome, (start_time_sec, l_linenumber, l_partkey)) AS first_outcome, arg_min(CASE WHEN least(release_confidence, pose_quality, ball_track_quality) >= 0.75 THEN 'high'
- WHEN least(release_confidence, pose_quality, ball_track_quality) >= 0.5 THEN 'medium' WHEN least(release_confidence, pose_quality, ball_track_quality) > 0 THEN 'low' ELSE 'excluded' END, (start_time_sec, l_linenumber, l_partkey, outcome)) AS first_level FROM shots GROUP BY sid""".replace("arg_min(outcome, (start_time_sec, l_linenumber, l_partkey))", "arg_min(outcome, (start_time_sec, l_linenumber, l_partkey, outcome))"))
+LEVEL = "CASE WHEN {c} >= 0.75 THEN 'high' WHEN {c} >= 0.5 THEN 'medium' WHEN {c} > 0 THEN 'low' ELSE 'excluded' END".format(c="least(release_confidence, pose_quality, ball_track_quality)")
+
+
+@query("SNK03", with_(shots_sql()) + f"""SELECT sid, 0::BIGINT AS part, count(*)::INTEGER AS n_shots, max(outcome) FILTER (p = 1) AS first_outcome, max({LEVEL}) FILTER (p = 1) AS first_level
+ FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM shots) GROUP BY sid""")
 def report_json(spark, sf):
     at = lambda p: F.get_json_object("report", p)
     shots_in = F.from_json(at("$.shots"), "array<struct<outcome: string>>")
-    return reports(spark, sf).select("sid", F.size(shots_in).alias("n_shots"), at("$.shots[0].outcome").alias("first_outcome"), at("$.shots[0].overall_confidence_level").alias("first_level"))
+    return reports(spark, sf).select("sid", "part", F.size(shots_in).alias("n_shots"), at("$.shots[0].outcome").alias("first_outcome"), at("$.shots[0].overall_confidence_level").alias("first_level"))
 
 
 @query("SRC02", with_(shots_sql()) + "SELECT sid, count(*) AS shots, count(*) FILTER (outcome = 'made') AS made, max(end_time_sec) AS last_end FROM shots GROUP BY sid")
 def read_sessions(spark, sf):
     path = scratch_folder(spark, "sessions")
     entry = F.struct(c("l_linenumber").cast("long").alias("shot_index"), "outcome", F.lit(0.5).alias("outcome_confidence"), "start_time_sec", "end_time_sec")
-    shots(spark, sf).groupBy("sid").agg(F.collect_list(entry).alias("shots")).write.json(path)
+    month = F.trunc("l_shipdate", "month").alias("month")  # keeps every record small
+    shots(spark, sf).groupBy("sid", month).agg(F.collect_list(entry).alias("shots")).drop("month").write.json(path)
     back = readers.read_sessions(spark, path).select("sid", F.explode("shots").alias("s"))
     return back.groupBy("sid").agg(F.count(F.lit(1)).alias("shots"), F.count_if(c("s.outcome") == "made").alias("made"), F.max("s.end_time_sec").alias("last_end"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from kinetable.functions.scores import RELIABLE_SOURCES, SOURCES
 from kinetable.operators.fold import Fold, keyed_fold
 from kinetable.operators.joins import interval_join
-from kinetable.operators.ordered import Series, next_row, prev_row, running_sum, scan, total
+from kinetable.operators.ordered import Series, dim_join, next_row, prev_row, running_sum, scan, total
 from kinetable.params import DEFAULTS, VoteParams
 
 c = F.col
@@ -145,7 +145,7 @@ def longest_gap(dets: DataFrame, windows: DataFrame, keys: Sequence[str], window
 
 def positional_stability(cands: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean population deviation of x and y of the candidates within two radii of the target."""
-    near = cands.join(target, list(keys)).filter(F.hypot(c("x") - c("target_x"), c("y") - c("target_y")) < c("target_r") * 2)
+    near = dim_join(cands, target, keys, spread=["x", "y"]).filter(F.hypot(c("x") - c("target_x"), c("y") - c("target_y")) < c("target_r") * 2)
     agg = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"))
     return agg.filter("n_points >= 2").select(*keys, "n_points", F.round((c("_sx") + c("_sy")) / 2, 4).alias("stability_px"))
 

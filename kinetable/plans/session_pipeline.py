@@ -12,6 +12,7 @@ from kinetable.operators.aggregates import weighted_side
 from kinetable.operators.joins import interval_join
 from kinetable.operators.lineage import stage
 from kinetable.operators.mechanics import mechanics
+from kinetable.operators.ordered import dim_join
 from kinetable.operators.outcome import classify_outcome
 from kinetable.operators.projections import apply_exclusion
 from kinetable.operators.releases import refine_release
@@ -82,7 +83,7 @@ def build_shots(signals: DataFrame, pose: DataFrame, points: DataFrame, hoops: D
     )
     path = trajectory(flight, times.select(*per, "release_y"), F.lit(torso_px), per)
     rows = known.join(times, per, "left").join(outcome, per, "left").join(body, per, "left").join(path, per, "left")
-    rows = rows.join(hoops.select(*k, c("hoop_conf").alias("hoop_confidence")), k, "left")
+    rows = dim_join(rows, hoops.select(*k, c("hoop_conf").alias("hoop_confidence")), k, "left", spread=["shot_index"])
     quality = F.coalesce("pose_quality", F.lit(0.0))
     gate = apply_exclusion(c("release_frame").isNotNull(), quality, c("warnings"))
     return rows.withColumn("_g", gate).select(

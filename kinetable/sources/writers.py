@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from kinetable.functions.scores import overall_level
 from kinetable.operators.curation import number_rows
+from kinetable.operators.ordered import Series, positions
 from kinetable.operators.projections import CATEGORY_IDS
 
 c = F.col
@@ -44,16 +45,18 @@ def write_signals(signals: DataFrame, path: str, buckets: int = BUCKETS) -> None
     flat.withColumn("bucket", bucket_of(["sid"], buckets)).write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
 
 
-def to_report_json(shots: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One JSON report per session; per-frame arrays stay out, the overall level is added.
+def to_report_json(shots: DataFrame, series: Series, fields: Sequence[str], part_size: int = 4096) -> DataFrame:
+    """JSON report per session: per-frame arrays stay out, the overall level is added.
 
-    A session's report holds its attempts, so it grows with them; the writer of per-attempt
-    rows (``save_session``) is the form for unbounded sessions.
+    A report holds at most ``part_size`` attempts; longer sessions continue in further parts,
+    so no session is gathered into one row.
     """
     level = overall_level(c("release_confidence"), c("pose_quality"), c("ball_track_quality"))
-    entry = F.struct(*order, *[f for f in fields if f not in order], level.alias("overall_confidence_level"))
-    grouped = shots.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("shots"))
-    return grouped.select(*keys, F.to_json(F.struct("shots"), {"ignoreNullFields": "false"}).alias("report"))
+    placed = positions(shots, series, "_pos")
+    entry = F.struct(c("_pos").alias("shot_index"), *fields, level.alias("overall_confidence_level"))
+    part = F.floor((c("_pos") - 1) / F.lit(part_size)).alias("part")
+    grouped = placed.groupBy(*series.keys, part).agg(F.array_sort(F.collect_list(entry)).alias("shots"))
+    return grouped.select(*series.keys, "part", F.to_json(F.struct("shots"), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def _double_leaves(schema: T.StructType, prefix: str = "") -> list[str]:

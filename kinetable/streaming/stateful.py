@@ -40,36 +40,38 @@ class FoldProcessor(StatefulProcessor):
     def _advance(self, key, watermark: int, more: list) -> list:
         """Feed everything at or before the watermark; keep the rest for later."""
         waiting = sorted([*[(int(m), v) for m, v in self.pending.get()], *more], key=lambda e: json.loads(e[1])[0])
-        ready = [v for m, v in waiting if m <= watermark]
-        self.pending.put([(m, v) for m, v in waiting if m > watermark]) if any(m > watermark for m, _ in waiting) else self.pending.clear()
+        ready, later = [v for m, v in waiting if m <= watermark], [e for e in waiting if e[0] > watermark]
+        self.pending.clear()
+        if later:
+            self.pending.put(later)
         state, out = self._load(), []
         for v in ready:
             state, made = self.fold.step(state, tuple(json.loads(v)[1:]))
             out.extend(made)
         if ready:
             self.state.update((json.dumps(state),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        # wake up when the watermark reaches the first waiting row, else after the timeout
+        last = max((m for m, _ in waiting), default=watermark)
+        self.handle.registerTimer(min(m for m, _ in later) if later else max(last, watermark) + self.timeout_ms)
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        more, latest = [], 0
+        more = []
         for pdf in rows:
             ms = (pd.to_datetime(pdf["event_ts"]).astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
             columns = [pdf[self.order].tolist(), *[pdf[n].tolist() for n in self.fold.columns]]
-            for m, *values in zip(ms, *columns):
-                more.append((m, json.dumps([_plain(v) for v in values])))
-                latest = max(latest, m)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(latest + self.timeout_ms)
+            more.extend((m, json.dumps([_plain(v) for v in values])) for m, *values in zip(ms, *columns))
         yield self._frame(key, self._advance(key, timerValues.getCurrentWatermarkInMs(), more))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
-        state = self._load()
-        if not self.pending.exists():
-            out.extend(self.fold.finish(state))
+        if self.pending.exists():
+            yield self._frame(key, self._advance(key, timerValues.getCurrentWatermarkInMs(), []))
+        else:
+            out = self.fold.finish(self._load())
             self.state.clear()
-        yield self._frame(key, out)
+            yield self._frame(key, list(out))
 
     def close(self) -> None:
         pass
