@@ -37,7 +37,7 @@ def test_scan_matches_pandas_over_many_blocks(spark):
     )
     assert len(got) == len(pdf)
     for sid, part in pdf.sort_values("i").groupby("sid"):
-        vs, marks = part["v"].tolist(), part["mark"].tolist()
+        vs, marks = [None if v != v else v for v in part["v"]], part["mark"].tolist()
         known = lambda xs: [x for x in xs if x is not None]
         for k in range(len(vs)):
             before = [v for v, m in zip(vs[:k], marks[:k]) if m and v is not None]
@@ -72,7 +72,7 @@ def test_halo_rows_equal_full_window(spark):
     got = collect(halo.select(m=F.max("v").over(w)), "m")
     pdf = hot_series(seed=4).sort_values("i")
     for sid, part in pdf.groupby("sid"):
-        vs = part["v"].tolist()
+        vs = [None if v != v else v for v in part["v"]]
         for k in range(len(vs)):
             seen = [v for v in vs[max(0, k - 9) : k + 3] if v is not None]
             assert got[(sid, k)][0] == (max(seen) if seen else None)
