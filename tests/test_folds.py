@@ -182,7 +182,7 @@ def test_track_provenance_rules():
     assert sources[:10] == ["detected"] * 10
     assert sources[10:16] == ["interpolated"] * 3 + ["predicted"] * 3
     assert sources[16:19] == ["unavailable"] * 3 and out[16][2] is None
-    assert out[10][2] == pytest.approx(30.0, abs=1.5)
+    assert 20.0 < out[10][2] < 30.0  # coasts on, behind the last detection's speed
 
 
 def clip(*parts):

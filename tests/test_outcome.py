@@ -20,8 +20,8 @@ def flight(xy, conf=0.9, source="detected", shot=1, sid="s", dip=None, frames=No
 RISE = [(300 + 20 * i, 200 - 25 * i) for i in range(7)]  # up to (420, 50)
 MAKE = RISE + [(455, 45), (480, 50), (495, 60), (498, 70), (500, 80), (501, 95), (502, 110), (502, 130)]
 WIDE = RISE + [(470, 45), (500, 55), (505, 70), (560, 72), (590, 90), (610, 110)]
-BESIDE = RISE + [(440, 45), (425, 60), (420, 75), (410, 90), (400, 120)]
-FAR = RISE + [(400, 60), (390, 150), (380, 180), (370, 200), (360, 220)]
+BESIDE = RISE + [(430, 45), (425, 60), (420, 75), (410, 90), (400, 120)]
+FAR = [(300 + 20 * i, 200 - 32 * i) for i in range(7)] + [(425, 135), (425, 160), (425, 190), (425, 220)]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def outcomes(spark):
     rows = (
         flight(MAKE, dip=11, shot=1) + flight(WIDE, shot=2) + flight(BESIDE, shot=3) + flight(FAR, shot=4) + flight(MAKE[:2], shot=5)
         + flight(RISE[:4], shot=6) + flight(RISE, shot=7) + flight(MAKE, shot=8) + flight(MAKE, dip=11, shot=9, sid="lost")
-        + flight(MAKE, dip=11, shot=10, source=["interpolated"] * len(MAKE), conf=0.2) + flight([(300, 200), (310, 50), (320, 60)] + [(320 + i, 62 + i / 9) for i in range(4)], shot=11, frames=[0, 1, 90, 91, 92, 93, 94])
+        + flight(MAKE, dip=11, shot=10, source=["interpolated"] * len(MAKE), conf=0.2) + flight([(300, 200), (310, 20), (320, 60)] + [(320 + i, 62 + i / 9) for i in range(4)], shot=11, frames=[0, 1, 90, 91, 92, 93, 94])
     )
     df = spark.createDataFrame(rows, POINTS)
     hoops = spark.createDataFrame([("s", 500.0, 80.0, 18.0, 0.75), ("lost", 500.0, 80.0, 18.0, 0.2)], "sid string, hoop_x double, hoop_y double, hoop_r double, hoop_conf double")
