@@ -74,10 +74,18 @@ def effect_label(spark, sf):
 
 
 STEPS = stats.QUADRATURE_STEPS
+
+
+
+def _simpson(limit: str) -> str:
+    top = f"least({limit}, 8.5 / sqrt(greatest(df - 1, 1e-9)))"
+    w = f"CASE WHEN i = 0 OR i = {STEPS} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(list_sum(list_transform(range(0, {STEPS} + 1), lambda i: {w} * pow(cos(i * {top} / {STEPS}), df - 1))) * {top} / {STEPS} / 3)"
+
+
 WELCH = f"""w AS (SELECT *, abs(m1-m2)/sqrt(v1/n1+v2/n2) AS t,
   pow(v1/n1+v2/n2,2)/(pow(v1/n1,2)/(n1-1)+pow(v2/n2,2)/(n2-1)) AS df FROM d),
-p AS (SELECT *, 1 - list_sum(list_transform(range(1,{STEPS}+1), lambda i: pow(cos((i-0.5)*atan(t/sqrt(df))/{STEPS}.0), df-1)))*atan(t/sqrt(df))/{STEPS}.0
-  / (list_sum(list_transform(range(1,{STEPS}+1), lambda i: pow(cos((i-0.5)*(pi()/2)/{STEPS}.0), df-1)))*(pi()/2)/{STEPS}.0) AS p FROM w)"""
+p AS (SELECT *, greatest(0.0, 1 - {_simpson("atan(t/sqrt(df))")} / {_simpson("pi()/2")})::DOUBLE AS p FROM w)"""
 
 
 @query("AGG06", MOMENTS + "," + WELCH + "SELECT sid, metric_key, round(p, 4) AS p_value FROM p")

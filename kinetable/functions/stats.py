@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetable.params import DEFAULTS
 
-QUADRATURE_STEPS = 2000
+QUADRATURE_STEPS = 128
 
 
 def coef_var(mean: Column, std: Column) -> Column:
@@ -35,20 +35,20 @@ def effect_label(d: Column) -> Column:
 def welch_p(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
     """Two-sided p value of Welch's t test, JVM-side.
 
-    The t tail is an integral of ``cos^(df-1)``; both integrals use the midpoint rule.
+    The t tail is an integral of ``cos^(df-1)``, taken with Simpson's rule; the range ends
+    where the integrand has vanished, so the step width follows the peak.
     """
     a, b = v1 / n1, v2 / n2
     se2 = a + b
     t = F.abs(m1 - m2) / F.sqrt(se2)
     df = se2 * se2 / (a * a / (n1 - 1) + b * b / (n2 - 1))
+    n = QUADRATURE_STEPS
 
     def integral(limit: Column) -> Column:
-        h = limit / F.lit(float(QUADRATURE_STEPS))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(QUADRATURE_STEPS)),
-            F.lit(0.0),
-            lambda acc, i: acc + F.pow(F.cos((i - F.lit(0.5)) * h), df - 1),
-        ) * h
+        top = F.least(limit, F.lit(8.5) / F.sqrt(F.greatest(df - 1, F.lit(1e-9))))
+        h = top / F.lit(float(n))
+        weight = lambda i: F.when((i == 0) | (i == n), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), lambda acc, i: acc + weight(i) * F.pow(F.cos(i * h), df - 1)) * h / 3
 
     p = F.lit(1.0) - integral(F.atan(t / F.sqrt(df))) / integral(F.lit(1.5707963267948966))
     return F.when((n1 >= 2) & (n2 >= 2) & (se2 > 0), F.greatest(F.lit(0.0), p))
