@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, positions
 from kinetable.plans.registry import Metric
+from kinetable.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- attempts (lineitem)

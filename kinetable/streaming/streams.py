@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.operators.lineage import scratch_folder
+from kinetable.session import configure
 
 c = F.col
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A folder's Parquet file(s) of one table as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    schema = configure(spark).read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
