@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_FOLDER = "/tmp/kinetable-checkpoints"
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint ``df`` in the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session has one; a
-    temporary folder is set only where neither the setting nor the context names one.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where the setting is missing, a local master (one process, as in tests) gets a folder of its
+    own; on a cluster its absence is an error, since no default would be seen by all executors.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = LOCAL_FOLDER
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinetable-ckpt-")
-        )
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Eagerly checkpoint ``df`` in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -35,7 +44,4 @@ def stage(df: DataFrame) -> DataFrame:
 def scratch_folder(df_or_spark, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, for tables written on the way."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="kinetable-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
