@@ -14,6 +14,7 @@ import hashlib
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -201,3 +202,24 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     rows = ids_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_columns(rows, run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every text."""
+    shift = _shared(docs, path, pattern)
+
+    def run(cols):
+        c = codec(path, pattern, shift)
+        joined = [c.encode_joined(t or "") for t in cols["text"]]
+        ids = np.array(" ".join(j for j in joined if j).split(), np.int32)
+        n = np.array([j.count(" ") + 1 if j else 0 for j in joined], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        return {
+            "doc_id": cols["doc_id"], "n_tokens": n, "ids": lists,
+            "ids_sha256": [digest(j.encode()) for j in joined], "decoded_sha256": [digest(c.decode_joined(j)) for j in joined],
+        }
+
+    rows = ids_and_text(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_columns(rows, run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.operators.lineage import scratch_folder
@@ -40,6 +40,26 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: st
     return df.mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, keep: Callable[[list], np.ndarray], text_col: str = "text") -> DataFrame:
+    """Whole rows for whose texts ``keep`` is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    at = df.columns.index(text_col)
+    return df.mapInArrow(run, df.schema)
+
+
+def with_new_text(df: DataFrame, text: Column, text_col: str = "text") -> DataFrame:
+    """``df`` with another text; an ``n_chars`` column follows it, all others stay."""
+    cols = {text_col: text}
+    if "n_chars" in df.columns:
+        cols["n_chars"] = F.when(F.col("n_chars").isNotNull(), F.length(text)).cast(df.schema["n_chars"].dataType)
+    return df.withColumns(cols)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -57,6 +77,20 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def grouped(texts: list) -> Iterator[list[int]]:
+    """Places of the texts that aren't empty, in groups of about ``GROUP_BYTES``."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            group.append(i)
+            size += len(t)
+            if size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def encoded(texts: list) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [(t or "").encode() for t in texts]

@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import BYTE_VALUES, encoded, ids_and_text, map_columns, prefix_sums, range_hashes
+from kinetable.llm.common import BYTE_VALUES, encoded, grouped, ids_and_text, map_columns, prefix_sums, range_hashes, with_new_text
 
 WINDOW = 10
 #: Windows that one pass searches for; more are searched in further passes.
@@ -315,6 +316,35 @@ def removed(text: str | None, spans: list[list[int]]) -> str:
     return b"".join(out).decode()
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS, text_col: str = "text") -> DataFrame:
+    """``docs`` without the passages of the test set; all rows and columns stay, null texts stay null.
+
+    Every block of phrases is a pass over the texts that the passes before have left, and a cut may
+    bring the words of a further occurrence together, so each pass cuts until none is left.
+    """
+    for phrases in blocks_of(benchmark, "item_id", "text", size, most):
+        shared = docs.sparkSession.sparkContext.broadcast(phrases)
+        docs = with_new_text(docs, _cutter(shared)(F.col(text_col)), text_col)
+    return docs
+
+
+def _cutter(shared):
+    @F.pandas_udf("string")
+    def cut(text: pd.Series) -> pd.Series:
+        out = text.tolist()
+        for todo in grouped(out):
+            while todo:
+                owner, first, window = occurrences([out[i].encode() for i in todo], shared.value)[1:]
+                hit = np.unique(owner).tolist()
+                for d in hit:
+                    mine = owner == d
+                    out[todo[d]] = removed(out[todo[d]], merged(first[mine], shared.value.lengths[window[mine]]))
+                todo = [todo[d] for d in hit]
+        return pd.Series(out, dtype=object)
+
+    return cut
+
+
 def reference_hits(text: str | None, benchmark: list[tuple], size: int = WINDOW) -> tuple[int, int, set]:
     """Brute force for tests: words, hit words and items of one text."""
     buf, starts, ends, _ = word_ranges([(text or "").encode()])

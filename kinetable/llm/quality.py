@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import BYTE_VALUES, encoded, ids_and_text, map_columns, mixed, prefix_sums, range_hashes
+from kinetable.llm.common import BYTE_VALUES, encoded, ids_and_text, map_columns, mixed, prefix_sums, range_hashes, rows_where
 from kinetable.llm.labels import SAMPLE_PER_CLASS, held_out, training_texts
 
 BUCKET_BITS, DIM, NGRAMS, EPOCHS, RATE = 18, 16, (3, 5), 8, 0.4
@@ -98,6 +98,10 @@ def logits(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1) + float(weights[-1])
 
 
+def probabilities(texts: list, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits(encoded(texts), weights), -40, 40)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> np.ndarray:
     """Weights for ``logits``; the sample is balanced, so the classes' shares come in as the bias."""
     sample, counts = training_texts(docs, labels, "quality", per_class)
@@ -118,9 +122,14 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(cols):
-        z = logits(encoded(cols["text"]), shared.value)
-        return {"doc_id": cols["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))}
+        return {"doc_id": cols["doc_id"], "score": probabilities(cols["text"], shared.value)}
 
     rows = ids_and_text(docs)
     scored = map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
+    """Whole rows whose text scores at least ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    return rows_where(docs, lambda texts: probabilities(texts, shared.value) >= threshold)

@@ -25,11 +25,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import BYTE_VALUES, encoded, map_columns, mixed, prefix_sums, range_hashes, sliced, written
+from kinetable.llm.common import BYTE_VALUES, encoded, map_columns, mixed, prefix_sums, range_hashes, sliced, with_new_text, written
 
 c = F.col
 LENGTH, GRAM, SYMBOL = 400, 128, 8
@@ -329,6 +330,19 @@ def digests(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the repeated bytes; all rows and columns stay, null texts stay null."""
+    own = docs.withColumns({"_kt_t1": F.xxhash64(F.coalesce(c(text_col), F.lit(""))), "_kt_t2": F.xxhash64(F.lit(1), F.coalesce(c(text_col), F.lit("")))})
+    found = spans(_keyed(docs, "doc_id", text_col), length=length, **options).select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"))
+    met = own.join(found, (c("_kt_t1") == c("_kt_w1")) & (c("_kt_t2") == c("_kt_w2")), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else text_kept(t.encode(), cover([(s["lo"], s["hi"]) for s in g], length)) for t, g in zip(text, starts)], dtype=object)
+
+    return with_new_text(met, F.coalesce(cut(c(text_col), c("_kt_spans")), c(text_col)), text_col).select(*[c(f"`{n}`") for n in docs.columns])
+
+
 def text_kept(data: bytes, removed: list[list[int]]) -> str:
     """The rest as text; a character of which a part is removed goes whole."""
     return kept_bytes(data, removed).decode("utf-8", "ignore")
