@@ -55,12 +55,12 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(cols):
-    """Sparse counts of each training text."""
+    """Sparse counts of each training text, as the bytes of int32 and float32 arrays."""
     buckets, counts = [], []
     for t in encoded(cols["text"]):
         b, n = np.unique(features([t])[0], return_counts=True)
-        buckets.append(b.astype(np.int32))
-        counts.append(n.astype(np.float32))
+        buckets.append(b.astype(np.int32).tobytes())
+        counts.append(n.astype(np.float32).tobytes())
     return {"doc_id": cols["doc_id"], "y": cols["y"], "buckets": buckets, "counts": counts}
 
 
@@ -69,12 +69,12 @@ def train(rows: list, prior: float, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
-    data = [(np.asarray(r["buckets"], np.int64), np.asarray(r["counts"], np.float32), int(r["y"])) for r in rows if len(r["buckets"])]
-    data = [(b, n / n.sum(), y) for b, n, y in data]
+    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32), int(r["y"])) for r in rows if len(r["buckets"])]
     steps, done = EPOCHS * max(1, len(data)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
-            b, share, y = data[i]
+            b, n, y = data[i]
+            share = n / n.sum()
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ vectors[b]
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     sample, counts = training_texts(docs, labels, "quality", per_class)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    sparse = map_columns(sample.select("doc_id", "text", "y"), counted, f"doc_id {kind}, y int, buckets array<int>, counts array<float>")
+    sparse = map_columns(sample.select("doc_id", "text", "y"), counted, f"doc_id {kind}, y int, buckets binary, counts binary")
     rows = sorted(sparse.toLocalIterator(), key=lambda r: (r["doc_id"], len(r["buckets"])))
     used = [sum(1 for r in rows if r["y"] == y) for y in (0, 1)]
     if not all(used) or not (n0 and n1):
