@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kinetable.llm.common import hash_strings, ids_and_text, map_columns
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
 #: Planes without letters, where Unicode tables differ between libraries: such texts go to the library whole.
 UNASSIGNED = regex.compile("[\U000323B0-\U000DFFFF]").search
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -100,6 +100,9 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
+LETTERS = {b: c for b, c in _byte_letters().items() if chr(b) != c}
+
+
 def normalised(text: str) -> str:
     """NFC and lower case, letter by letter (no special form of a final sigma)."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -118,7 +121,8 @@ class Counter:
         rest = [w for w, n in zip(fresh, lengths) if not n]
         self.known.update(zip(fresh, lengths))
         if rest:
-            self.known.update(zip(rest, (len(e.ids) for e in self.library.encode_batch(rest, add_special_tokens=False))))
+            tokenize = self.library.model.tokenize  # a pre-token's bytes are the model's letters
+            self.known.update((w, len(tokenize(w.encode().decode("latin-1").translate(LETTERS)))) for w in rest)
 
     def count(self, text: str) -> int:
         total, parts = 0, [text]
@@ -145,7 +149,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def run(cols):
         if 0 not in counters:
             counters[0] = Counter(path, shared.value)
-        return {"doc_id": cols["doc_id"], "text_bytes": [len((t or "").encode()) for t in cols["text"]], "n_tokens": [counters[0].count(t or "") for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "text_bytes": [len(t.encode()) if t else 0 for t in cols["text"]], "n_tokens": [counters[0].count(t or "") for t in cols["text"]]}
 
     rows = ids_and_text(docs, id_col, text_col)
     counted = map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_bytes bigint, n_tokens bigint")
