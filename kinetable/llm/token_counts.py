@@ -103,9 +103,15 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = {b: c for b, c in _byte_letters().items() if chr(b) != c}
 
 
+#: Lower-case forms newer than some Python versions' tables, and the sigma, which never takes its final form.
+LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+SPECIAL_LOWER = regex.compile("[" + "".join(map(chr, LOWER)) + "]").search
+
+
 def normalised(text: str) -> str:
-    """NFC and lower case, letter by letter (no special form of a final sigma)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """NFC and lower case, letter by letter."""
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(LOWER) if SPECIAL_LOWER(text) else text).lower()
 
 
 class Counter:
