@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinetable.operators.lineage import scratch_folder
 
 #: Texts are handled in groups of about so many bytes, so that work arrays stay small.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str, group: int = GROUP_BYTES) -> DataFrame:
     """``fn`` from a batch's columns (Python lists) to the result's columns, on Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, group):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()}).cast(target)
@@ -68,11 +68,11 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row groups of a batch of about ``GROUP_BYTES`` each; no row is cut."""
+def sliced(batch: pa.RecordBatch, group: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row groups of a batch of about ``group`` bytes each; no row is cut."""
     rows = batch.num_rows
     if rows:
-        step = max(1, int(rows * GROUP_BYTES / max(batch.nbytes, 1)))
+        step = max(1, int(rows * group / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
 

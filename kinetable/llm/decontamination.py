@@ -27,6 +27,8 @@ WINDOW = 10
 #: Windows that one pass searches for; more are searched in further passes.
 BLOCK_WINDOWS = 200_000
 SAMPLING = 16
+#: Text of a shard, about.
+SHARD_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -268,7 +270,7 @@ def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
         return {"doc_id": cols["doc_id"], "n_words": n_words, "spans": spans, "items": items}
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_columns(rows.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>")
+    return map_columns(rows.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>", SHARD_BYTES)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
