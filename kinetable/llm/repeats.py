@@ -5,7 +5,7 @@ A window (``length`` bytes) is repeated if it starts anywhere else too, in any d
 1. Every window has an anchor, its leftmost smallest k-gram hash; neighbouring windows with the same
    anchor form a *context*.  Equal windows have equal anchors at equal distances, so only contexts of
    the same anchor hash can hold equal windows.  Anchors that occur once are done.
-2. Contexts of the same content are one *class*.  A class with two contexts is repeated throughout.
+2. Contexts of the same content are one *class*, counted within each text first.  A class with two contexts is repeated throughout.
    Other classes are compared with all classes of their anchor.
 3. Compared classes go to shards by anchor.  A shard cuts each context into symbols of eight bytes,
    aligned to its anchor, and takes the Burrows-Wheeler transform of them all.  Breadth-first backward
@@ -75,22 +75,52 @@ def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return own, first - begin[own], last - first, anchor - first, h[anchor].view(np.int64), range_hashes(sums, first, last + length).view(np.int64)
 
 
+def own_repeats(own, at, span, off, h, ctx):
+    """Contexts of one class within one text, as in periodic text, count together.
+
+    Returns which contexts to keep (the first of each), how many each stands for, and, as their windows
+    are repeated whatever else there is, the joined ranges of those with more than one: text, first, last.
+    """
+    order = np.lexsort((at, span, off, ctx, h, own))
+    same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
+    for k in (own, h, ctx, off, span):
+        same &= np.diff(k[order]) == 0
+    head = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+    group = np.cumsum(head) - 1
+    times = np.bincount(group) if len(order) else np.zeros(0, np.int64)
+    many = np.zeros(len(order), bool)
+    many[order] = times[group] > 1
+    kept = order[head]
+    rows = np.flatnonzero(many)
+    new = np.concatenate([[True], (own[rows[1:]] != own[rows[:-1]]) | (at[rows[1:]] != at[rows[:-1]] + span[rows[:-1]] + 1)]) if len(rows) else np.zeros(0, bool)
+    begin, end = rows[new], rows[np.append(np.flatnonzero(new)[1:] - 1, len(rows) - 1)] if len(rows) else rows
+    return kept, times, (own[begin], at[begin], at[end] + span[end])
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(c(text_col), F.lit(""))
     return docs.select(c(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
 def _context_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row a text and class, with its number ``m`` in the text; rows without a class are ranges that are repeated anyway."""
+
     def run(cols):
         own, at, span, off, h, ctx = contexts(encoded(cols["text"]), length, gram)
-        pick = lambda name: np.array(cols[name], np.int64)[own] if len(own) else np.zeros(0, np.int64)
-        ids = pa.array(cols["doc_id"]).take(pa.array(own)) if len(own) else None
-        if ids is None:
+        if not len(own):
             return None
-        return {"doc_id": ids, "t1": pick("t1"), "t2": pick("t2"), "at": at, "off": off, "run": span, "h": h, "ctx": ctx}
+        kept, times, (text, first, last) = own_repeats(own, at, span, off, h, ctx)
+        of = np.concatenate([own[kept], text])
+        pick = lambda name: np.array(cols[name], np.int64)[of]
+        both = lambda a, b: pa.concat_arrays([pa.array(a), b])
+        none = pa.nulls(len(text), pa.int64())
+        return {
+            "doc_id": pa.array(cols["doc_id"]).take(pa.array(of)), "t1": pick("t1"), "t2": pick("t2"), "at": np.concatenate([at[kept], first]),
+            "off": both(off[kept], none), "run": np.concatenate([span[kept], last - first]), "h": both(h[kept], none), "ctx": both(ctx[kept], none), "m": both(times, none),
+        }
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return map_columns(keyed, run, f"doc_id {kind}, t1 bigint, t2 bigint, at int, off int, run int, h bigint, ctx bigint")
+    return map_columns(keyed, run, f"doc_id {kind}, t1 bigint, t2 bigint, at int, off int, run int, h bigint, ctx bigint, m bigint")
 
 
 # ---------------------------------------------------------------- Burrows-Wheeler transform
@@ -207,12 +237,13 @@ def ranges(flags: np.ndarray) -> list[list[int]]:
 def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int = DENSE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``t1, t2, spans``: of each text (by its two hashes) the ranges of first bytes of repeated windows."""
     rows = written(_context_rows(keyed, length, gram), "contexts")
-    groups = rows.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "doc_id", "at")).alias("one"))
+    classed = rows.filter("m IS NOT NULL")
+    groups = classed.groupBy(*CLASS).agg(F.sum("m").alias("n"), F.min(F.struct("t1", "t2", "doc_id", "at")).alias("one"))
     groups = written(groups, "classes")
     anchors = groups.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
     compared = written(groups.join(anchors.select("h", "k"), "h").select(*CLASS, "n", "one.*", "k"), "compared")
     stats = compared.agg(F.sum(F.col("run") + length).alias("size"), F.max("k").alias("k")).first()
-    settled = [groups.filter("n > 1").select(*CLASS, F.lit(0).alias("lo"), c("run").alias("hi"))]
+    settled = [groups.filter("n > 1").select(*CLASS, F.array(F.struct(F.lit(0).alias("lo"), c("run").alias("hi"))).alias("ranges"))]
     if stats["size"]:
         text = _with_text(keyed, compared, length)
         if stats["k"] > dense:
@@ -223,8 +254,10 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int =
     verdicts = settled[0]
     for more in settled[1:]:
         verdicts = verdicts.unionByName(more)
-    found = rows.join(written(verdicts, "verdicts"), CLASS).select("t1", "t2", (c("at") + c("lo")).alias("lo"), (c("at") + c("hi")).alias("hi")).distinct()
-    return found.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    sure = rows.filter("m IS NULL").select("t1", "t2", "at", F.array(F.struct(F.lit(0).alias("lo"), c("run").alias("hi"))).alias("ranges"))
+    found = classed.filter("m = 1").join(written(verdicts, "verdicts"), CLASS).select("t1", "t2", "at", "ranges").unionByName(sure).distinct()
+    shifted = F.transform("ranges", lambda r: F.struct((c("at") + r["lo"]).alias("lo"), (c("at") + r["hi"]).alias("hi")))
+    return found.select("t1", "t2", shifted.alias("own")).groupBy("t1", "t2").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("spans"))
 
 
 def _with_text(keyed: DataFrame, compared: DataFrame, length: int) -> DataFrame:
@@ -237,7 +270,7 @@ def _with_text(keyed: DataFrame, compared: DataFrame, length: int) -> DataFrame:
     return cut.select("w.*", F.substring("data", c("w.at") + 1, c("w.run") + length).alias("data"))
 
 
-_VERDICT = "h bigint, off int, run int, ctx bigint, lo int, hi int"
+_VERDICT = "h bigint, off int, run int, ctx bigint, ranges array<struct<lo:int,hi:int>>"
 
 
 def _by_transform(text: DataFrame, shards: int, length: int) -> DataFrame:
@@ -251,10 +284,10 @@ def _by_transform(text: DataFrame, shards: int, length: int) -> DataFrame:
         table = table.take(keep)
         cols = {k: table.column(k).to_numpy() for k in (*CLASS, "n")}
         flags = repeated_windows(table.column("data").to_pylist(), cols["off"].astype(np.int64), cols["run"].astype(np.int64), cols["n"], length)
-        out = [(i, *r) for i, f in enumerate(flags) if cols["n"][i] == 1 for r in ranges(f)]
-        pick = np.array([o[0] for o in out], np.int64)
-        made = {k: cols[k][pick] for k in CLASS} | {"lo": [o[1] for o in out], "hi": [o[2] for o in out]}
-        kinds = {"h": pa.int64(), "off": pa.int32(), "run": pa.int32(), "ctx": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
+        pick = np.array([i for i, f in enumerate(flags) if cols["n"][i] == 1 and f.any()], np.int64)
+        made = {k: cols[k][pick] for k in CLASS} | {"ranges": [[{"lo": a, "hi": b} for a, b in ranges(flags[i])] for i in pick.tolist()]}
+        parts = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        kinds = {"h": pa.int64(), "off": pa.int32(), "run": pa.int32(), "ctx": pa.int64(), "ranges": parts}
         return pa.table({k: pa.array(made[k], t) for k, t in kinds.items()})
 
     shard = F.pmod(F.xxhash64("h"), F.lit(shards))
@@ -281,7 +314,8 @@ def _by_counts(text: DataFrame, length: int) -> DataFrame:
     single = text.dropDuplicates(CLASS).select(*CLASS, "n", "data")
     windows = written(single.mapInArrow(run, "h bigint, off int, run int, ctx bigint, n bigint, place int, one bigint, two bigint"), "windows")
     many = windows.groupBy("one", "two").agg(F.sum("n").alias("all")).filter(c("all") > 1).drop("all")
-    return windows.filter("n = 1").join(many, ["one", "two"]).select(*CLASS, c("place").alias("lo"), c("place").alias("hi"))
+    found = windows.filter("n = 1").join(many, ["one", "two"])
+    return found.groupBy(*CLASS).agg(F.array_sort(F.collect_list(F.struct(c("place").alias("lo"), c("place").alias("hi")))).alias("ranges"))
 
 
 def cover(starts: list, length: int) -> list[list[int]]:
