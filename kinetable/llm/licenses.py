@@ -86,7 +86,11 @@ def _shingle_hashes(words: Column) -> Column:
 
 def _bands(hashes: Column) -> Column:
     """Band number and MinHash of each band."""
-    return F.array(*[F.struct(F.lit(j).alias("band"), F.array_min(F.transform(hashes, lambda x, j=j: F.xxhash64(F.lit(j), x))).alias("low")) for j in range(BANDS)])
+    return F.array(*[F.struct(F.lit(j).alias("band"), F.array_min(F.transform(hashes, _seeded(j))).alias("low")) for j in range(BANDS)])
+
+
+def _seeded(j: int):
+    return lambda x: F.xxhash64(F.lit(j), x)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
