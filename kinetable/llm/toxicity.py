@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from kinetable.llm.common import ids_and_text, map_columns
 from kinetable.llm.labels import SAMPLE_PER_CLASS, held_out, training_texts
 
-KEY_BITS, SUPPORT, LEAST_ODDS = 22, 4, 1.0
+KEY_BITS, SUPPORT, LEAST_ODDS, CAUTION = 22, 4, 0.5, 1.5
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 80, 3, 0.2, 32, 20
-CACHE_ENTRIES, NEAR = 200_000, 5
+CACHE_ENTRIES, NEAR, IMAGINED = 200_000, 5, 10
 LOOKALIKES = str.maketrans("0134578@$!|+", "oieastbasiit")
 YOU = frozenset("you your yours yourself u ur tu te ti tus toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch usted ustedes vosotros".split())
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -42,12 +42,13 @@ def word_keys(token: str) -> list[int]:
 
 
 def learn_lexicon(rows: list[dict]) -> dict[int, float]:
-    """Log-odds of keys that at least ``SUPPORT`` toxic documents hold."""
+    """Log-odds of keys that at least ``SUPPORT`` toxic documents hold, less ``CAUTION`` standard errors."""
     n = [sum(1 for r in rows if r["y"] == y) for y in (0, 1)]
     seen = [np.zeros(1 << KEY_BITS, np.int32) for _ in (0, 1)]
     for r in rows:
         seen[r["y"]][np.asarray(r["keys"], np.int64)] += 1
     odds = np.log((seen[1] + 0.1) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    odds -= CAUTION * np.sqrt(1 / (seen[1] + 0.1) + 1 / (seen[0] + 0.5))
     keep = np.flatnonzero((seen[1] >= SUPPORT) & (odds >= LEAST_ODDS))
     return dict(zip(keep.tolist(), odds[keep].tolist()))
 
@@ -166,7 +167,8 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and non-decreasing values, one imagined row of each class at the ends."""
+    """Pool adjacent violators: knots and non-decreasing values, each pool with ``IMAGINED`` rows of the classes' shares."""
+    share = float((y * weight).sum() / weight.sum())
     order = np.argsort(z, kind="stable")
     pools: list[list[float]] = []
     for zi, yi, wi in zip(z[order].tolist(), y[order].tolist(), weight[order].tolist()):
@@ -175,7 +177,7 @@ def isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             last = pools.pop()
             pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
     knots = np.array([k for p in pools for k in (p[2], p[3])])
-    values = np.array([(p[0] + 0.01) / (p[1] + 0.02) for p in pools for _ in (0, 1)])
+    values = np.array([(p[0] + IMAGINED * share) / (p[1] + IMAGINED) for p in pools for _ in (0, 1)])
     return knots, np.maximum.accumulate(values)
 
 
