@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is a grouped minimum and a join on the same key (skewed keys split by adaptive
-execution); rounds grow with the logarithm of the number of nodes.  Each round's edges are
+Every round is a grouped minimum, written as a table of its own, and a join with it on the same key, so
+that adaptive execution can split the join of a node with very many edges; rounds grow with the logarithm of the number of nodes.  Each round's edges are
 written to the shared folder, and only their count and checksum reach the driver.
 """
 
@@ -17,12 +17,12 @@ c = F.col
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(c("v").alias("u"), c("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_kt_m")).select("u", F.least("u", "_kt_m").alias("_kt_m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("_kt_m")).select("u", F.least("u", "_kt_m").alias("_kt_m")), "least")
     return both.join(least, "u").filter("v > u").select(c("v").alias("u"), c("_kt_m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("_kt_m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("_kt_m")), "least")
     moved = edges.join(least, "u").filter("v <> _kt_m").select(c("v").alias("u"), c("_kt_m").alias("v"))
     kept = least.select("u", c("_kt_m").alias("v"))
     return kept.unionByName(moved.filter("u > v")).unionByName(moved.filter("u < v").select(c("v").alias("u"), c("u").alias("v"))).distinct()

@@ -340,7 +340,7 @@ def kept_bytes(data: bytes, removed: list[list[int]]) -> bytes:
 def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``doc_id, text`` (null is empty) and ``spans`` (first bytes of repeated windows; null if none) of every row."""
     keyed = _keyed(docs, id_col, text_col)
-    found = spans(keyed, **options).select(c("t1").alias("w1"), c("t2").alias("w2"), "spans")
+    found = written(spans(keyed, **options), "spans").select(c("t1").alias("w1"), c("t2").alias("w2"), "spans")
     return keyed.join(found, (c("t1") == c("w1")) & (c("t2") == c("w2")), "left").select("doc_id", "text", "spans")
 
 
@@ -367,7 +367,7 @@ def digests(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the repeated bytes; all rows and columns stay, null texts stay null."""
     own = docs.withColumns({"_kt_t1": F.xxhash64(F.coalesce(c(text_col), F.lit(""))), "_kt_t2": F.xxhash64(F.lit(1), F.coalesce(c(text_col), F.lit("")))})
-    found = spans(_keyed(docs, "doc_id", text_col), length=length, **options).select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"))
+    found = written(spans(_keyed(docs, "doc_id", text_col), length=length, **options), "spans").select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"))
     met = own.join(found, (c("_kt_t1") == c("_kt_w1")) & (c("_kt_t2") == c("_kt_w2")), "left")
 
     @F.pandas_udf("string")
