@@ -46,13 +46,14 @@ SPEEDS_SQL = """sp AS (SELECT sid, sqrt(pow(x - px, 2) + pow(y - py, 2)) / (t -
  FROM frames WHERE source = 'detected' WINDOW w AS (PARTITION BY sid ORDER BY frame_index)) WHERE pt IS NOT NULL AND t - pt > 1e-6)"""
 
 
-@query("AGG17", with_(FRAMES_SQL, SPEEDS_SQL) + """SELECT sid, round(v, 4) AS p95_speed, n FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY sid) AS n FROM sp)
- WHERE r = least(n - 1, round_even(0.95 * (n - 1), 0))""")
+@query("AGG17", with_(FRAMES_SQL, SPEEDS_SQL) + """SELECT s.sid, coalesce(round(v, 4), 0) AS p95_speed, coalesce(n, 0) AS n FROM (SELECT DISTINCT sid FROM frames) s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY v) - 1 AS r,
+ count(*) OVER (PARTITION BY sid) AS n FROM sp) WHERE r = least(n - 1, round_even(0.95 * (n - 1), 0))) q ON q.sid = s.sid""")
 def p95_speed(spark, sf):
-    rows = win.consecutive_pairs(frames(spark, sf).filter("source = 'detected'"), FRAME_SERIES, ["x", "y", "timestamp_sec"])
+    every = frames(spark, sf)
+    rows = win.consecutive_pairs(every.filter("source = 'detected'"), FRAME_SERIES, ["x", "y", "timestamp_sec"])
     dt = c("timestamp_sec") - c("a.timestamp_sec")
     v = F.hypot(c("x") - c("a.x"), c("y") - c("a.y")) / dt
-    out = ag.nearest_rank(rows.filter(dt > 1e-6).withColumn("v", v), ["sid"], "v", "floor(v / 64)", name="p95_speed")
+    out = ag.nearest_rank(rows.filter(dt > 1e-6).withColumn("v", v), ["sid"], "v", "floor(v / 64)", name="p95_speed", spine=every)
     return out.withColumn("p95_speed", F.round("p95_speed", 4))
 
 
@@ -75,10 +76,12 @@ def weighted_side(spark, sf):
     return out.select(*KEYS, F.round("left_mean", 6).alias("left_mean"), F.round("right_mean", 6).alias("right_mean"), "shooting_side")
 
 
-@query("AGG20", with_(DETECTIONS_SQL) + f"""SELECT sid, count(*) AS frames_with_detection, round(count(*) / {DETECTION_DAYS}, 4) AS coverage, round(avg(b), 4) AS mean_best_confidence
- FROM (SELECT sid, frame_index, max(confidence) AS b FROM detections GROUP BY ALL) GROUP BY sid""")
+@query("AGG20", with_(DETECTIONS_SQL) + f"""SELECT sid, count(b) AS frames_with_detection, round(count(b) / {DETECTION_DAYS}, 4) AS coverage, round(avg(b), 4) AS mean_best_confidence
+ FROM (SELECT sid FROM detections UNION SELECT c_custkey::BIGINT FROM customer) s LEFT JOIN (SELECT sid, frame_index, max(confidence) AS b FROM detections GROUP BY ALL) d USING (sid) GROUP BY sid""")
 def coverage(spark, sf):
-    return ag.coverage(detections(spark, sf), ["sid"], "frame_index", F.lit(DETECTION_DAYS))
+    dets = detections(spark, sf)
+    sessions = dets.select("sid").union(table(spark, sf, "customer").select(c("c_custkey").cast("long"))).distinct()
+    return ag.coverage(dets, sessions, ["sid"], "frame_index", F.lit(DETECTION_DAYS))
 
 
 WIDE_SQL = WINDOWS_SQL.replace("+ 3", "+ 9") + ", ds AS (SELECT DISTINCT sid, frame_index AS f FROM detections)"

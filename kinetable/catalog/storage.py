@@ -52,12 +52,15 @@ def reports(spark, sf):
 LEVEL = "CASE WHEN {c} >= 0.75 THEN 'high' WHEN {c} >= 0.5 THEN 'medium' WHEN {c} > 0 THEN 'low' ELSE 'excluded' END".format(c="least(release_confidence, pose_quality, ball_track_quality)")
 
 
-@query("SNK03", with_(shots_sql()) + f"""SELECT sid, 0::BIGINT AS part, count(*)::INTEGER AS n_shots, max(outcome) FILTER (p = 1) AS first_outcome, max({LEVEL}) FILTER (p = 1) AS first_level
+@query("SNK03", with_(shots_sql()) + f"""SELECT sid, count(*) AS lines, count(*)::INTEGER AS n_shots, max(outcome) FILTER (p = 1) AS first_outcome, max({LEVEL}) FILTER (p = 1) AS first_level
  FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM shots) GROUP BY sid""")
 def report_json(spark, sf):
-    at = lambda p: F.get_json_object("report", p)
-    shots_in = F.from_json(at("$.shots"), "array<struct<outcome: string>>")
-    return reports(spark, sf).select("sid", "part", F.size(shots_in).alias("n_shots"), at("$.shots[0].outcome").alias("first_outcome"), at("$.shots[0].overall_confidence_level").alias("first_level"))
+    at = lambda p: F.get_json_object("line", p)
+    first = lambda p: F.max(F.when(c("line_no") == 1, at(p)))
+    return reports(spark, sf).groupBy("sid").agg(
+        F.count_if(at("$.kind") == "shot").alias("lines"), F.max(F.when(c("line_no") == 0, at("$.n_shots").cast("int"))).alias("n_shots"),
+        first("$.shot.outcome").alias("first_outcome"), first("$.shot.overall_confidence_level").alias("first_level"),
+    )
 
 
 @query("SRC02", with_(shots_sql()) + "SELECT sid, count(*) AS shots, count(*) FILTER (outcome = 'made') AS made, max(end_time_sec) AS last_end FROM shots GROUP BY sid")

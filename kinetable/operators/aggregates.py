@@ -65,14 +65,23 @@ def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank: Column, b
     return rows.filter(hit).select(*keys, c(value).alias(name), "n")
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "upper_median") -> DataFrame:
-    return ranked_value(df, keys, value, F.floor(c("n") / 2), block, name)
+def with_all_keys(found: DataFrame, spine: DataFrame, keys: Sequence[str], name: str, default: Column) -> DataFrame:
+    """Keys of ``spine`` without a value get ``default`` and a count of 0."""
+    every = spine.select(*keys).distinct().join(found, list(keys), "left")
+    return every.select(*keys, F.coalesce(name, default).alias(name), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, block: str, q: float = 0.95, name: str = "p95") -> DataFrame:
-    """Nearest-rank quantile; the rank is rounded half to even."""
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "upper_median", default: Column | None = None) -> DataFrame:
+    """Upper median of each key; with ``default``, keys that hold only nulls get that."""
+    found = ranked_value(df, keys, value, F.floor(c("n") / 2), block, name)
+    return found if default is None else with_all_keys(found, df, keys, name, default)
+
+
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, block: str, q: float = 0.95, name: str = "p95", spine: DataFrame | None = None) -> DataFrame:
+    """Nearest-rank quantile, the rank rounded half to even; keys of ``spine`` without a value get 0."""
     rank = F.least(c("n") - 1, F.bround(F.lit(q) * (c("n") - 1), 0))
-    return ranked_value(df, keys, value, rank, block, name)
+    found = ranked_value(df, keys, value, rank, block, name)
+    return found if spine is None else with_all_keys(found, spine, keys, name, F.lit(0.0))
 
 
 def weighted_side(samples: DataFrame, keys: Sequence[str], floor: float = DEFAULTS.detection.landmark_floor) -> DataFrame:
@@ -93,13 +102,16 @@ def weighted_side(samples: DataFrame, keys: Sequence[str], floor: float = DEFAUL
     return agg.withColumn("shooting_side", side)
 
 
-def coverage(dets: DataFrame, keys: Sequence[str], frame: str, total_frames: Column) -> DataFrame:
-    """Share of frames with a detection and the mean of the per-frame best confidence."""
+def coverage(dets: DataFrame, sessions: DataFrame, keys: Sequence[str], frame: str, total_frames: Column) -> DataFrame:
+    """Share of frames with a detection and the mean of the per-frame best confidence.
+
+    ``total_frames`` is an expression over ``sessions``; those without any detection have coverage 0.
+    """
     per = dets.groupBy(*keys, frame).agg(F.max("confidence").alias("best"))
-    return per.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("frames_with_detection"),
-        F.round(F.count(F.lit(1)) / total_frames, 4).alias("coverage"),
-        F.round(F.avg("best"), 4).alias("mean_best_confidence"),
+    found = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_with_detection"), F.round(F.avg("best"), 4).alias("mean_best_confidence"))
+    seen = F.coalesce("frames_with_detection", F.lit(0)).cast("long")
+    return sessions.join(found, list(keys), "left").select(
+        *keys, seen.alias("frames_with_detection"), F.round(seen / total_frames, 4).alias("coverage"), "mean_best_confidence"
     )
 
 

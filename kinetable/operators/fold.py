@@ -4,7 +4,8 @@ A fold consumes a key's rows in order and carries a small state.  Rows are group
 ``(keys, block)``, so no task ever holds more than one block of a key.  Keys that span
 several blocks are resolved in rounds: every block runs from the state its predecessor
 ended with in the round before, and only blocks whose starting state changed run again.
-Folds that forget (trackers, state machines) settle in two rounds; folds that do not are
+States are compared in full, so the result
+is that of one pass over the whole series.  Folds that forget (trackers, state machines) settle in a few rounds; folds that do not are
 advanced one block per round (``forgets=False``).  The state tables are checkpointed, one
 row per block.
 """
@@ -22,8 +23,6 @@ from pyspark.sql import types as T
 from kinetable.operators.lineage import cut_lineage
 from kinetable.operators.ordered import BLOCK
 
-STATE_DIGITS = 9
-
 
 class Fold:
     """A fold: ``start()`` gives a state, ``step`` consumes a row, ``finish`` ends a key.
@@ -45,17 +44,8 @@ class Fold:
         return []
 
     def token(self, state):
-        return _rounded(state)
-
-
-def _rounded(value):
-    if isinstance(value, float):
-        return float(f"{value:.{STATE_DIGITS}g}")
-    if isinstance(value, list | tuple):
-        return [_rounded(v) for v in value]
-    if isinstance(value, dict):
-        return {k: _rounded(v) for k, v in value.items()}
-    return value
+        """What two states must have in common to be the same: all of it, unless a fold knows better."""
+        return state
 
 
 def _run(fold: Fold, pdf: pd.DataFrame, state, emit: bool):

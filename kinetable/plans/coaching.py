@@ -86,7 +86,7 @@ def coaching(shots: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], w
     )
     if wording is None:
         return out.drop("_made_higher")
-    words = F.broadcast(wording)  # one row per registry metric
+    words = wording  # small: its measured size lets Spark broadcast it
     strength = words.select(c("metric_key").alias("strength_key"), c("strength_text"))
     priority = words.withColumnRenamed("metric_key", "priority_key").drop("strength_text")
     told = out.join(strength, "strength_key", "left").join(priority, "priority_key", "left")

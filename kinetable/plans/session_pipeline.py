@@ -11,7 +11,7 @@ from kinetable.functions.scores import RELIABLE_SOURCES
 from kinetable.operators.aggregates import weighted_side
 from kinetable.operators.joins import interval_join
 from kinetable.operators.lineage import stage
-from kinetable.operators.mechanics import mechanics
+from kinetable.operators.mechanics import mechanics, pose_facts
 from kinetable.operators.ordered import dim_join
 from kinetable.operators.outcome import classify_outcome
 from kinetable.operators.projections import apply_exclusion
@@ -38,6 +38,15 @@ def shooting_sides(pose: DataFrame, points: DataFrame, windows: DataFrame, width
     return weighted_side(inside, [*k, "shot_index"]).select(*k, "shot_index", "shooting_side")
 
 
+def elbow_angles(pose: DataFrame, sided: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
+    """Elbow angle of the shooting arm in every pose frame of an attempt."""
+    k = list(keys)
+    facts = pose_facts(pose, k).select(*k, "frame_index", "elbow_left", "elbow_right")
+    inside = interval_join(facts, sided.select(*k, "shot_index", "shooting_side", "start_frame", "end_frame"), k, "frame_index", "start_frame", "end_frame")
+    angle = F.when(c("shooting_side") == "left", c("elbow_left")).when(c("shooting_side") == "right", c("elbow_right"))
+    return inside.select(*k, "shot_index", "frame_index", angle.alias("elbow_deg"))
+
+
 def flight_of(points: DataFrame, windows: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
     """Points from the release (or the best known start) to the end of each attempt."""
     start = F.coalesce("release_frame", "release_candidate_frame", "upward_start_frame", "start_frame")
@@ -68,8 +77,8 @@ def build_shots(signals: DataFrame, pose: DataFrame, points: DataFrame, hoops: D
     """
     k, per = list(keys), [*keys, "shot_index"]
     windows = stage(segment_shots(signals, k))
-    release = refine_release(windows, signals, k)
-    sides = shooting_sides(pose, points, windows, width, height, k)
+    sides = stage(shooting_sides(pose, points, windows, width, height, k))
+    release = refine_release(windows, signals, k, elbow_angles(pose, windows.join(sides, per, "left"), k))
     known = stage(windows.join(release, per, "left").join(sides, per, "left"))
     flight = stage(flight_of(points, known, k))
     outcome = classify_outcome(flight, hoops, per, k).select(*per, "outcome", "outcome_confidence", "outcome_reason")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.functions.scores import SOURCES
@@ -63,18 +65,26 @@ def media_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Image files decoded by the JVM, as gray-value arrays in row order."""
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return img.select(c("origin").alias("path"), "width", "height", gray_of(c("data"), c("width"), c("height"), c("nChannels")).alias("gray"))
+    """Image files decoded by the JVM, as gray-value arrays in row order.
+
+    Files that can't be decoded keep their row, with ``valid`` false and no pixels.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    return with_gray(img.select(c("origin").alias("path"), "width", "height", "nChannels", "data"))
 
 
-def gray_of(data: Column, width: Column, height: Column, channels: Column) -> Column:
-    """Mean of the first three channels of interleaved bytes."""
-    hexed = F.hex(data)
-    byte = lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double")
-    used = F.least(channels, F.lit(3))
+def with_gray(images: DataFrame) -> DataFrame:
+    """``path, width, height, valid, gray``: the mean of the first three channels of interleaved bytes."""
 
-    def pixel(i: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), used - 1), F.lit(0.0), lambda a, k: a + byte(i * channels + k)) / used
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                wide, high, deep = row["width"] or 0, row["height"] or 0, row["nChannels"] or 0
+                valid = wide > 0 and high > 0 and deep > 0 and len(row["data"] or b"") == wide * high * deep
+                pixels = np.frombuffer(row["data"], np.uint8).reshape(-1, deep)[:, :3].mean(axis=1) if valid else None
+                out.append({"path": row["path"], "width": wide, "height": high, "valid": valid, "gray": pixels})
+            yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return F.transform(F.sequence(F.lit(0), width * height - 1), pixel)
+    target = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("valid", pa.bool_()), ("gray", pa.list_(pa.float64()))])
+    return images.mapInArrow(run, "path string, width int, height int, valid boolean, gray array<double>")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from kinetable.functions.scores import overall_level
 from kinetable.operators.curation import number_rows
+from kinetable.operators.lineage import stage
 from kinetable.operators.ordered import Series, positions
 from kinetable.operators.projections import CATEGORY_IDS
 
@@ -45,18 +46,19 @@ def write_signals(signals: DataFrame, path: str, buckets: int = BUCKETS) -> None
     flat.withColumn("bucket", bucket_of(["sid"], buckets)).write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
 
 
-def to_report_json(shots: DataFrame, series: Series, fields: Sequence[str], part_size: int = 4096) -> DataFrame:
-    """JSON report per session: per-frame arrays stay out, the overall level is added.
+def to_report_json(shots: DataFrame, series: Series, fields: Sequence[str]) -> DataFrame:
+    """Session reports as JSON lines: ``keys, line_no, line``; per-frame arrays stay out, the overall level is added.
 
-    A report holds at most ``part_size`` attempts; longer sessions continue in further parts,
-    so no session is gathered into one row.
+    Line 0 is the session's header with its number of attempts; each attempt is a line of its own,
+    so a session of any length has the same shape and is never gathered into one row.
     """
     level = overall_level(c("release_confidence"), c("pose_quality"), c("ball_track_quality"))
     placed = positions(shots, series, "_pos")
     entry = F.struct(c("_pos").alias("shot_index"), *fields, level.alias("overall_confidence_level"))
-    part = F.floor((c("_pos") - 1) / F.lit(part_size)).alias("part")
-    grouped = placed.groupBy(*series.keys, part).agg(F.array_sort(F.collect_list(entry)).alias("shots"))
-    return grouped.select(*series.keys, "part", F.to_json(F.struct("shots"), {"ignoreNullFields": "false"}).alias("report"))
+    told = lambda kind, body: F.to_json(F.struct(F.lit(kind).alias("kind"), body), {"ignoreNullFields": "false"}).alias("line")
+    heads = placed.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n_shots"))
+    head_lines = heads.select(*series.keys, F.lit(0).cast("long").alias("line_no"), told("session", c("n_shots")))
+    return head_lines.unionByName(placed.select(*series.keys, c("_pos").cast("long").alias("line_no"), told("shot", entry.alias("shot"))))
 
 
 def _double_leaves(schema: T.StructType, prefix: str = "") -> list[str]:
@@ -84,8 +86,21 @@ def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
 
 
 def save_session(rows: DataFrame, path: str, keys: Sequence[str] = ("sid",), buckets: int = BUCKETS) -> None:
-    """Write rows of whole buckets; only buckets present in ``rows`` are replaced."""
-    rows.withColumn("bucket", bucket_of(keys, buckets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Replace the sessions of ``rows`` and leave all others, also those of the same buckets.
+
+    The touched buckets' other sessions are staged and written again with the new rows.
+    """
+    fresh = rows.withColumn("bucket", bucket_of(keys, buckets))
+    if _exists(rows.sparkSession, path):
+        touched = fresh.select("bucket").distinct()
+        kept = rows.sparkSession.read.parquet(path).join(touched, "bucket", "left_semi").join(rows.select(*keys).distinct(), list(keys), "left_anti")
+        fresh = stage(fresh.unionByName(kept, allowMissingColumns=True))
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def get_session(spark: SparkSession, path: str, sid, buckets: int = BUCKETS) -> DataFrame:

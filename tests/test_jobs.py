@@ -120,6 +120,24 @@ def test_session_storage_round_trip(spark, tmp_path):
     assert spark.read.parquet(path).count() == 20 and spark.read.parquet(path).filter("outcome = 'missed'").count() > 0
 
 
+def test_saving_one_session_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "shots")
+    writers.save_session(spark.createDataFrame([(i, k, "made") for i in range(200) for k in range(2)], "sid long, shot long, outcome string"), path, buckets=4)
+    writers.save_session(spark.createDataFrame([(7, 0, "missed")], "sid long, shot long, outcome string"), path, buckets=4)
+    writers.save_session(spark.createDataFrame([(900, 0, "made")], "sid long, shot long, outcome string"), path, buckets=4)
+    back = spark.read.parquet(path)
+    assert back.select("sid").distinct().count() == 201 and back.count() == 400
+    assert [(r["shot"], r["outcome"]) for r in back.filter("sid = 7").collect()] == [(0, "missed")]
+
+
+def test_reports_have_one_shape(spark):
+    rows = spark.createDataFrame([("a", i, 0.9, 0.8, 0.7) for i in range(5000)] + [("b", 0, 0.9, 0.8, None)], "sid string, t long, release_confidence double, pose_quality double, ball_track_quality double")
+    lines = writers.to_report_json(rows, Series(["sid"], ["t"], "floor(t / 1000)"), ["t"])
+    counts = {r["sid"]: r["count"] for r in lines.groupBy("sid").count().collect()}
+    assert counts == {"a": 5001, "b": 2}
+    assert lines.filter("line_no = 0 AND sid = 'a'").collect()[0]["line"] == '{"kind":"session","n_shots":5000}'
+
+
 def test_orphans_and_backfill(spark):
     s = spark.createDataFrame(
         [(1, "processing", None, True, False), (2, "completed", None, True, False), (3, "failed", "x", True, False), (4, "completed", None, False, False), (5, "completed", None, True, True)],
@@ -139,9 +157,13 @@ def png(path, w, h, value):
 def test_image_frames_and_media_inventory(spark, tmp_path):
     png(tmp_path / "a.png", 3, 2, 77)
     (row,) = readers.read_frames(spark, str(tmp_path)).collect()
-    assert (row["width"], row["height"]) == (3, 2) and row["gray"] == [77.0] * 6
+    assert (row["width"], row["height"]) == (3, 2) and row["gray"] == [77.0] * 6 and row["valid"]
     (item,) = readers.media_inventory(spark, str(tmp_path)).collect()
     assert item["size_bytes"] > 0
+    png(tmp_path / "large.png", 1920, 1080, 5)
+    (tmp_path / "broken.png").write_bytes(b"not an image")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in readers.read_frames(spark, str(tmp_path)).selectExpr("path", "valid", "size(gray) AS n").collect()}
+    assert got["large.png"]["n"] == 1920 * 1080 and not got["broken.png"]["valid"] and len(got) == 3
 
 
 def test_trace_reader_drops_unavailable(spark, tmp_path):

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("AGG08", "AGG12", "AGG16", "AGG22", "EPI11", "EPI13", "EPI18", "JON02", "JON05", "JON06", "PRJ13", "SET02", "SNK06", "WIN04", "WIN09")
+QUICK = ("AGG08", "AGG12", "AGG16", "AGG17", "AGG20", "SNK03", "SNK04", "SNK09", "AGG22", "EPI11", "EPI13", "EPI18", "JON02", "JON05", "JON06", "PRJ13", "SET02", "SNK06", "WIN04", "WIN09")
 IDS = sorted(entry.oracle_sql()) if os.environ.get("ALL_ORACLES") else QUICK
 
 
