@@ -153,9 +153,23 @@ def possession_releases(spark, sf):
     return out.withColumn("release_time_sec", F.round("release_time_sec", 4))
 
 
-@query("EPI08")
+# A row's ``ends`` closes the rise that the row before it followed; ``lag`` then reads that rise.
+RISE_SQL = """tj AS (SELECT sid, i, 0 AS n, 0 AS v, false AS o, false AS rise, 0 AS rn, NULL::BIGINT AS af, NULL::DOUBLE AS at_, NULL::DOUBLE AS ay, NULL::VARCHAR AS ap, NULL::BIGINT AS xf, NULL::DOUBLE AS xt, NULL::DOUBLE AS xy, false AS ends, NULL::BIGINT AS df FROM pr WHERE i = 1
+ UNION ALL SELECT sid, i, CASE WHEN goes OR arms THEN 0 ELSE nn END, CASE WHEN goes OR arms THEN 0 ELSE nv END, NOT goes AND NOT arms AND no, goes OR arms, CASE WHEN goes THEN rn + 1 WHEN arms THEN 3 ELSE 0 END,
+  CASE WHEN NOT goes AND nn = 1 THEN f ELSE af END, CASE WHEN NOT goes AND nn = 1 THEN t ELSE at_ END, CASE WHEN NOT goes AND nn = 1 THEN y ELSE ay END, CASE WHEN NOT goes AND nn = 1 THEN how ELSE ap END, f, t, y, rise AND NOT goes,
+  CASE WHEN rise AND NOT goes AND t - xt > 1e-6 AND t - xt <= 0.15 AND y > xy THEN f END FROM
+ (SELECT *, NOT goes AND nn >= 3 AS arms FROM (SELECT *, CASE WHEN NOT linked OR how IS NULL THEN 0 ELSE n + 1 END AS nn, linked AND how IS NOT NULL AND (o OR how = 'strong_veto_override') AS no,
+   CASE WHEN NOT linked THEN 0 WHEN o THEN v WHEN NOT strong OR NOT veto OR v + 1 >= 8 THEN 0 ELSE v + 1 END AS nv FROM
+  (SELECT p.sid, p.i, p.f, p.t, p.y, p.linked, p.strong, p.veto, q.n, q.v, q.o, q.rise, q.rn, q.af, q.at_, q.ay, q.ap, q.xt, q.xy, q.rise AND p.linked AND p.y < q.xy AS goes,
+    CASE WHEN q.o THEN CASE WHEN p.strong THEN 'strong_veto_override' END WHEN NOT p.strong THEN CASE WHEN p.path = 'soft' THEN 'soft' END WHEN p.veto THEN CASE WHEN q.v + 1 >= 8 THEN 'strong_veto_override' END ELSE 'strong' END AS how
+   FROM tj q JOIN pr p ON p.sid = q.sid AND p.i = q.i + 1)))),
+rises AS (SELECT sid, ends, df, lag(af) OVER w AS af, lag(at_) OVER w AS at_, lag(ay) OVER w AS ay, lag(ap) OVER w AS ap, lag(xf) OVER w AS xf, lag(xt) OVER w AS xt, lag(xy) OVER w AS xy, lag(rn) OVER w AS rn FROM tj WINDOW w AS (PARTITION BY sid ORDER BY i)),
+found AS (SELECT * EXCLUDE (ends) FROM rises WHERE ends UNION ALL SELECT sid, NULL, af, at_, ay, ap, xf, xt, xy, rn FROM tj WHERE rise QUALIFY row_number() OVER (PARTITION BY sid ORDER BY i DESC) = 1 AND i = (SELECT max(i) FROM pr WHERE pr.sid = tj.sid))"""
+
+
+@query("EPI08", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, PAIRS_SQL, RISE_SQL, recursive=True) + f"""SELECT sid, af AS arm_frame, at_ AS arm_time_sec, ap AS arm_path, rn >= 6 AND df IS NOT NULL AS confirmed,
+ CASE WHEN rn < 6 THEN 'rise_phase_too_short' WHEN df IS NULL THEN 'no_descent_observed' END AS discard_reason, xf AS apex_frame, xt AS apex_time_sec, rn::BIGINT AS rise_steps, df AS descent_frame, round((ay - xy) / {TORSO_PX}, 3) AS height_gained_norm FROM found""")
 def trajectory_shots(spark, sf):
-    """Arming skips ahead over a followed flight; tests check it against a direct scan."""
     return rl.trajectory_shots(signals(spark, sf, True), F.lit(TORSO_PX))
 
 
@@ -175,8 +189,9 @@ def corroborate(spark, sf):
     from kinetable.operators.windows import trusted
 
     s = signals(spark, sf, True)
-    armed = trusted(s, FRAME_SERIES).filter(F.pmod("frame_index", F.lit(4)) == 0).select("sid", c("frame_index").alias("arm_frame"))
-    return rl.corroborate(armed, s, hoops(spark, sf), F.lit(TORSO_PX))
+    seen = stage(trusted(s, FRAME_SERIES))
+    armed = seen.filter(F.pmod("frame_index", F.lit(4)) == 0).select("sid", c("frame_index").alias("arm_frame"))
+    return rl.corroborate(armed, s, hoops(spark, sf), F.lit(TORSO_PX), seen=seen)
 
 
 @query("EPI10")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import (
@@ -14,6 +15,7 @@ from kinetable.functions import stats, text
 from kinetable.operators import curation as cu
 from kinetable.operators import projections as pj
 from kinetable.operators import signals as sg
+from kinetable.operators.lineage import stage
 from kinetable.operators.topk import best_row
 from kinetable.plans.registry import melt_metrics
 
@@ -267,10 +269,14 @@ def humanize(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.humanize(code).alias("told"))
 
 
-@query("FN19")
+@query("FN19", "SELECT c_custkey, true AS id_is_hex, true AS time_is_iso_utc, 1::BIGINT AS rows_with_id FROM customer")
 def session_id(spark, sf):
-    """Fresh ids and timestamps (not reproducible, hence no oracle)."""
-    return table(spark, sf, "customer").select("c_custkey", text.new_session_id().alias("sid"), text.utc_now().alias("created_at"))
+    """Fresh ids and timestamps; their values can't repeat, so their form and uniqueness are reported."""
+    rows = table(spark, sf, "customer").select("c_custkey", text.new_session_id().alias("sid"), text.utc_now().alias("created_at"))
+    return stage(rows).select(
+        "c_custkey", c("sid").rlike("^[0-9a-f]{16}$").alias("id_is_hex"), c("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|\+00:00)$").alias("time_is_iso_utc"),
+        F.count(F.lit(1)).over(Window.partitionBy("sid")).alias("rows_with_id"),
+    )
 
 
 @query("FN20", "SELECT event_id, CAST(json_extract(props,'$.k') AS INTEGER) AS k, '{\"k\":' || json_extract(props,'$.k') || '}' AS again FROM events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shot_series, shots, shots_sql, signals, table, with_
+from kinetable.catalog.episodes import CTRL_SQL, PAIRS_SQL, TRUSTED_S
 from kinetable.catalog.projections import NORM, SPLIT
 from kinetable.operators.curation import normalize_split
 from kinetable.operators.lineage import scratch_folder
@@ -155,16 +156,33 @@ def get_session(spark, sf):
     return writers.get_session(spark, path, 7, 8).groupBy("sid", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK10", f"""SELECT l_orderkey AS sid, count(*) AS shots FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {STATUS} = 'failed') GROUP BY ALL""")
+@query("SNK10", f"""SELECT o_orderkey AS sid, coalesce(n, 0)::BIGINT AS shots, (SELECT count(*) FROM orders WHERE {STATUS} = 'failed') AS sessions_deleted,
+ (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {STATUS} = 'failed') AS shots_deleted
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey WHERE {STATUS} <> 'failed'""")
 def delete_session(spark, sf):
-    s = sessions(spark, sf)
-    _, kept = writers.delete_session(s, shots(spark, sf).select("sid"), s.filter("status = 'failed'"))
-    return kept.groupBy("sid").agg(F.count(F.lit(1)).alias("shots"))
-
-
-@query("SNK11", f"SELECT CASE WHEN {STATUS} = 'processing' THEN 'interrupted' ELSE {STATUS} END AS status, count(*) AS n, count(*) FILTER ({STATUS} = 'processing') AS changed FROM orders GROUP BY 1")
+    """Both tables are written, the failed sessions deleted from them, and the tables read back."""
+    kept, attempts = scratch_folder(spark, "sessions"), scratch_folder(spark, "shots")
+    writers.save_session(sessions(spark, sf), kept, buckets=8)
+    writers.save_session(shots(spark, sf).select("sid", "outcome"), attempts, buckets=8)
+    n_sessions, n_shots = writers.delete_sessions(kept, attempts, spark.read.parquet(kept).filter("status = 'failed'"), buckets=8)
+    left = spark.read.parquet(attempts).groupBy("sid").agg(F.count(F.lit(1)).alias("shots"))
+    rows = spark.read.parquet(kept).select("sid").join(left, "sid", "full")
+    return rows.select("sid", F.coalesce("shots", F.lit(0)).cast("long").alias("shots"), F.lit(n_sessions).cast("long").alias("sessions_deleted"), F.lit(n_shots).cast("long").alias("shots_deleted"))
+
+
+@query("SNK11", f"""WITH s AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'failed' ELSE {STATUS} END AS status, o_orderkey % 10 = 0 AS told FROM orders)
+SELECT CASE WHEN status = 'processing' THEN 'interrupted' ELSE status END AS status, CASE WHEN status = 'processing' THEN 'reconciled' WHEN told THEN 'unreadable media' END AS message, count(*) AS n,
+ (SELECT count(*) FROM s WHERE told) AS marked, (SELECT count(*) FROM s WHERE status = 'processing') AS reconciled FROM s GROUP BY 1, 2""")
 def reconcile(spark, sf):
-    return writers.reconcile_orphans(sessions(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"))
+    """Failure marks, then the orphans, both written to the session table, which is read back."""
+    path = scratch_folder(spark, "sessions")
+    writers.save_session(sessions(spark, sf), path, buckets=8)
+    lost = spark.read.parquet(path).filter("sid % 10 = 0").select("sid", F.lit("unreadable media").alias("error_message"))
+    marked = writers.mark_failed(path, lost, buckets=8)
+    reconciled = writers.reconcile_table(path, spark)
+    message = F.when(c("error_message") == writers.INTERRUPTED, "reconciled").otherwise(c("error_message")).alias("message")
+    rows = spark.read.parquet(path).groupBy("status", message).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumns({"marked": F.lit(marked).cast("long"), "reconciled": F.lit(reconciled).cast("long")})
 
 
 @query("SNK12", f"""SELECT CASE WHEN {STATUS} <> 'completed' THEN 'skipped_not_completed' WHEN NOT o_totalprice > 100000 THEN 'skipped_no_report' WHEN o_custkey % 3 = 0 THEN 'already_done' ELSE 'updated' END AS backfill, count(*) AS sessions,
@@ -226,11 +244,24 @@ def stream_windows(spark, sf):
     return out.withColumns({"start": c("start").cast("timestamp_ntz"), "end": c("end").cast("timestamp_ntz")})
 
 
-@query("STR05", "SELECT user_id AS sid, count(*) AS rows_kept, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY user_id")
+@query("STR05", """WITH w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 DAY AS watermark FROM events WHERE event_id % 4 <> 0)
+SELECT user_id AS sid, count(*) AS rows_kept, min(event_id) AS first_id, max(event_id) AS last_id, count(*) FILTER (event_id % 4 = 0) AS second_kept FROM events, w WHERE event_id % 4 <> 0 OR ts > watermark GROUP BY user_id""")
 def stream_late(spark, sf):
-    """One watermark delay covers the whole table here, so no row is late."""
-    out = streams.run_to_table(streams.dedupe_frames(event_stream(spark, sf), "event_ts", ["event_id"], "60 days"), "append", "late")
-    return out.groupBy("sid").agg(F.count(F.lit(1)).alias("rows_kept"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Two deliveries: the second brings rows of all days and repeats of the first.
+
+    Of the second, what lies behind the watermark that the first one left (its last time less ten
+    days) is late and dropped, and repeats are dropped by their key.
+    """
+    folder, path = scratch_folder(spark, "deliveries"), scratch_folder(spark, "late")
+    ev = table(spark, sf, "events").select(c("user_id").alias("sid"), "event_id", c("ts").cast("timestamp").alias("event_ts"))
+    part = F.pmod("event_id", F.lit(4))
+    for delivery in (ev.filter(part != 0), ev.filter(part <= 1)):
+        delivery.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(ev.schema).parquet(folder)
+        out = streams.run_to_table(streams.dedupe_frames(stream, "event_ts", ["event_id"], "10 days"), "append", path=path)
+    return out.groupBy("sid").agg(
+        F.count(F.lit(1)).alias("rows_kept"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count_if(F.pmod("event_id", F.lit(4)) == 0).alias("second_kept")
+    )
 
 
 @query("STR06", "SELECT user_id AS sid, day(ts)::INTEGER AS day, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL")
@@ -243,8 +274,8 @@ def stream_dedupe(spark, sf):
 @query("STR07", "SELECT user_id AS sid, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
     return streams.upsert_summary(
-        event_stream(spark, sf), ["sid"], {"n": F.count(F.lit(1)), "top": F.max("value")}, {"n": F.sum("n"), "top": F.round(F.max("top"), 4)}
-    )
+        event_stream(spark, sf), ["sid"], {"n": F.count(F.lit(1)), "top": F.max("value")}, {"n": F.sum("n"), "top": F.max("top")}
+    ).withColumn("top", F.round("top", 4))
 
 
 @query("STR08", "SELECT e.event_id, c.c_nationkey FROM events e JOIN customer c ON c.c_custkey = e.user_id")
@@ -296,7 +327,8 @@ def pluggable_classifier(spark, sf):
     return out.select("sid", "shot_index", "base_outcome", "other_outcome", "changed")
 
 
-@query("UDF4")
+@query("UDF4", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, PAIRS_SQL, CTRL_SQL, recursive=True) + """SELECT ct.sid, f AS frame_index,
+ coalesce(lag(st) OVER (PARTITION BY ct.sid ORDER BY ct.i), 'uncontrolled') AS state_before, st AS state_after FROM ct JOIN pr ON pr.sid = ct.sid AND pr.i = ct.i""")
 def traced_release(spark, sf):
     """Optional trace output of the release detector."""
     from kinetable.operators.releases import release_trace

@@ -296,15 +296,17 @@ def trajectory_shots(signals: DataFrame, scale: Column, keys: Sequence[str] = ("
     return found.withColumn("height_gained_norm", F.round(c("rise_px") / scale, 3)).drop("rise_px")
 
 
-def corroborate(cands: DataFrame, signals: DataFrame, hoops: DataFrame, scale: Column, keys: Sequence[str] = ("sid",), p: ReleaseEventParams = DEFAULTS.event, op: OutcomeParams = DEFAULTS.outcome, sp: SegmentParams = DEFAULTS.segment) -> DataFrame:
+def corroborate(cands: DataFrame, signals: DataFrame, hoops: DataFrame, scale: Column, keys: Sequence[str] = ("sid",), p: ReleaseEventParams = DEFAULTS.event, op: OutcomeParams = DEFAULTS.outcome, sp: SegmentParams = DEFAULTS.segment, seen: DataFrame | None = None) -> DataFrame:
     """Target and pose evidence tiers for armed candidates.
 
+    ``seen`` are the trusted rows of ``signals``, where the caller has them already.
+
     The target tier looks along the candidate's own gap-bounded chain of trusted points; the
     pose tier looks at the last few trusted rows up to the arm frame.
     """
     k = list(keys)
     series = Series.frames(k)
-    rows = stage(trusted(signals, series, p))
+    rows = stage(trusted(signals, series, p)) if seen is None else seen
     rows = chains(rows, series, "timestamp_sec", p.max_gap_sec, "_chain")
     dist = lambda w: F.when(w.isNotNull(), F.hypot(c("x") - w["x"], c("y") - w["y"]) / scale)
     rows = positions(rows.withColumn("_wd", F.least(dist(c("left_wrist")), dist(c("right_wrist")))), series, "_tp")

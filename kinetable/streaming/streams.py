@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.operators.lineage import scratch_folder
+from kinetable.operators.lineage import folder_exists, remove_folder, scratch_folder, stage
 from kinetable.session import configure
 
 c = F.col
@@ -42,10 +42,13 @@ def join_dimension(rows: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFr
     return rows.join(dim, list(on))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Drain a stream that has an end (``availableNow``) into a table and return it."""
+def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream", path: str | None = None) -> DataFrame:
+    """Drain a stream that has an end (``availableNow``) into a table and return it.
+
+    A ``path`` used before goes on where that run stopped: files that came since, same state.
+    """
     spark = stream.sparkSession
-    path = scratch_folder(spark, name)
+    path = path or scratch_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-ckpt").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", path).start().awaitTermination()
@@ -58,17 +61,62 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upsert_summary(stream: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], merge: dict[str, Column], name: str = "summary") -> DataFrame:
-    """Incremental session summary.
+SUMMARY_BUCKETS = 64
+
+
+class Summary:
+    """A table of merged aggregates in hash buckets of its keys, updated batch by batch.
+
+    A batch reads and writes only the buckets it touches, as a new version of them
+    (``bucket=b/batch_id=n``); a bucket's newest version is its content.  A batch that is retried
+    starts from the versions before its own and overwrites it, so nothing counts twice.  Versions
+    older than the one before the newest are removed.
+    """
 
-    Every batch writes its partial aggregates into a folder of its own, overwriting it when
-    the batch is retried; the summary is the merge of all partials.
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], merge: dict[str, Column], buckets: int = SUMMARY_BUCKETS):
+        self.spark, self.path, self.keys, self.merge, self.buckets = spark, path, list(keys), merge, buckets
+
+    def _newest(self, before: int | None = None) -> DataFrame | None:
+        if not folder_exists(self.spark, self.path):
+            return None
+        rows = self.spark.read.parquet(self.path)
+        old = rows if before is None else rows.filter(c("batch_id") < before)
+        newest = old.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+        return old.join(newest, ["bucket", "batch_id"], "left_semi")
+
+    def rows(self) -> DataFrame:
+        return self._newest().drop("bucket", "batch_id")
+
+    def update(self, partial: DataFrame, batch_id: int) -> None:
+        """Merge ``partial`` (the keys and the merged columns) into the table as batch ``batch_id``."""
+        fresh = stage(partial.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets))))
+        touched = fresh.select("bucket").distinct()
+        known = self._newest(batch_id)
+        both = fresh if known is None else fresh.unionByName(known.drop("batch_id").join(touched, "bucket", "left_semi"))
+        merged = both.groupBy("bucket", *self.keys).agg(*[col.alias(n) for n, col in self.merge.items()])
+        out = merged.withColumn("batch_id", F.lit(batch_id).cast("long")).repartition("bucket")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(self.path)
+        self._drop_old()
+
+    def _drop_old(self) -> None:
+        """Of each bucket the two newest versions stay; there are few buckets and few versions."""
+        versions = self.spark.read.parquet(self.path).select("bucket", "batch_id").distinct()
+        kept = F.slice(F.sort_array(F.collect_set("batch_id"), asc=False), 3, 2**31 - 1)
+        for bucket, batch_id in versions.groupBy("bucket").agg(kept.alias("old")).select("bucket", F.explode("old")).collect():
+            remove_folder(self.spark, f"{self.path}/bucket={bucket}/batch_id={batch_id}")
+
+
+def upsert_summary(stream: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], merge: dict[str, Column], name: str = "summary", path: str | None = None) -> DataFrame:
+    """Incremental session summary: each batch's aggregates are merged into the buckets they touch.
+
+    ``merge`` must be associative and name every column of ``aggregates``.
     """
     spark = stream.sparkSession
-    path = scratch_folder(spark, name)
+    path = path or scratch_folder(spark, name)
+    summary = Summary(spark, path, keys, merge)
 
-    def partial(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(*keys).agg(*[col.alias(n) for n, col in aggregates.items()]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        summary.update(batch.groupBy(*keys).agg(*[col.alias(n) for n, col in aggregates.items()]), batch_id)
 
-    stream.writeStream.option("checkpointLocation", f"{path}-ckpt").trigger(availableNow=True).foreachBatch(partial).start().awaitTermination()
-    return spark.read.parquet(path).groupBy(*keys).agg(*[col.alias(n) for n, col in merge.items()])
+    stream.writeStream.option("checkpointLocation", f"{path}-ckpt").trigger(availableNow=True).foreachBatch(upsert).start().awaitTermination()
+    return summary.rows()

@@ -201,3 +201,44 @@ def test_stream_gap_sessions(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(src)
     out = streams.run_to_table(streams.gap_sessions(stream, "event_ts", ["sid"], "30 seconds", "0 seconds"))
     assert sorted(r["n"] for r in out.collect()) == [2, 3]
+
+
+def test_delete_mark_and_reconcile_change_the_tables(spark, tmp_path):
+    sessions, attempts = str(tmp_path / "sessions"), str(tmp_path / "shots")
+    rows = [(i, "processing" if i % 3 == 0 else "completed", None) for i in range(30)]
+    writers.save_session(spark.createDataFrame(rows, "sid long, status string, error_message string"), sessions, buckets=16)
+    writers.save_session(spark.createDataFrame([(i, k) for i in range(30) for k in range(2)], "sid long, shot long"), attempts, buckets=16)
+    ids = lambda *v: spark.createDataFrame([(i,) for i in v], "sid long")
+    assert writers.delete_sessions(sessions, attempts, ids(*range(20), 5, 99), buckets=16) == (20, 40)
+    assert writers.delete_sessions(sessions, attempts, ids(*range(20)), buckets=16) == (0, 0)
+    assert {r["sid"] for r in spark.read.parquet(sessions).collect()} == set(range(20, 30)) == {r["sid"] for r in spark.read.parquet(attempts).collect()}
+    told = spark.createDataFrame([(21, "b"), (21, "a"), (99, "x")], "sid long, error_message string")
+    assert writers.mark_failed(sessions, told, buckets=16) == 1
+    assert writers.reconcile_table(sessions, spark) == 2 and writers.reconcile_table(sessions, spark) == 0
+    got = {r["sid"]: (r["status"], r["error_message"]) for r in spark.read.parquet(sessions).collect()}
+    assert got[21] == ("failed", "a") and got[24] == got[27] == ("interrupted", writers.INTERRUPTED) and len(got) == 10
+    assert all(got[i] == ("completed", None) for i in got if i not in (21, 24, 27))
+
+
+def test_summary_counts_a_retried_batch_once(spark, tmp_path):
+    summary = streams.Summary(spark, str(tmp_path / "summary"), ["sid"], {"n": F.sum("n"), "top": F.max("top")}, buckets=4)
+    batch = lambda *rows: spark.createDataFrame(rows, "sid long, n long, top double")
+    summary.update(batch(*[(i, 1, float(i)) for i in range(40)]), 0)
+    summary.update(batch((3, 2, 1.0), (77, 5, 2.0)), 1)
+    summary.update(batch((3, 2, 1.0), (77, 5, 2.0)), 1)
+    for n in range(2, 6):
+        summary.update(batch((3, 1, 9.0)), n)
+    got = {r["sid"]: (r["n"], r["top"]) for r in summary.rows().collect()}
+    assert got[3] == (7, 9.0) and got[77] == (5, 2.0) and got[0] == (1, 0.0) and len(got) == 41
+    versions = spark.read.parquet(str(tmp_path / "summary")).select("bucket", "batch_id").distinct().groupBy("bucket").count()
+    assert max(r["count"] for r in versions.collect()) == 2
+
+
+def test_late_and_repeated_rows_of_a_second_delivery(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda rows: spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("event_ts"))
+    for rows in ([(1, 0), (2, 500), (3, 1000)], [(2, 500), (4, 100), (5, 950), (6, 2000)]):
+        at(rows).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(at(rows).schema).parquet(folder)
+        got = streams.run_to_table(streams.dedupe_frames(stream, "event_ts", ["k"], "600 seconds"), path=out)
+    assert sorted(r["k"] for r in got.collect()) == [1, 2, 3, 5, 6]
