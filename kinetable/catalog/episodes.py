@@ -79,13 +79,47 @@ def frame_signals(spark, sf):
     )
 
 
-@query("EPI04")
+# One step of the segmentation per row and session: ``rws`` are the look-back rows after the last
+# attempt, ``bent`` is their knee dip and hip range test, ``why`` tells how an attempt was closed.
+SEGMENT_SQL = """sr0 AS (SELECT sid, frame_index AS f, row_number() OVER (PARTITION BY sid ORDER BY frame_index) AS i, ball_available AS av, coalesce(ball_available AND dist <= 0.18, false) AS near,
+  coalesce(ball_available AND v <= -0.35, false) AS burst, coalesce(ball_y <= shoulder_y, true) AS high, coalesce(ball_available AND dist > 0.18, false) AS off, observed, knee, hip FROM signals),
+sr AS (SELECT *, burst AND high AS rising, off AND high AS apart, i >= 3 AND bool_and(burst AND high) OVER w3 AND bool_or(observed) OVER w3 AS lifted, lag(f, 2) OVER w AS f2,
+  list({'f': f, 'i': i, 'k': knee, 'h': hip}) OVER (w ROWS BETWEEN 44 PRECEDING AND CURRENT ROW) AS la, list({'f': f, 'i': i, 'k': knee, 'h': hip}) OVER (w ROWS BETWEEN 47 PRECEDING AND 3 PRECEDING) AS lb
+  FROM sr0 WINDOW w AS (PARTITION BY sid ORDER BY f), w3 AS (PARTITION BY sid ORDER BY f ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+sm AS (SELECT DISTINCT sid, 0::BIGINT AS i, NULL::BIGINT AS f, 'idle' AS ph0, 'idle' AS ph, NULL::BIGINT AS le, NULL::BIGINT AS hold, 0::BIGINT AS fb, NULL::BIGINT AS ld, NULL::BIGINT AS up, NULL::BIGINT AS bg, NULL::BIGINT AS rel,
+   0::BIGINT AS sep, 0::BIGINT AS st, 0::BIGINT AS gone, false AS inf, NULL::VARCHAR AS why FROM signals
+ UNION ALL SELECT sid, i, f, ph, nph, CASE WHEN why IS NOT NULL THEN f ELSE le END, CASE WHEN why IN ('dropout', 'long') THEN f + 90 ELSE hold END,
+   CASE WHEN ph = 'idle' THEN CASE WHEN cool THEN fb WHEN nph = 'load' OR held THEN 0 ELSE fb1 END WHEN nph = 'idle' THEN 0 ELSE fb END,
+   CASE WHEN nph = 'idle' THEN NULL WHEN ph = 'idle' THEN CASE WHEN nph = 'load' THEN f ELSE coalesce(dip_f, f2) END ELSE ld END,
+   CASE WHEN nph = 'idle' THEN NULL WHEN nph = 'upward' AND ph = 'idle' THEN f2 WHEN nph = 'upward' AND ph = 'load' THEN f ELSE up END,
+   CASE WHEN nph = 'idle' THEN NULL WHEN ph = 'idle' THEN CASE WHEN nph = 'load' THEN f ELSE coalesce(dip_f, f2) END ELSE bg END,
+   CASE WHEN nph = 'idle' THEN NULL WHEN ph = 'upward' AND nph = 'flight' THEN greatest(f - 1, up) ELSE rel END,
+   CASE WHEN nph = 'idle' OR ph = 'idle' THEN 0 WHEN ph = 'upward' THEN sep1 ELSE sep END, CASE WHEN ph = 'flight' AND nph = 'flight' THEN st1 ELSE 0 END, CASE WHEN ph = 'flight' AND nph = 'flight' THEN gone1 ELSE 0 END,
+   CASE WHEN nph = 'idle' THEN false WHEN ph = 'idle' THEN nph = 'upward' ELSE inf END, why FROM
+ (SELECT *, CASE ph WHEN 'idle' THEN CASE WHEN cool THEN 'idle' WHEN near AND knee IS NOT NULL THEN 'load' WHEN held OR fb1 < 3 OR NOT lifted OR NOT bent THEN 'idle' ELSE 'upward' END
+    WHEN 'load' THEN CASE WHEN burst AND bent THEN 'upward' WHEN NOT near OR f - bg > 300 THEN 'idle' ELSE 'load' END
+    WHEN 'upward' THEN CASE WHEN f - bg > 300 THEN 'idle' WHEN sep1 >= 2 THEN 'flight' ELSE 'upward' END ELSE CASE WHEN why IS NULL THEN 'flight' ELSE 'idle' END END AS nph FROM
+ (SELECT *, (hips IS NULL OR hips <= 4) AND (low IS NULL OR coalesce(list_max(list_transform(list_filter(kn, lambda r: r.i < dip.i), lambda r: r.k)) - low >= 12, false)) AS bent, dip.f AS dip_f,
+   CASE WHEN ph = 'flight' THEN CASE WHEN st1 >= 5 THEN 'settled' WHEN gone1 >= 45 THEN 'dropout' WHEN f - rel > 150 THEN 'long' END END AS why FROM
+ (SELECT *, list_filter(kn, lambda r: r.k = low)[1] AS dip FROM
+ (SELECT *, list_min(list_transform(kn, lambda r: r.k)) AS low FROM
+ (SELECT *, list_filter(rws, lambda r: r.k IS NOT NULL) AS kn, list_max(list_transform(rws, lambda r: r.h)) - list_min(list_transform(rws, lambda r: r.h)) AS hips FROM
+ (SELECT p.*, q.ph, q.le, q.hold, q.fb, q.ld, q.up, q.bg, q.rel, q.sep, q.st, q.gone, q.inf, coalesce(p.f - q.le < 10, false) AS cool, coalesce(p.f < q.hold, false) AS held, CASE WHEN p.rising THEN q.fb + 1 ELSE 0 END AS fb1,
+   CASE WHEN p.av THEN CASE WHEN p.apart THEN q.sep + 1 ELSE 0 END WHEN q.sep > 0 THEN q.sep + 1 ELSE 0 END AS sep1, CASE WHEN p.near THEN q.st + 1 ELSE 0 END AS st1, CASE WHEN p.av THEN 0 ELSE q.gone + 1 END AS gone1,
+   list_filter(CASE WHEN q.ph = 'load' THEN p.la ELSE p.lb END, lambda r: r.f > coalesce(q.le, -1)) AS rws FROM sm q JOIN sr p ON p.sid = q.sid AND p.i = q.i + 1)))))))"""
+SHORT = "CASE WHEN f - rel < 6 THEN ['short_duration'] ELSE [] END"
+CLOSED_SQL = f"""prior AS (SELECT sid, i, f, why, lag(bg) OVER w AS bg, lag(ld) OVER w AS ld, lag(up) OVER w AS up, lag(rel) OVER w AS rel, lag(inf) OVER w AS inf FROM sm WINDOW w AS (PARTITION BY sid ORDER BY i)),
+closed AS (SELECT sid, f, bg, ld, up, rel, inf, CASE why WHEN 'settled' THEN {SHORT} WHEN 'dropout' THEN list_concat(['closed_after_prolonged_ball_tracking_dropout'], {SHORT}) ELSE ['max_duration_exceeded'] END AS tags FROM prior WHERE why IS NOT NULL
+ UNION ALL SELECT sid, f, bg, ld, up, rel, inf, ['video_ended_during_flight'] FROM (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY sid ORDER BY i DESC) = 1) WHERE ph = 'flight')"""
+
+
+@query("EPI04", with_(FRAMES_SQL, SIGNALS_SQL, SEGMENT_SQL, CLOSED_SQL, recursive=True) + """SELECT sid, bg AS start_frame, f AS end_frame, ld AS load_start_frame, up AS upward_start_frame, rel AS release_candidate_frame, f AS flight_end_frame,
+ CASE WHEN inf THEN list_append(tags, 'load_phase_inferred_from_pose_only_ball_not_tracked_near_hand') ELSE tags END AS warnings, row_number() OVER (PARTITION BY sid ORDER BY bg) AS shot_index FROM closed""")
 def segment(spark, sf):
-    """State-dependent look-back; tests check it against a direct fold over whole series."""
     return segment_shots(signals(spark, sf, True))
 
 
-@query("EPI23")
+@query("EPI23", with_(FRAMES_SQL, SIGNALS_SQL, SEGMENT_SQL, recursive=True) + """SELECT sid, f AS frame_index, ph0 AS phase_before, ph AS phase_after, fb AS fallback_run, sep AS separation_run, st AS settled_run, gone AS missing_run FROM sm WHERE i > 0""")
 def trace(spark, sf):
     return segment_trace(signals(spark, sf, True))
 
