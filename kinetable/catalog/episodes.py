@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import (
-    FRAMES_SQL, HOOPS_SQL, POSES_SQL, SIGNALS_SQL, TORSO_PX, detections, flight_points, frames, hoops, poses, query, signals, table, with_,
+    DETECTIONS_SQL, FRAMES_SQL, HOOPS_SQL, POSES_SQL, SIGNALS_SQL, TORSO_PX, detections, flight_points, frames, hoops, poses, query, signals, table, with_,
 )
 from kinetable.catalog.joins import ATTEMPTS_SQL, attempts
 from kinetable.catalog.projections import KNEE, L, R, TORSO, angle_sql
@@ -25,8 +25,8 @@ c = F.col
 TRUSTED_S = _TRUSTED.replace("FROM frames", "FROM sframes")
 _P = "PARTITION BY sid ORDER BY frame_index"
 
-TRACK_SQL = """obs AS (SELECT sid, frame_index AS i, timestamp_sec AS t, x AS zx, y AS zy, radius AS zr, confidence AS zc, source = 'detected' AS seen FROM frames),
-kf AS (SELECT sid, i, t, seen AS live, seen AS ok, zx AS x, zy AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 50.0::DOUBLE AS a, 0.0::DOUBLE AS b, 50.0::DOUBLE AS d, 0 AS m, CASE WHEN seen THEN zr END AS r, zc FROM obs WHERE i = 0
+OBSERVED_SQL = "obs AS (SELECT sid, frame_index AS i, timestamp_sec AS t, x AS zx, y AS zy, radius AS zr, confidence AS zc, source = 'detected' AS seen FROM frames)"
+TRACK_SQL = """kf AS (SELECT sid, i, t, seen AS live, seen AS ok, zx AS x, zy AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 50.0::DOUBLE AS a, 0.0::DOUBLE AS b, 50.0::DOUBLE AS d, 0 AS m, CASE WHEN seen THEN zr END AS r, zc FROM obs WHERE i = 0
  UNION ALL SELECT sid, i, t, live OR seen, ok, CASE WHEN NOT live THEN zx WHEN ok THEN px + k0 * (zx - px) ELSE px END, CASE WHEN NOT live THEN zy WHEN ok THEN py + k0 * (zy - py) ELSE py END,
    CASE WHEN NOT live THEN 0.0 WHEN ok THEN vx + k1 * (zx - px) ELSE vx END, CASE WHEN NOT live THEN 0.0 WHEN ok THEN vy + k1 * (zy - py) ELSE vy END,
    CASE WHEN NOT live THEN 50.0 WHEN ok THEN (1 - k0) * a2 ELSE a2 END, CASE WHEN NOT live THEN 0.0 WHEN ok THEN (1 - k0) * b2 ELSE b2 END, CASE WHEN NOT live THEN 50.0 WHEN ok THEN d2 - k1 * b2 ELSE d2 END,
@@ -36,7 +36,7 @@ kf AS (SELECT sid, i, t, seen AS live, seen AS ok, zx AS x, zy AS y, 0.0::DOUBLE
    FROM (SELECT o.*, k.*  EXCLUDE (sid, i, t, zc, ok), greatest(0.001, o.t - k.t) AS dt FROM kf k JOIN obs o ON o.sid = k.sid AND o.i = k.i + 1) k JOIN obs o ON o.sid = k.sid AND o.i = k.i)))"""
 
 
-@query("EPI01", with_(FRAMES_SQL, TRACK_SQL, recursive=True) + """SELECT sid, i AS frame_index, CASE WHEN NOT live OR m > 6 THEN 'unavailable' WHEN ok THEN 'detected' WHEN m <= 3 THEN 'interpolated' ELSE 'predicted' END AS source,
+@query("EPI01", with_(FRAMES_SQL, OBSERVED_SQL, TRACK_SQL, recursive=True) + """SELECT sid, i AS frame_index, CASE WHEN NOT live OR m > 6 THEN 'unavailable' WHEN ok THEN 'detected' WHEN m <= 3 THEN 'interpolated' ELSE 'predicted' END AS source,
  CASE WHEN live AND m <= 6 THEN round(CASE WHEN ok THEN o.zx ELSE x END, 4) END AS x, CASE WHEN live AND m <= 6 THEN round(CASE WHEN ok THEN o.zy ELSE y END, 4) END AS y,
  round(CASE WHEN NOT live OR m > 6 THEN 0.0 WHEN ok THEN zc ELSE 0.3 * (1 - m / 7.0) END::DOUBLE, 4) AS confidence, round(coalesce(r, 8.0), 7) AS radius FROM kf JOIN (SELECT sid, i, zx, zy FROM obs) o USING (sid, i)""")
 def tracks(spark, sf):
@@ -47,9 +47,20 @@ def tracks(spark, sf):
     return t.select("sid", "frame_index", "source", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("confidence", 4).alias("confidence"), F.round("radius", 7).alias("radius"))
 
 
-@query("EPI02")
+SLOTS_SQL = """bx AS (SELECT sid, frame_index, event_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h, row_number() OVER (PARTITION BY sid ORDER BY frame_index, event_id) AS i FROM detections),
+pm AS (SELECT DISTINCT sid, 0::BIGINT AS i, NULL::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE, a DOUBLE[])[] AS slots FROM detections
+ UNION ALL SELECT sid, i, k, CASE WHEN k > len(slots) THEN list_append(slots, {'x': cx, 'y': cy, 'a': [w * h]})
+   ELSE list_transform(slots, lambda s, j: CASE WHEN j = k THEN {'x': cx, 'y': cy, 'a': list_append(s.a, w * h)[-30:]} ELSE s END) END FROM
+ (SELECT *, (CASE WHEN near IS NULL OR ds[near] >= 1.5 * greatest(w, h) THEN len(slots) + 1 ELSE near END)::BIGINT AS k FROM (SELECT *, list_position(ds, list_min(ds)) AS near FROM
+  (SELECT b.*, q.slots, list_transform(q.slots, lambda s: sqrt(pow(b.cx - s.x, 2) + pow(b.cy - s.y, 2))) AS ds FROM pm q JOIN bx b ON b.sid = q.sid AND b.i = q.i + 1)))),
+placed AS (SELECT bx.sid, frame_index, event_id, k, slots, bx.i FROM bx JOIN pm ON pm.sid = bx.sid AND pm.i = bx.i),
+done AS (SELECT sid, frame_index, slots FROM placed QUALIFY row_number() OVER (PARTITION BY sid, frame_index ORDER BY i DESC) = 1),
+held AS (SELECT sid, frame_index, k, max(event_id) AS box_id FROM placed GROUP BY ALL)"""
+
+
+@query("EPI02", with_(DETECTIONS_SQL, SLOTS_SQL, recursive=True) + """SELECT sid, frame_index, box_id, k - 1 AS slot FROM held JOIN done USING (sid, frame_index)
+QUALIFY row_number() OVER (PARTITION BY sid, frame_index ORDER BY list_sum(slots[k].a) / len(slots[k].a) DESC, k) = 1""")
 def primary(spark, sf):
-    """Greedy slots have no plain SQL form; tests check them against a direct fold."""
     d = detections(spark, sf)
     boxes = d.groupBy("sid", "frame_index").agg(F.array_sort(F.collect_list(F.struct(c("event_id").alias("id"), "x1", "y1", "x2", "y2"))).alias("boxes"))
     return select_primary(boxes, ["sid"])
@@ -81,13 +92,13 @@ def frame_signals(spark, sf):
 
 # One step of the segmentation per row and session: ``rws`` are the look-back rows after the last
 # attempt, ``bent`` is their knee dip and hip range test, ``why`` tells how an attempt was closed.
-SEGMENT_SQL = """sr0 AS (SELECT sid, frame_index AS f, row_number() OVER (PARTITION BY sid ORDER BY frame_index) AS i, ball_available AS av, coalesce(ball_available AND dist <= 0.18, false) AS near,
-  coalesce(ball_available AND v <= -0.35, false) AS burst, coalesce(ball_y <= shoulder_y, true) AS high, coalesce(ball_available AND dist > 0.18, false) AS off, observed, knee, hip FROM signals),
-sr AS (SELECT *, burst AND high AS rising, off AND high AS apart, i >= 3 AND bool_and(burst AND high) OVER w3 AND bool_or(observed) OVER w3 AS lifted, lag(f, 2) OVER w AS f2,
+PREDICATES_SQL = """sr0 AS (SELECT sid, f, i, av, near, burst, burst AND high AS rising, off AND high AS apart, observed, knee, hip FROM (SELECT sid, frame_index AS f, row_number() OVER (PARTITION BY sid ORDER BY frame_index) AS i,
+  ball_available AS av, coalesce(ball_available AND dist <= 0.18, false) AS near, coalesce(ball_available AND v <= -0.35, false) AS burst, coalesce(ball_y <= shoulder_y, true) AS high, coalesce(ball_available AND dist > 0.18, false) AS off, observed, knee, hip FROM signals))"""
+SEGMENT_SQL = """sr AS (SELECT *, i >= 3 AND bool_and(rising) OVER w3 AND bool_or(observed) OVER w3 AS lifted, lag(f, 2) OVER w AS f2,
   list({'f': f, 'i': i, 'k': knee, 'h': hip}) OVER (w ROWS BETWEEN 44 PRECEDING AND CURRENT ROW) AS la, list({'f': f, 'i': i, 'k': knee, 'h': hip}) OVER (w ROWS BETWEEN 47 PRECEDING AND 3 PRECEDING) AS lb
-  FROM sr0 WINDOW w AS (PARTITION BY sid ORDER BY f), w3 AS (PARTITION BY sid ORDER BY f ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  FROM sr0 WINDOW w AS (PARTITION BY sid ORDER BY i), w3 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 sm AS (SELECT DISTINCT sid, 0::BIGINT AS i, NULL::BIGINT AS f, 'idle' AS ph0, 'idle' AS ph, NULL::BIGINT AS le, NULL::BIGINT AS hold, 0::BIGINT AS fb, NULL::BIGINT AS ld, NULL::BIGINT AS up, NULL::BIGINT AS bg, NULL::BIGINT AS rel,
-   0::BIGINT AS sep, 0::BIGINT AS st, 0::BIGINT AS gone, false AS inf, NULL::VARCHAR AS why FROM signals
+   0::BIGINT AS sep, 0::BIGINT AS st, 0::BIGINT AS gone, false AS inf, NULL::VARCHAR AS why FROM sr0
  UNION ALL SELECT sid, i, f, ph, nph, CASE WHEN why IS NOT NULL THEN f ELSE le END, CASE WHEN why IN ('dropout', 'long') THEN f + 90 ELSE hold END,
    CASE WHEN ph = 'idle' THEN CASE WHEN cool THEN fb WHEN nph = 'load' OR held THEN 0 ELSE fb1 END WHEN nph = 'idle' THEN 0 ELSE fb END,
    CASE WHEN nph = 'idle' THEN NULL WHEN ph = 'idle' THEN CASE WHEN nph = 'load' THEN f ELSE coalesce(dip_f, f2) END ELSE ld END,
@@ -113,13 +124,13 @@ closed AS (SELECT sid, f, bg, ld, up, rel, inf, CASE why WHEN 'settled' THEN {SH
  UNION ALL SELECT sid, f, bg, ld, up, rel, inf, ['video_ended_during_flight'] FROM (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY sid ORDER BY i DESC) = 1) WHERE ph = 'flight')"""
 
 
-@query("EPI04", with_(FRAMES_SQL, SIGNALS_SQL, SEGMENT_SQL, CLOSED_SQL, recursive=True) + """SELECT sid, bg AS start_frame, f AS end_frame, ld AS load_start_frame, up AS upward_start_frame, rel AS release_candidate_frame, f AS flight_end_frame,
+@query("EPI04", with_(FRAMES_SQL, SIGNALS_SQL, PREDICATES_SQL, SEGMENT_SQL, CLOSED_SQL, recursive=True) + """SELECT sid, bg AS start_frame, f AS end_frame, ld AS load_start_frame, up AS upward_start_frame, rel AS release_candidate_frame, f AS flight_end_frame,
  CASE WHEN inf THEN list_append(tags, 'load_phase_inferred_from_pose_only_ball_not_tracked_near_hand') ELSE tags END AS warnings, row_number() OVER (PARTITION BY sid ORDER BY bg) AS shot_index FROM closed""")
 def segment(spark, sf):
     return segment_shots(signals(spark, sf, True))
 
 
-@query("EPI23", with_(FRAMES_SQL, SIGNALS_SQL, SEGMENT_SQL, recursive=True) + """SELECT sid, f AS frame_index, ph0 AS phase_before, ph AS phase_after, fb AS fallback_run, sep AS separation_run, st AS settled_run, gone AS missing_run FROM sm WHERE i > 0""")
+@query("EPI23", with_(FRAMES_SQL, SIGNALS_SQL, PREDICATES_SQL, SEGMENT_SQL, recursive=True) + """SELECT sid, f AS frame_index, ph0 AS phase_before, ph AS phase_after, fb AS fallback_run, sep AS separation_run, st AS settled_run, gone AS missing_run FROM sm WHERE i > 0""")
 def trace(spark, sf):
     return segment_trace(signals(spark, sf, True))
 

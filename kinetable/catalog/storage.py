@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetable.catalog.base import FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shot_series, shots, shots_sql, signals, table, with_
-from kinetable.catalog.episodes import CTRL_SQL, PAIRS_SQL, TRUSTED_S
+from kinetable.catalog.base import _SOURCE, FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shot_series, shots, shots_sql, signals, table, with_
+from kinetable.catalog.episodes import CTRL_SQL, PAIRS_SQL, SEGMENT_SQL, TRACK_SQL, TRUSTED_S
 from kinetable.catalog.projections import NORM, SPLIT
 from kinetable.operators.curation import normalize_split
 from kinetable.operators.lineage import scratch_folder
@@ -207,12 +207,19 @@ def regenerate(spark, sf):
 
 def event_stream(spark, sf):
     ev = streams.read_table_stream(spark, sf, "events")
-    from kinetable.catalog.base import _SOURCE
-
     return ev.select(c("user_id").alias("sid"), "event_id", c("ts").cast("timestamp").alias("event_ts"), "value", F.expr(_SOURCE).alias("source"), F.from_json("props", "k INT")["k"].cast("double").alias("x"))
 
 
-@query("STR01")
+#: What a drained stream has handed out: rows up to the watermark, one day before the last row.
+PASSED_SQL = f"passed AS (SELECT user_id AS sid, *, {_SOURCE} AS source FROM events WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 86400000 FROM events))"
+PASSED_OBS_SQL = """ob AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) - 1 AS i FROM passed),
+obs AS (SELECT sid, i, epoch_us(ts) / 1e6::DOUBLE AS t, CAST(json_extract(props, '$.k') AS DOUBLE) AS zx, value AS zy, 8.0::DOUBLE AS zr, 0.5::DOUBLE AS zc, source = 'detected' AS seen FROM ob)"""
+
+
+@query("STR01", with_(PASSED_SQL, PASSED_OBS_SQL, TRACK_SQL, recursive=True) + """SELECT sid, event_id AS frame_index, t AS timestamp_sec, CASE WHEN NOT live OR m > 6 THEN 'unavailable' WHEN ok THEN 'detected' WHEN m <= 3 THEN 'interpolated' ELSE 'predicted' END AS source,
+ CASE WHEN live AND m <= 6 THEN round(CASE WHEN ok THEN zx ELSE x END, 4) END AS x, CASE WHEN live AND m <= 6 THEN round(CASE WHEN ok THEN zy ELSE y END, 4) END AS y,
+ round(CASE WHEN NOT live OR m > 6 THEN 0.0 WHEN ok THEN zc ELSE 0.3 * (1 - m / 7.0) END::DOUBLE, 4) AS confidence, round(coalesce(r, 8.0), 7) AS radius
+FROM (SELECT sid, i, live, ok, m, x, y, r FROM kf) JOIN (SELECT sid, i, t, zx, zy, zc FROM obs) USING (sid, i) JOIN (SELECT sid, i, event_id FROM ob) USING (sid, i)""")
 def stream_track(spark, sf):
     """Stateful tracking per user; the batch operator EPI01 runs the same fold."""
     from kinetable.operators.track import TrackFold
@@ -220,10 +227,18 @@ def stream_track(spark, sf):
     ev = event_stream(spark, sf)
     box = F.array(F.struct("x", c("value").alias("y"), F.lit(8.0).alias("radius"), F.lit(0.5).alias("confidence")))
     rows = ev.select("sid", "event_ts", c("event_id").alias("frame_index"), (F.unix_micros("event_ts") / F.lit(1e6)).alias("timestamp_sec"), F.when(c("source") == "detected", box).alias("candidates"))
-    return streams.run_to_table(fold_stream(rows, TrackFold(), ["sid"], "timestamp_sec", "1 day", 86_400_000), "append", "track")
+    out = streams.run_to_table(fold_stream(rows, TrackFold(), ["sid"], "timestamp_sec", "1 day", 86_400_000), "append", "track")
+    return out.select("sid", "frame_index", "timestamp_sec", "source", *[F.round(n, d).alias(n) for n, d in (("x", 4), ("y", 4), ("confidence", 4), ("radius", 7))])
+
+
+PASSED_ROWS_SQL = """sr0 AS (SELECT sid, epoch_us(ts) // 3600000000 AS f, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS i, source <> 'unavailable' AS av, held AS near, value < 40 AS burst, value < 20 AS rising, NOT held AS apart,
+  source IN ('detected', 'interpolated') AS observed, (180 - (event_id * 13) % 60)::DOUBLE AS knee, 0.0::DOUBLE AS hip FROM (SELECT *, (epoch_us(ts) // 86400000000) % 2 = 0 AS held FROM passed))"""
+OPEN_SQL = """prior AS (SELECT sid, f, why, lag(bg) OVER w AS bg, lag(ld) OVER w AS ld, lag(up) OVER w AS up, lag(rel) OVER w AS rel, lag(inf) OVER w AS inf FROM sm WINDOW w AS (PARTITION BY sid ORDER BY i)),
+tagged AS (SELECT *, CASE WHEN f - rel < 6 AND why <> 'long' THEN ['short_duration'] ELSE [] END AS short FROM prior WHERE why IS NOT NULL)"""
 
 
-@query("STR02")
+@query("STR02", with_(PASSED_SQL, PASSED_ROWS_SQL, SEGMENT_SQL, OPEN_SQL, recursive=True) + """SELECT sid, bg AS start_frame, f AS end_frame, ld AS load_start_frame, up AS upward_start_frame, rel AS release_candidate_frame, f AS flight_end_frame,
+ list_concat(CASE why WHEN 'settled' THEN [] WHEN 'dropout' THEN ['closed_after_prolonged_ball_tracking_dropout'] ELSE ['max_duration_exceeded'] END, short, CASE WHEN inf THEN ['load_phase_inferred_from_pose_only_ball_not_tracked_near_hand'] ELSE [] END) AS warnings FROM tagged""")
 def stream_segment(spark, sf):
     """Stateful segmentation; rows are derived per event, without look-back columns."""
     from kinetable.operators.segment import SegmentFold
@@ -231,7 +246,7 @@ def stream_segment(spark, sf):
     ev = event_stream(spark, sf)
     held = F.pmod(F.floor(F.unix_seconds("event_ts") / 86400), F.lit(2)) == 0
     rows = ev.select(
-        "sid", "event_ts", F.unix_seconds("event_ts").alias("order"), (F.unix_seconds("event_ts") / 3600).cast("long").alias("frame_index"), (c("source") != "unavailable").alias("ball_available"),
+        "sid", "event_ts", F.unix_micros("event_ts").alias("order"), (F.unix_seconds("event_ts") / 3600).cast("long").alias("frame_index"), (c("source") != "unavailable").alias("ball_available"),
         held.alias("near"), (c("value") < 40).alias("burst"), (c("value") < 20).alias("rising"), (~held).alias("apart"), c("source").isin("detected", "interpolated").alias("ball_is_observed"),
         (F.lit(180.0) - F.pmod(c("event_id") * 13, F.lit(60))).alias("knee_angle_deg"), F.lit(0.0).alias("hip_x_norm"),
     )
