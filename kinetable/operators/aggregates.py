@@ -77,6 +77,15 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, block: str, nam
     return found if default is None else with_all_keys(found, df, keys, name, default)
 
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "median") -> DataFrame:
+    """Median of each key, the mean of the two middle values where their number is even; no value, no row."""
+    counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    rows = scan(counts, Series(keys, [value], block), _cum=running_sum(c("_k")), n=total(c("_k")))
+    holds = lambda rank: (c("_cum") > rank) & (c("_cum") - c("_k") <= rank)
+    low, high = holds(F.floor((c("n") - 1) / 2)), holds(F.floor(c("n") / 2))
+    return rows.filter(low | high).groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(name), F.max("n").alias("n"))
+
+
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, block: str, q: float = 0.95, name: str = "p95", spine: DataFrame | None = None) -> DataFrame:
     """Nearest-rank quantile, the rank rounded half to even; keys of ``spine`` without a value get 0."""
     rank = F.least(c("n") - 1, F.bround(F.lit(q) * (c("n") - 1), 0))
@@ -116,10 +125,12 @@ def coverage(dets: DataFrame, sessions: DataFrame, keys: Sequence[str], frame: s
 
 
 def detector_report(dets: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
+    """Frames with detections, with several of them, and mean and exact median confidence per key."""
     per = dets.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"))
     multi = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_with_detection"), F.count_if(c("n") > 1).alias("frames_with_multiple_candidates"))
-    conf = dets.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.round(F.median("confidence"), 4).alias("median_confidence"))
-    return multi.join(conf, list(keys))
+    conf = dets.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    middle = exact_median(dets, keys, "confidence", "floor(confidence * 256)", "_median").select(*keys, F.round("_median", 4).alias("median_confidence"))
+    return multi.join(conf, list(keys)).join(middle, list(keys), "left")
 
 
 def window_coverage(dets: DataFrame, windows: DataFrame, keys: Sequence[str], window_id: str, frame: str, lo: str, hi: str) -> DataFrame:

@@ -108,3 +108,14 @@ def test_geometry_and_buckets(spark):
     ).first()
     assert r["a"] == pytest.approx(90) and r["n"] is None and r["l"] == pytest.approx(45)
     assert (r["h"], r["x"], r["t"], r["u"]) == ("high", "excluded", "high", "a b")
+
+
+def test_exact_median_of_even_odd_tied_and_missing_values(spark):
+    from statistics import median
+
+    from kinetable.operators.aggregates import exact_median
+
+    values = {"even": [0.1, 0.9, 0.4, 0.5], "odd": [3.0, -1.0, 2.0], "tied": [0.5] * 6 + [0.75] * 6, "one": [7.0], "none": []}
+    rows = [(k, v) for k, vs in values.items() for v in [*vs, None]]
+    got = {r["k"]: (r["median"], r["n"]) for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "floor(v * 4)").collect()}
+    assert got == {k: (median(v), len(v)) for k, v in values.items() if v}
