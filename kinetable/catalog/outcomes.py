@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import FRAMES_SQL, HOOPS_SQL, POINTS_SQL, flight_points, hoops, query, with_
@@ -9,6 +11,7 @@ from kinetable.functions import rim
 from kinetable.functions.scores import reliable
 from kinetable.operators import outcome as oc
 from kinetable.operators.flight import crossing_pairs, flight_rows, mark_outliers
+from kinetable.operators.lineage import stage
 from kinetable.operators.reversal import post_contact_reversal
 
 c = F.col
@@ -120,7 +123,9 @@ SELECT sid, shot_index, a.outcome AS base_outcome, a.outcome_confidence AS base_
   b.outcome AS other_outcome, b.outcome_confidence AS other_outcome_confidence, b.outcome_reason AS other_outcome_reason, a.outcome <> b.outcome AS changed
 FROM res a JOIN res2 b USING (sid, shot_index)""")
 def compare(spark, sf):
-    return oc.compare_classifiers(flight_points(spark, sf), hoops(spark, sf))
+    pts, hp = flight_points(spark, sf), hoops(spark, sf)
+    rows = stage(flight_rows(pts, hp, KEYS, ["sid"]))
+    return oc.compare_classifiers(pts, hp, partial(oc.classify_outcome, flight=rows), partial(oc.classify_outcome_weighted, flight=rows))
 
 
 @query("EPI21", FLIGHT_SQL + """SELECT sid, shot_index, pair.af AS a_frame, bf AS b_frame, round(drift,1) AS drift_px, round(max_drift,1) AS max_drift_px, deflected,
@@ -268,6 +273,7 @@ def reversal(spark, sf):
 FROM res JOIN rev USING (sid, shot_index)""")
 def outcome_with_reversal(spark, sf):
     pts, hp = flight_points(spark, sf), hoops(spark, sf)
-    base = oc.classify_outcome(pts, hp).select(*KEYS, "outcome", "outcome_reason")
-    rev = post_contact_reversal(pts, hp).select(*KEYS, c("reason").alias("reversal_reason"), "evidence_quality", "escape_direction")
+    rows = stage(flight_rows(pts, hp, KEYS, ["sid"]))
+    base = oc.classify_outcome(pts, hp, flight=rows).select(*KEYS, "outcome", "outcome_reason")
+    rev = post_contact_reversal(pts, hp, flight=rows).select(*KEYS, c("reason").alias("reversal_reason"), "evidence_quality", "escape_direction")
     return base.join(rev, KEYS)

@@ -70,11 +70,14 @@ def _ladder(evidence: DataFrame, crossing_score: Column, p: OutcomeParams) -> Da
     ).drop("_gate", "_conf")
 
 
-def classify_outcome(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome) -> DataFrame:
-    """First clean crossing decides; otherwise look for a miss; otherwise abstain."""
+def classify_outcome(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome, flight: DataFrame | None = None) -> DataFrame:
+    """First clean crossing decides; otherwise look for a miss; otherwise abstain.
+
+    ``flight`` are the ``flight_rows`` of these points, where the caller has them already.
+    """
     k = list(keys)
 
-    rows = with_pairs(flight_rows(points, hoops, k, hoop_keys, p), k, p)
+    rows = with_pairs(flight_rows(points, hoops, k, hoop_keys, p) if flight is None else flight, k, p)
     clean = F.filter("pairs", lambda q: q["first_b"] & q["passes_drift"] & ~q["deflected"] & q["passes_dip"])
     rows = rows.withColumn("_q", F.get(clean, F.lit(0)))
     pick = F.struct(
@@ -99,7 +102,7 @@ def classify_outcome(points: DataFrame, hoops: DataFrame, keys: Sequence[str] =
     )
 
 
-def classify_outcome_weighted(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome) -> DataFrame:
+def classify_outcome_weighted(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome, flight: DataFrame | None = None) -> DataFrame:
     """Variant: every undeflected pair is scored and the best (rounded) score decides."""
     k = list(keys)
 
@@ -107,7 +110,7 @@ def classify_outcome_weighted(points: DataFrame, hoops: DataFrame, keys: Sequenc
         F.filter("pairs", lambda q: ~q["deflected"]),
         lambda q: F.struct(F.round(F.greatest(F.lit(0.0), q["score"]), 3).alias("score"), (-q["a"]["f"]).alias("na"), (-q["b"]["f"]).alias("nb")),
     )
-    rows = with_pairs(flight_rows(points, hoops, k, hoop_keys, p), k, p).withColumn("_s", scored)
+    rows = with_pairs(flight_rows(points, hoops, k, hoop_keys, p) if flight is None else flight, k, p).withColumn("_s", scored)
     best = F.max(F.array_max("_s")).alias("x")
     found = F.coalesce(F.sum(F.when(c("_s").isNotNull(), F.size("_s"))), F.lit(0)).cast("long").alias("n_candidates")
     out = _ladder(attempt_evidence(rows, k, p, best, found), c("x.score"), p)

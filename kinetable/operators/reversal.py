@@ -25,10 +25,10 @@ def reversal_scan(df: DataFrame, series: Series, y: str, k: int = 2) -> DataFram
     return rows.withColumn("lower_since_max", since).withColumn("reversed", c("lower_since_max") >= k).drop("_lower", "_base")
 
 
-def post_contact_reversal(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome) -> DataFrame:
+def post_contact_reversal(points: DataFrame, hoops: DataFrame, keys: Sequence[str] = ("sid", "shot_index"), hoop_keys: Sequence[str] = ("sid",), p: OutcomeParams = DEFAULTS.outcome, flight: DataFrame | None = None) -> DataFrame:
     k = list(keys)
     per = Window.partitionBy(*k)
-    rows = flight_rows(points, hoops, k, hoop_keys, p)
+    rows = flight_rows(points, hoops, k, hoop_keys, p) if flight is None else flight
     at = F.struct(c("frame_index").alias("f"), c("timestamp_sec").alias("t"))
     soon = c("descent") & (c("timestamp_sec") - c("apex.t") <= p.max_apex_sec)
     rows = rows.withColumns({"_soon": soon, "_start": F.min(F.when(soon & c("wide"), c("frame_index"))).over(per)})
