@@ -15,6 +15,8 @@ A window (``length`` bytes) is repeated if it starts anywhere else too, in any d
 4. An anchor with more than ``dense`` classes isn't gathered: each of its windows becomes a row with
    the window's hash, and a grouped count decides.
 
+Passages of a number of words are windows of the same kind once every word is a code of eight letters.
+
 Texts travel as rows of their own; fixed-size rows do the counting.  Null text is empty; texts shorter
 than a window lose nothing; repeated rows lose every byte that a window covers; an empty table gives
 an empty result.
@@ -23,6 +25,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,11 @@ from kinetable.llm.common import BYTE_VALUES, encoded, map_columns, mixed, prefi
 
 c = F.col
 LENGTH, GRAM, SYMBOL = 400, 128, 8
+#: Bytes of white space, and all other characters of it.
+WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: A word's code: one symbol of letters, six bits of its hash each.
+LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: An anchor with more classes is settled by counting window hashes.
 DENSE = 4096
 #: Bytes of compared contexts in a shard, on average; an anchor of ``DENSE`` classes adds at most as much again.
@@ -363,18 +371,77 @@ def digests(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     return done.select("doc_id", c("size").alias("n_bytes"), c("gone").alias("n_removed"), c("parts").alias("n_spans"), c("digest").alias("kept_sha256"))
 
 
+# ------------------------------------------------------------------------------ words
+
+
+def word_bounds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a text, and of each of its words the first byte and the one behind it."""
+    data = WIDE_SPACE.sub(lambda m: " " * len(m[0].encode()), text or "").encode()
+    buf = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[buf], [True]]).astype(np.int8)))
+    return buf, edge[::2], edge[1::2]
+
+
+def word_codes(text: str | None) -> str:
+    """The words of a text as codes of ``SYMBOL`` letters each, without the space between them."""
+    buf, first, end = word_bounds(text)
+    h = range_hashes(prefix_sums(BYTE_VALUES[buf]), first, end)
+    return LETTERS[(h[:, None] >> (np.arange(SYMBOL, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)].tobytes().decode()
+
+
+def _word_spans(keyed: DataFrame, words: int) -> DataFrame:
+    """``t1, t2, spans`` of the coded texts, in which a passage of ``words`` words is one window."""
+
+    def run(cols):
+        return cols | {"text": [word_codes(t) for t in cols["text"]]}
+
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return spans(map_columns(keyed, run, f"doc_id {kind}, text string, t1 bigint, t2 bigint"), length=words * SYMBOL)
+
+
+def word_cover(text: str, starts: list, words: int) -> list[list[int]]:
+    """Maximal byte ranges of the passages whose windows of codes start in the given ranges."""
+    _, first, end = word_bounds(text)
+    whole = [(-(-lo // SYMBOL), hi // SYMBOL) for lo, hi in starts]  # other windows begin within a word
+    return joined([[int(first[lo]), int(end[hi + words - 1])] for lo, hi in whole if lo <= hi])
+
 
-def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the repeated bytes; all rows and columns stay, null texts stay null."""
+def joined(parts: list[list[int]]) -> list[list[int]]:
+    """Maximal ranges of the bytes in any of ``parts``."""
+    out: list[list[int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None, **options) -> DataFrame:
+    """``docs`` without the repeated bytes; all rows and columns stay, null texts stay null.
+
+    With ``words``, passages of so many words that occur more than once go too, however few bytes they
+    have; white space between the words may differ.
+    """
     own = docs.withColumns({"_kt_t1": F.xxhash64(F.coalesce(c(text_col), F.lit(""))), "_kt_t2": F.xxhash64(F.lit(1), F.coalesce(c(text_col), F.lit("")))})
-    found = written(spans(_keyed(docs, "doc_id", text_col), length=length, **options), "spans").select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"))
+    keyed = _keyed(docs, "doc_id", text_col)
+    found = spans(keyed, length=length, **options).withColumn("_kt_words", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    if words:
+        passages = _word_spans(keyed, words).select("t1", "t2", c("spans").alias("_kt_words"))
+        found = written(found.drop("_kt_words"), "byte-spans").join(written(passages, "word-spans"), ["t1", "t2"], "full")
+    found = written(found, "spans").select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"), "_kt_words")
     met = own.join(found, (c("_kt_t1") == c("_kt_w1")) & (c("_kt_t2") == c("_kt_w2")), "left")
+    pairs = lambda g: [] if g is None else [(s["lo"], s["hi"]) for s in g]
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else text_kept(t.encode(), cover([(s["lo"], s["hi"]) for s in g], length)) for t, g in zip(text, starts)], dtype=object)
-
-    return with_new_text(met, F.coalesce(cut(c(text_col), c("_kt_spans")), c(text_col)), text_col).select(*[c(f"`{n}`") for n in docs.columns])
+    def cut(text: pd.Series, starts: pd.Series, passages: pd.Series) -> pd.Series:
+        out = []
+        for t, g, w in zip(text, starts, passages):
+            gone = joined(cover(pairs(g), length) + (word_cover(t, pairs(w), words) if w is not None else []))
+            out.append(text_kept(t.encode(), gone) if gone else None)
+        return pd.Series(out, dtype=object)
+
+    return with_new_text(met, F.coalesce(cut(c(text_col), c("_kt_spans"), c("_kt_words")), c(text_col)), text_col).select(*[c(f"`{n}`") for n in docs.columns])
 
 
 def text_kept(data: bytes, removed: list[list[int]]) -> str:

@@ -161,6 +161,36 @@ def test_repeats_of_nothing_and_cleaning(spark):
     assert kept[0] == "" and kept[9] is None and kept[10] == rows[10][1]
 
 
+def passages_by_hand(texts, n):
+    """Kept words of each text: those in no passage of ``n`` words that occurs twice."""
+    seen = {}
+    for t in texts:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] = seen.get(tuple(w[i : i + n]), 0) + 1
+    out = []
+    for t in texts:
+        w = t.split()
+        gone = {k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}
+        out.append([x for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+def test_pipeline_cuts_repeated_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    fresh = iter(f"w{k:04d}" for k in rng.permutation(10_000))
+    own = lambda n: " ".join(next(fresh) for _ in range(n))
+    planted, short, fifty = own(51), " ".join("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"[:51]), own(50)
+    assert 290 < len(planted) < 320 and len(short) == 101
+    texts = [f"{own(9)} {planted} {own(4)}", f"{own(70)} {planted}", f"{short} {own(3)}", f"é {own(3)} " + short.replace(" ", "\u3000 \n") + " end", f"{own(5)} {fifty} {own(5)}", f"{fifty} {own(2)}", own(60), "", "x y " * 30]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate([*texts, None])], "doc_id long, text string, n_chars long").repartition(3)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeat_removal(spark, docs, "").collect()}
+    assert [left[i].split() for i in range(len(texts))] == passages_by_hand(texts, 51) and left[len(texts)] is None
+    assert planted not in left[0] and "a b c" not in left[2] and fifty in left[4] and fifty in left[5]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=6))
 def test_bounded_prefixes(texts):
