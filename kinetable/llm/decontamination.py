@@ -7,21 +7,23 @@ shorter than the shortest phrase it could hold, can't be part of any occurrence.
 searched backward through wavelet-tree ranks; occurrences are located by walking to sampled suffix
 positions, compared with the document's own bytes, and merged into spans.
 
-The test phrases come in blocks of bounded size, one pass over the documents for each block, so
-nothing of unbounded size is sent to the tasks.  Null texts have no words; an item without words has
+The test phrases are a table, dealt to blocks of bounded size by a hash; each block is a pass over the
+documents, so nothing of unbounded size is sent to the tasks or held by the driver.  Null texts have no words; an item without words has
 no windows; rows, repeated ones too, give one result row each.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import BYTE_VALUES, encoded, grouped, ids_and_text, map_columns, prefix_sums, range_hashes, with_new_text
+from kinetable.llm.common import BYTE_VALUES, encoded, grouped, ids_and_text, map_columns, prefix_sums, range_hashes, with_new_text, written
 
 WINDOW = 10
 #: Windows that one pass searches for; more are searched in further passes.
@@ -240,19 +242,24 @@ def item_windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int):
-    """The distinct windows with their items, in blocks; the test set streams through, a partition at a time."""
-    windows: dict[tuple, list] = {}
+def windows_of(benchmark: DataFrame, size: int, most: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """``window, items`` of the distinct windows as a table, and the number of blocks they are dealt to."""
+
+    def run(cols):
+        out = [(i, w) for i, t in zip(cols["item"], cols["text"]) for w in dict.fromkeys(item_windows(t, size))]
+        return {"item": pa.array([i for i, _ in out], pa.string()), "window": pa.array([w for _, w in out], pa.list_(pa.binary()))}
+
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    for row in rows.orderBy("item").toLocalIterator():
-        fresh = dict.fromkeys(item_windows(row["text"], size))
-        if windows and len(windows) + len(fresh) > most:
-            yield Phrases(list(windows), list(windows.values()))
-            windows = {}
-        for w in fresh:
-            windows.setdefault(w, []).append(row["item"])
-    if windows:
-        yield Phrases(list(windows), list(windows.values()))
+    each = map_columns(rows, run, "item string, window array<binary>")
+    windows = written(each.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "test-windows")
+    return windows, -(-windows.count() // most)
+
+
+def block_of(windows: DataFrame, blocks: int, k: int) -> Phrases:
+    """Block ``k`` of the windows; only this one is on the driver."""
+    rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toLocalIterator()
+    found = [(tuple(map(bytes, r["window"])), r["items"]) for r in rows]
+    return Phrases([w for w, _ in found], [i for _, i in found])
 
 
 def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
@@ -273,6 +280,22 @@ def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
     return map_columns(rows.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>", SHARD_BYTES)
 
 
+def _hits(rows: DataFrame, windows: DataFrame, blocks: int) -> DataFrame:
+    """``doc_id, spans, items`` of each document that a block of windows hits, a row a block, all on the same texts."""
+    hits = None
+    for k in range(blocks):
+        phrases = block_of(windows, blocks, k)
+        if phrases.windows or hits is None:
+            found = written(_search(rows, phrases).filter("size(spans) > 0").select("doc_id", "spans", "items"), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def united(spans: list[list[int]] | None) -> list[list[int]]:
+    """Spans of several blocks merged."""
+    return merged(np.array([x[0] for x in spans]), np.array([x[1] - x[0] for x in spans])) if spans else []
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, spans, items``: merged word spans of all occurrences, and the items they come from.
 
@@ -280,19 +303,16 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
     results meet by document: rows that are equal in id and text are one document there, repeated after.
     """
     rows = ids_and_text(docs, id_col, text_col)
-    parts = list(blocks_of(benchmark, "item_id", "text", size, most)) or [Phrases([], [])]
-    if len(parts) == 1:
-        return _search(rows, parts[0])
+    windows, blocks = windows_of(benchmark, size, most)
+    if blocks <= 1:
+        return _search(rows, block_of(windows, 1, 0))
     keys = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
     keyed = rows.select(F.struct("doc_id", keys[0].alias("a"), keys[1].alias("b")).alias("doc_id"), "text")
     copies = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    hits = None
-    for p in parts:
-        found = _search(keyed, p).filter("size(spans) > 0").select("doc_id", "spans", "items")
-        hits = found if hits is None else hits.unionByName(found)
+    hits = _hits(keyed, windows, blocks)
     merged_hits = hits.distinct().groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = _search(keyed, Phrases([], [])).select("doc_id", "n_words").distinct().join(copies, "doc_id").join(merged_hits, "doc_id", "left")
-    union = F.udf(lambda s: merged(np.array([x[0] for x in s]), np.array([x[1] - x[0] for x in s])) if s else [], "array<array<bigint>>")
+    union = F.udf(united, "array<array<bigint>>")
     out = joined.select("doc_id.doc_id", "n_words", union("s").alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_kt_copy"))
     return out.drop("_kt_copy")
 
@@ -321,13 +341,31 @@ def removed(text: str | None, spans: list[list[int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS, text_col: str = "text") -> DataFrame:
     """``docs`` without the passages of the test set; all rows and columns stay, null texts stay null.
 
-    Every block of phrases is a pass over the texts that the passes before have left, and a cut may
-    bring the words of a further occurrence together, so each pass cuts until none is left.
+    What goes is the union of the occurrences of all windows; since a cut may bring the words of a
+    further occurrence together, texts that were cut are searched again for all windows until none is left.
+    With one block that happens in a single pass; with more, every round is a pass for each block.
     """
-    for phrases in blocks_of(benchmark, "item_id", "text", size, most):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        docs = with_new_text(docs, _cutter(shared)(F.col(text_col)), text_col)
-    return docs
+    windows, blocks = windows_of(benchmark, size, most)
+    if blocks <= 1:
+        shared = docs.sparkSession.sparkContext.broadcast(block_of(windows, 1, 0))
+        return with_new_text(docs, _cutter(shared)(F.col(text_col)), text_col) if blocks else docs
+    own = docs.withColumns({"_kt_a": F.xxhash64(text_col), "_kt_b": F.xxhash64(F.lit(1), text_col)})
+    texts = own.filter(F.col(text_col).isNotNull()).select(F.struct(F.col("_kt_a").alias("a"), F.col("_kt_b").alias("b")).alias("doc_id"), F.col(text_col).alias("text"))
+    now, rounds = written(texts.dropDuplicates(["doc_id"]), "texts"), []
+    cut = F.udf(lambda t, s: removed(t, united(s)), "string")
+    while True:
+        hits = _hits(now, windows, blocks).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        now = written(now.join(hits, "doc_id").select("doc_id", cut("text", "spans").alias("text"), F.lit(len(rounds)).alias("round")), "cut-texts")
+        if now.isEmpty():
+            break
+        rounds.append(now)
+        now = now.drop("round")
+    if not rounds:
+        return docs
+    last = reduce(DataFrame.unionByName, rounds).groupBy("doc_id").agg(F.max_by("text", "round").alias("_kt_text"))
+    last = last.select(F.col("doc_id.a").alias("_kt_c"), F.col("doc_id.b").alias("_kt_d"), "_kt_text")
+    met = own.join(last, (F.col("_kt_a") == F.col("_kt_c")) & (F.col("_kt_b") == F.col("_kt_d")) & F.col(text_col).isNotNull(), "left")
+    return with_new_text(met, F.coalesce("_kt_text", text_col), text_col).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def _cutter(shared):

@@ -110,6 +110,21 @@ def test_passages_are_cut(spark):
     assert {r["text"] for r in left.collect() if r["doc_id"] == 3} == {DOCS[2][1]}
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_cuts_do_not_depend_on_blocks(spark, most):
+    word = [f"w{k}" for k in range(40)]
+    said = lambda *ks: " ".join(word[k] for k in ks)
+    items = [(1, said(*range(10))), (2, said(*range(5, 15))), (3, said(20, 21)), (4, said(22, 23, 24))]
+    texts = ["x " + said(*range(15)) + " y", said(20) + " " + said(22, 23, 24) + " " + said(21) + " z", said(22, 20, 21, 23, 24) + " z", "none", "", None]
+    docs = spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, a string, n_chars long")
+    left = decontamination.cleaned(docs, spark.createDataFrame(items, "item_id long, text string"), most=most)
+    assert left.columns == docs.columns
+    got = {r["doc_id"]: r for r in left.collect()}
+    words = [None if (t := got[i]["text"]) is None else t.split() for i in range(7)]
+    assert words == [["x", "y"], ["z"], ["z"], ["none"], [], None, ["x", "y"]]
+    assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab c", max_size=60), min_size=1, max_size=6), st.lists(st.text("ab c", max_size=12), min_size=1, max_size=5))
 def test_fm_index_finds_what_brute_force_finds(texts, items):
