@@ -110,11 +110,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(c(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
-def _context_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+def _context_rows(keyed: DataFrame, length: int, gram: int, coded: bool = False) -> DataFrame:
     """A row a text and class, with its number ``m`` in the text; rows without a class are ranges that are repeated anyway."""
 
     def run(cols):
-        own, at, span, off, h, ctx = contexts(encoded(cols["text"]), length, gram)
+        own, at, span, off, h, ctx = contexts(encoded([word_codes(t) for t in cols["text"]] if coded else cols["text"]), length, gram)
         if not len(own):
             return None
         kept, times, (text, first, last) = own_repeats(own, at, span, off, h, ctx)
@@ -242,9 +242,12 @@ def ranges(flags: np.ndarray) -> list[list[int]]:
 # ------------------------------------------------------------------------------ jobs
 
 
-def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int = DENSE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``t1, t2, spans``: of each text (by its two hashes) the ranges of first bytes of repeated windows."""
-    rows = written(_context_rows(keyed, length, gram), "contexts")
+def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int = DENSE, shard_bytes: int = SHARD_BYTES, coded: bool = False) -> DataFrame:
+    """``t1, t2, spans``: of each text (by its two hashes) the ranges of first bytes of repeated windows.
+
+    ``coded``: windows, ranges and lengths are those of the texts' word codes.
+    """
+    rows = written(_context_rows(keyed, length, gram, coded), "contexts")
     classed = rows.filter("m IS NOT NULL")
     groups = classed.groupBy(*CLASS).agg(F.sum("m").alias("n"), F.min(F.struct("t1", "t2", "doc_id", "at")).alias("one"))
     groups = written(groups, "classes")
@@ -253,7 +256,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int =
     stats = compared.agg(F.sum(F.col("run") + length).alias("size"), F.max("k").alias("k")).first()
     settled = [groups.filter("n > 1").select(*CLASS, F.array(F.struct(F.lit(0).alias("lo"), c("run").alias("hi"))).alias("ranges"))]
     if stats["size"]:
-        text = _with_text(keyed, compared, length)
+        text = _with_text(_coded(keyed) if coded else keyed, compared, length)
         if stats["k"] > dense:
             text = written(text, "compared-texts")
             settled.append(_by_counts(text.filter(c("k") > dense), length))
@@ -389,14 +392,14 @@ def word_codes(text: str | None) -> str:
     return LETTERS[(h[:, None] >> (np.arange(SYMBOL, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)].tobytes().decode()
 
 
-def _word_spans(keyed: DataFrame, words: int) -> DataFrame:
-    """``t1, t2, spans`` of the coded texts, in which a passage of ``words`` words is one window."""
+def _coded(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with word codes for texts, and the hashes of the texts themselves."""
 
     def run(cols):
         return cols | {"text": [word_codes(t) for t in cols["text"]]}
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return spans(map_columns(keyed, run, f"doc_id {kind}, text string, t1 bigint, t2 bigint"), length=words * SYMBOL)
+    return map_columns(keyed, run, f"doc_id {kind}, text string, t1 bigint, t2 bigint")
 
 
 def word_cover(text: str, starts: list, words: int) -> list[list[int]]:
@@ -427,7 +430,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words
     keyed = _keyed(docs, "doc_id", text_col)
     found = spans(keyed, length=length, **options).withColumn("_kt_words", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
     if words:
-        passages = _word_spans(keyed, words).select("t1", "t2", c("spans").alias("_kt_words"))
+        passages = spans(keyed, length=words * SYMBOL, coded=True).select("t1", "t2", c("spans").alias("_kt_words"))
         found = written(found.drop("_kt_words"), "byte-spans").join(written(passages, "word-spans"), ["t1", "t2"], "full")
     found = written(found, "spans").select(c("t1").alias("_kt_w1"), c("t2").alias("_kt_w2"), c("spans").alias("_kt_spans"), "_kt_words")
     met = own.join(found, (c("_kt_t1") == c("_kt_w1")) & (c("_kt_t2") == c("_kt_w2")), "left")
