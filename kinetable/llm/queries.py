@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import bpe, conversation_repair, decontamination, html_text, licenses, quality, repeats, simhash, token_counts, toxicity, vectors
+from kinetable.llm import bpe, centroids, conversation_repair, decontamination, html_text, licenses, neighbours, quality, repeats, simhash, token_counts, toxicity, vectors
 from kinetable.llm.common import table
 
 c = F.col
@@ -60,9 +60,17 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_bpe, op3_repeats, op4_html, op5_vectors, op6_licenses, op7_quality, op8_decontamination, op9_tokens, op10_toxicity, op11_conversations)
+    for f in (op1_simhash, op2_bpe, op3_repeats, op4_html, op5_vectors, op6_licenses, op7_quality, op8_decontamination, op9_tokens, op10_toxicity, op11_conversations, op12_clusters, op13_neighbours)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle_sql()}
