@@ -96,10 +96,16 @@ def window_coverage(spark, sf):
 
 @query("AGG22", with_(DETECTIONS_SQL, WIDE_SQL) + """, sp AS (SELECT sid, shot_index, unnest(range(lo, hi + 1)) AS f FROM windows),
 h AS (SELECT s.sid, s.shot_index, s.f, d.f IS NOT NULL AS hit FROM sp s LEFT JOIN ds d ON d.sid = s.sid AND d.f = s.f),
-g AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY sid, shot_index ORDER BY f) AS i FROM h)
-SELECT sid, shot_index, max(n)::BIGINT AS longest_gap FROM (SELECT sid, shot_index, i, count(*) FILTER (NOT hit) AS n FROM g GROUP BY ALL) GROUP BY ALL""")
+g AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY sid, shot_index ORDER BY f) AS i FROM h),
+pw AS (SELECT sid, shot_index, max(n)::BIGINT AS longest_gap FROM (SELECT sid, shot_index, i, count(*) FILTER (NOT hit) AS n FROM g GROUP BY ALL) GROUP BY ALL),
+al AS (SELECT k.sid, k.f, d.f IS NOT NULL AS hit FROM (SELECT sid, unnest(range(1, 32)) AS f FROM (SELECT DISTINCT sid FROM ds)) k LEFT JOIN ds d ON d.sid = k.sid AND d.f = k.f),
+oa AS (SELECT sid, max(n)::BIGINT AS overall_longest_gap FROM (SELECT sid, i, count(*) FILTER (NOT hit) AS n FROM (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f) AS i FROM al) GROUP BY ALL) GROUP BY ALL)
+SELECT coalesce(pw.sid, oa.sid) AS sid, shot_index, longest_gap, overall_longest_gap FROM pw FULL JOIN oa ON oa.sid = pw.sid""")
 def longest_gap(spark, sf):
-    return ag.longest_gap(detections(spark, sf), order_windows(spark, sf, 9), ["sid"], "shot_index", "frame_index", "lo", "hi")
+    """Gaps of each window beside the overall one; sessions without windows have a row of their own."""
+    d = detections(spark, sf)
+    per = ag.longest_gap(d, order_windows(spark, sf, 9), ["sid"], "shot_index", "frame_index", "lo", "hi")
+    return per.join(ag.overall_gap(d, ["sid"], "frame_index", F.lit(1), F.lit(DETECTION_DAYS)), "sid", "full")
 
 
 TARGET_SQL = "tg AS (SELECT sid, avg(x1) AS tx, avg(y1) AS ty, 30.0 AS tr FROM detections GROUP BY sid)"
@@ -140,19 +146,17 @@ bpf AS (SELECT * FROM ck QUALIFY row_number() OVER (PARTITION BY sid, cluster, f
 SELECT sid, round(cx, 8) AS rim_center_x, round(cy, 8) AS rim_center_y, round(r, 8) AS rim_radius_px, votes, method, round(0.6 * least(1.0, votes / 4) + 0.4 * mc, 3) AS confidence FROM cs
 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY votes DESC, round(mc, 12) DESC, cluster) = 1""")
 def vote_location(spark, sf):
-    out = ag.vote_location(candidates(spark, sf), ["sid"], ["frame_index", "event_id"], F.floor(c("frame_index") / 4096))
+    out = ag.vote_location(candidates(spark, sf), ["sid"], ["frame_index", "event_id"])
     return out.withColumns({n: F.round(n, 8) for n in ("rim_center_x", "rim_center_y", "rim_radius_px")})
 
 
 @query("TOP4", with_(DETECTIONS_SQL, CLUSTER_SQL, recursive=True) + """, cs AS (SELECT sid, cluster, count(*) AS votes, avg(confidence) AS mc FROM bpf GROUP BY ALL)
 SELECT sid, cluster, votes, round(mc, 4) AS mean_confidence FROM cs QUALIFY row_number() OVER (PARTITION BY sid ORDER BY votes DESC, round(mc, 12) DESC, cluster) = 1""")
 def best_cluster(spark, sf):
-    from kinetable.operators.fold import keyed_fold
     from kinetable.operators.topk import best_row
 
     cands, order = candidates(spark, sf), ["frame_index", "event_id"]
-    fold = ag.ClusterFold([cands.schema[o] for o in order], 40.0)
-    tagged = cands.join(keyed_fold(cands, ["sid"], order, F.floor(c("frame_index") / 4096), fold), ["sid", *order])
+    tagged = cands.join(ag.greedy_clusters(cands, ["sid"], order), ["sid", *order])
     best = ag.best_per_frame(tagged, ["sid", "cluster"], "frame_index", "event_id")
     cl = best.groupBy("sid", "cluster").agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("mean_confidence"))
     return best_row(cl, ["sid"], [-c("votes"), -F.round("mean_confidence", 12), c("cluster")]).withColumn("mean_confidence", F.round("mean_confidence", 4))

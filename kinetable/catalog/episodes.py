@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import (
-    DETECTIONS_SQL, FRAMES_SQL, HOOPS_SQL, POSES_SQL, SIGNALS_SQL, TORSO_PX, detections, flight_points, frames, hoops, poses, query, signals, table, with_,
+    DETECTIONS_SQL, FRAMES_SQL, HOOPS_SQL, POSES_SQL, SIGNALS_SQL, TORSO_PX, detections, frames, hoops, poses, query, signals, table, with_,
 )
 from kinetable.catalog.joins import ATTEMPTS_SQL, attempts
 from kinetable.catalog.projections import KNEE, L, R, TORSO, angle_sql
@@ -61,9 +61,7 @@ held AS (SELECT sid, frame_index, k, max(event_id) AS box_id FROM placed GROUP B
 @query("EPI02", with_(DETECTIONS_SQL, SLOTS_SQL, recursive=True) + """SELECT sid, frame_index, box_id, k - 1 AS slot FROM held JOIN done USING (sid, frame_index)
 QUALIFY row_number() OVER (PARTITION BY sid, frame_index ORDER BY list_sum(slots[k].a) / len(slots[k].a) DESC, k) = 1""")
 def primary(spark, sf):
-    d = detections(spark, sf)
-    boxes = d.groupBy("sid", "frame_index").agg(F.array_sort(F.collect_list(F.struct(c("event_id").alias("id"), "x1", "y1", "x2", "y2"))).alias("boxes"))
-    return select_primary(boxes, ["sid"])
+    return select_primary(detections(spark, sf).withColumnRenamed("event_id", "id"), ["sid"])
 
 
 EPI03_SQL = """sc AS (SELECT sid, coalesce(max(l) FILTER (r = n // 2 + 1), 79.2) AS torso_px FROM (SELECT sid, l, row_number() OVER (PARTITION BY sid ORDER BY l) AS r, count(*) OVER (PARTITION BY sid) AS n FROM
@@ -223,7 +221,7 @@ tc AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND NOT (timestamp_sec - pt > 1e-6
 td AS (SELECT tc.sid, tc.frame_index, ch, min(least(sqrt(pow(tc.x - lx, 2) + pow(tc.y - ly, 2)), sqrt(pow(tc.x - rx, 2) + pow(tc.y - ry, 2))) / {TORSO_PX}) OVER (PARTITION BY tc.sid ORDER BY tc.frame_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS pose, tc.x, tc.y
   FROM tc JOIN signals s ON s.sid = tc.sid AND s.frame_index = tc.frame_index),
 cr AS (SELECT a.sid, a.frame_index AS arm_frame, a.pose, hc.hoop_conf, (SELECT min(sqrt(pow(b.x - hoop_x, 2) + pow(b.y - hoop_y, 2)) / hoop_r) FROM td b WHERE b.sid = a.sid AND b.ch = a.ch AND b.frame_index BETWEEN a.frame_index AND a.frame_index + 150) AS d
-  FROM td a JOIN hoops hc USING (sid) WHERE a.frame_index % 4 = 0)"""
+  FROM td a JOIN hoops hc USING (sid))"""
 
 
 @query("EPI09", with_(FRAMES_SQL, SIGNALS_SQL, TRUSTED_S, HOOPS_SQL, CORR_SQL) + """SELECT sid, arm_frame, CASE WHEN hoop_conf < 0.3 THEN 'no_hoop_location' WHEN d <= 3 THEN 'hoop_corroborated' ELSE 'no_hoop_evidence' END AS hoop_tier,
@@ -235,7 +233,7 @@ def corroborate(spark, sf):
 
     s = signals(spark, sf, True)
     seen = stage(trusted(s, FRAME_SERIES))
-    armed = seen.filter(F.pmod("frame_index", F.lit(4)) == 0).select("sid", c("frame_index").alias("arm_frame"))
+    armed = seen.select("sid", c("frame_index").alias("arm_frame"))
     return rl.corroborate(armed, s, hoops(spark, sf), F.lit(TORSO_PX), seen=seen)
 
 
@@ -298,17 +296,45 @@ def mechanics_rows(spark, sf):
     return m.select("sid", "shot_index", "pose_quality", "load_frame", *[c(f"mechanics.{f}").alias(a) for f, a in names.items() if a])
 
 
-def session_shots(spark, sf):
-    points = stage(flight_points(spark, sf).drop("shot_index", "event_id", "ts"))
-    return sp.build_shots(signals(spark, sf, True), stage(poses(spark, sf)), points, hoops(spark, sf), TORSO_PX, 100.0, 500.0)
+WIDTH, HEIGHT = 100.0, 500.0
+
+
+def session_inputs(spark, sf):
+    """Detections and poses as a detector would give them: the object rests at a wrist for six frames, then rises
+    away from it; frames whose event is no sighting have none, some get one from the second search."""
+    step, n = F.pmod("frame_index", F.lit(12)), F.pmod("event_id", F.lit(7)).cast("double")
+    height = F.lit(60.0) - F.when(step >= 6, F.lit(7.0) * (step - 5)).otherwise(F.lit(0.0)) + c("y") / 40
+    f = stage(frames(spark, sf).withColumns({"x": c("x") / 4, "y": height, "n": n, "held": step < 6}))
+    seen = f.select("sid", "frame_index", "timestamp_sec", c("event_id").alias("id"), "x", "y", "radius", "confidence", "source")
+    wrist = F.when(c("held"), c("n")).otherwise(F.lit(150.0))
+    bend = F.radians(F.pmod(c("event_id") * 13, F.lit(60)).cast("double"))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"), F.lit(0.9).alias("visibility"))
+    hip = c("n") / 100
+    joints = {"nose": (F.lit(0.5), F.lit(0.05))}
+    for side, off in (("left", 0.0), ("right", 0.9)):
+        joints[f"{side}_shoulder"] = (F.lit(0.3 + off / 9), F.lit(0.116))
+        joints[f"{side}_elbow"] = (F.lit(0.25 + off), F.lit(0.15))
+        joints[f"{side}_wrist"] = ((c("x") + wrist) / WIDTH + off, (c("y") + wrist) / HEIGHT)
+        joints[f"{side}_hip"] = (F.lit(0.3 + off / 9) + hip, F.lit(0.9))
+        joints[f"{side}_knee"] = (F.lit(0.3 + off / 9) + hip, F.lit(1.1))
+        joints[f"{side}_ankle"] = (F.lit(0.3 + off / 9) + hip + F.sin(bend) / 5, F.lit(1.1) + F.cos(bend) / 5)
+    pose = f.select("sid", "frame_index", "timestamp_sec", (F.pmod("event_id", F.lit(11)) != 0).alias("detected"), F.struct(*[at(x, y).alias(j) for j, (x, y) in joints.items()]).alias("joints"))
+    goal = f.filter(F.pmod("event_id", F.lit(5)) == 0).select(
+        "sid", "frame_index", c("event_id").alias("id"), (F.lit(50.0) + F.pmod("event_id", F.lit(9))).alias("x"), (F.lit(30.0) + F.pmod("event_id", F.lit(11))).alias("y"),
+        F.lit(12.0).alias("radius"), "confidence", c("source"),
+    )
+    sightings = seen.filter("source IN ('detected', 'interpolated')").drop("source")
+    return sp.Inputs(f.select("sid", "frame_index", "timestamp_sec"), sightings, pose, goal, WIDTH, HEIGHT, gaps=seen.filter("source = 'predicted'").drop("source"))
 
 
 @query("EPI16")
 def attempt_records(spark, sf):
-    """Composition of the operators above from segmentation on."""
-    return session_shots(spark, sf)
+    """Attempt records with the recovered points merged into their flights."""
+    return sp.run_sessions(session_inputs(spark, sf)).shots
 
 
 @query("EPI19")
 def session_reports(spark, sf):
-    return sp.analyze(session_shots(spark, sf))
+    """Every report table of a session as one row, from detections and poses on."""
+    given = session_inputs(spark, sf)
+    return sp.session_report(sp.run_sessions(given), given.frames)

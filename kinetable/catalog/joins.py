@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinetable.catalog.base import (
     FRAME_SERIES, FRAMES_SQL, POSES_SQL, SIGNALS_SQL, frames, poses, query, shots, shots_sql, signals, table, with_,
 )
+from kinetable.catalog.aggregates import COACH
 from kinetable.operators import joins as jn
 from kinetable.operators.ordered import dim_join
 from kinetable.operators.topk import best_row
@@ -125,15 +126,28 @@ def prefer_new(spark, sf):
     return jn.prefer_new(base, extra, ["sid", "frame_index"])
 
 
-LABEL_RULE = "CASE WHEN n_chars < 200 THEN 0 ELSE 1 END"
+LABEL_RULE = "CASE WHEN n_chars < 200 THEN 'missed' WHEN n_chars < 400 THEN 'unknown' ELSE 'made' END"
+TRUTH_RULE = "CASE WHEN quality = 1 THEN 'made' ELSE 'missed' END"
+# Three documents are a session; the labels cover only some, so most sessions are refused.
+TRUTH_SQL = f"""ck AS (SELECT coalesce(a.sid, b.sid) AS sid, coalesce(a.doc_id, b.doc_id) AS doc_id, automatic_outcome, verified_outcome, CASE WHEN b.doc_id IS NULL THEN 'no_truth' WHEN a.doc_id IS NULL THEN 'no_attempt' ELSE 'both' END AS status FROM
+ (SELECT doc_id // 3 AS sid, doc_id, {LABEL_RULE} AS automatic_outcome FROM documents) a FULL JOIN (SELECT doc_id // 3 AS sid, doc_id, {TRUTH_RULE} AS verified_outcome FROM labels) b ON a.sid = b.sid AND a.doc_id = b.doc_id),
+sm AS (SELECT sid, count(*) FILTER (status <> 'both') AS n_mismatched, count(*) FILTER (automatic_outcome = 'made') AS am, count(*) FILTER (automatic_outcome = 'missed') AS ai, count(*) FILTER (automatic_outcome = 'unknown') AS au,
+ count(*) FILTER (verified_outcome = 'made') AS vm, count(*) FILTER (verified_outcome = 'missed') AS vi FROM ck GROUP BY sid),
+ov AS (SELECT sid, n_mismatched, n_mismatched = 0 AS outcomes_verified, am AS automatic_made, ai AS automatic_missed, au AS automatic_unknown, round(100.0::DOUBLE * am / nullif(am + ai, 0), 1) AS automatic_shooting_percentage,
+ CASE WHEN n_mismatched = 0 THEN vm ELSE am END AS made, CASE WHEN n_mismatched = 0 THEN vi ELSE ai END AS missed, CASE WHEN n_mismatched = 0 THEN 0 ELSE au END AS unknown FROM sm)"""
 
 
-@query("JON13", f"""SELECT d.doc_id, {LABEL_RULE} AS automatic_label, l.quality AS verified_label FROM labels l JOIN documents d USING (doc_id)""")
+@query("JON13", with_(TRUTH_SQL) + """SELECT sid, doc_id, automatic_outcome, verified_outcome, status, ov.* EXCLUDE (sid), round(100.0::DOUBLE * made / nullif(made + missed, 0), 1) AS shooting_percentage FROM ck JOIN ov USING (sid)""")
 def overlay_truth(spark, sf):
-    truth = table(spark, sf, "labels").select("doc_id", c("quality").alias("outcome"))
-    docs = table(spark, sf, "documents").join(truth, "doc_id", "left_semi")
-    auto = docs.select("doc_id", F.expr(LABEL_RULE).alias("outcome"))
-    return jn.overlay_truth(auto, truth, ["doc_id"])
+    """Labels of both sides, mismatching keys included, with the figures of their session."""
+    from kinetable.operators.evaluation import truth_keys, truth_summary
+    from kinetable.operators.lineage import stage
+
+    sid = F.floor(c("doc_id") / 3).alias("sid")
+    auto = table(spark, sf, "documents").select(sid, "doc_id", F.expr(LABEL_RULE).alias("outcome"))
+    truth = table(spark, sf, "labels").select(sid, "doc_id", F.expr(TRUTH_RULE).alias("outcome"))
+    rows = stage(truth_keys(auto, truth, ["sid"], ["doc_id"]))
+    return rows.join(truth_summary(rows, ["sid"]), "sid")
 
 
 @query("JON14", """SELECT sid, frame_index, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 4) AS distance FROM
@@ -226,13 +240,15 @@ def seed_state(spark, sf):
     )
 
 
-@query("AGG38", with_(shots_sql()) + """SELECT sid, count(*) AS n_shots, count(*) FILTER (outcome='made') AS made, count(*) FILTER (outcome='missed') AS missed, count(*) FILTER (outcome='unknown') AS unknown,
- count(*) FILTER (excluded_from_analysis) AS excluded FROM shots GROUP BY sid""")
+@query("AGG38", COACH + """, rs AS (SELECT sid, count(*) AS n_shots, count(*) FILTER (NOT excluded_from_analysis AND outcome = 'made') AS made, count(*) FILTER (NOT excluded_from_analysis AND outcome = 'missed') AS missed,
+ count(*) FILTER (NOT excluded_from_analysis AND outcome = 'unknown') AS unknown, count(*) FILTER (excluded_from_analysis) AS excluded,
+ list(outcome ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS outcomes FROM shots GROUP BY sid)
+SELECT rs.*, round(100.0::DOUBLE * made / nullif(made + missed, 0), 1) AS shooting_percentage, ok AS eligible, CASE WHEN NOT ok THEN 'low' WHEN tracking = 'medium' THEN 'medium' ELSE coalesce(pc, 'low') END AS confidence,
+ CASE WHEN ok AND NOT clash THEN bk END AS strength_key, CASE WHEN ok THEN pk END AS priority_key FROM rs LEFT JOIN j4 USING (sid)""")
 def regression_summary(spark, sf):
     from kinetable.catalog.base import SHOT_METRICS, SHOT_ORDER
     from kinetable.operators.evaluation import regression_summary as op
     from kinetable.plans.coaching import coaching
 
     s = shots(spark, sf)
-    out = op(s, coaching(s, ["sid"], SHOT_METRICS), ["sid"], SHOT_ORDER)
-    return out.select("sid", "n_shots", "made", "missed", "unknown", "excluded")
+    return op(s, coaching(s, ["sid"], SHOT_METRICS), ["sid"], SHOT_ORDER, "year(l_shipdate) * 12 + month(l_shipdate)")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.functions.scores import RELIABLE_SOURCES, SOURCES
-from kinetable.operators.fold import Fold, keyed_fold
 from kinetable.operators.joins import interval_join
+from kinetable.operators.onepass import Machine, PlaceIndex, ordered_pass
 from kinetable.operators.ordered import Series, dim_join, next_row, prev_row, running_sum, scan, total
 from kinetable.params import DEFAULTS, VoteParams
 
@@ -166,6 +166,22 @@ def longest_gap(dets: DataFrame, windows: DataFrame, keys: Sequence[str], window
     )
 
 
+def overall_gap(dets: DataFrame, keys: Sequence[str], frame: str, first: Column, last: Column, size: int = 4096) -> DataFrame:
+    """Longest run of frames without a detection between ``first`` and ``last`` (expressions over the keys).
+
+    Each frame block gives a run summary (first and last frame seen, longest gap between); summaries of neighbours merge
+    by the gap between them, so a session's frames meet only as one summary a block.
+    """
+    block = F.floor(c(frame) / size)
+    seen = dets.select(*keys, frame).distinct().withColumn("_b", block)
+    inside = seen.withColumn("_gap", c(frame) - F.lag(frame).over(Window.partitionBy(*keys, "_b").orderBy(frame)) - 1)
+    runs = inside.groupBy(*keys, "_b").agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi"), F.coalesce(F.max("_gap"), F.lit(0)).alias("_longest"))
+    between = c("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_b")) - 1
+    merged = runs.withColumn("_between", between).groupBy(*keys).agg(*[f(n).alias(n) for f, n in ((F.min, "_lo"), (F.max, "_hi"), (F.max, "_longest"), (F.max, "_between"))])
+    gap = F.greatest("_longest", "_between", c("_lo") - first, last - c("_hi"))
+    return merged.select(*keys, F.greatest(gap, F.lit(0)).cast("long").alias("overall_longest_gap"))
+
+
 def positional_stability(cands: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean population deviation of x and y of the candidates within two radii of the target."""
     near = dim_join(cands, target, keys, spread=["x", "y"]).filter(F.hypot(c("x") - c("target_x"), c("y") - c("target_y")) < c("target_r") * 2)
@@ -180,36 +196,42 @@ def best_per_frame(cands: DataFrame, keys: Sequence[str], frame: str, order: str
     return cands.groupBy(*keys, frame).agg(pick.alias("_r")).select(*keys, frame, "_r.*")
 
 
-class ClusterFold(Fold):
-    """Order-dependent greedy clusters around running centroids; emits the cluster of each row."""
-
-    forgets = False
-
-    def __init__(self, order: Sequence[T.StructField], radius: float):
-        self.columns = [*[f.name for f in order], "x", "y"]
-        self.radius = radius
-        self.schema = T.StructType([*order, T.StructField("cluster", T.LongType())])
-
-    def start(self):
-        return []
-
-    def step(self, state, row):
-        *ids, x, y = row
-        for i, (n, sx, sy) in enumerate(state):
-            if ((x - sx / n) ** 2 + (y - sy / n) ** 2) ** 0.5 <= self.radius:
-                state[i] = [n + 1, sx + x, sy + y]
-                return state, [(*ids, i)]
-        state.append([1, x, y])
-        return state, [(*ids, len(state) - 1)]
-
-    def token(self, state):
-        return state
+class ClusterMachine(Machine):
+    """Order-dependent greedy clusters: a row joins the first cluster whose running centroid is within the radius.
 
+    Centroids lie on a grid of the radius' width, so a row looks at the clusters around it only.
+    """
 
-def vote_location(cands: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, p: VoteParams = DEFAULTS.vote) -> DataFrame:
+    def __init__(self, n_order: int, radius: float):
+        self.n_order, self.radius = n_order, radius
+        self.places, self.sums = PlaceIndex(radius), []
+
+    def row(self, *values):
+        ids, (x, y) = values[: self.n_order], values[self.n_order :]
+        if x is None or y is None or x != x or y != y:
+            return [(*ids, None)]
+        held, first = self.places, None
+        for i in held.around(x, y, self.radius):
+            if (first is None or i < first) and ((x - held.x[i]) ** 2 + (y - held.y[i]) ** 2) ** 0.5 <= self.radius:
+                first = i
+        if first is None:
+            self.sums.append((1, x, y))
+            return [(*ids, held.add(x, y))]
+        n, sx, sy = self.sums[first]
+        n, sx, sy = self.sums[first] = (n + 1, sx + x, sy + y)
+        held.move(first, sx / n, sy / n)
+        return [(*ids, first)]
+
+
+def greedy_clusters(cands: DataFrame, keys: Sequence[str], order: Sequence[str], radius: float = DEFAULTS.vote.radius_px) -> DataFrame:
+    """The cluster of each candidate: ``keys``, ``order`` and ``cluster`` (null where x or y is)."""
+    schema = T.StructType([*[cands.schema[o] for o in order], T.StructField("cluster", T.LongType())])
+    return ordered_pass(cands, keys, order, [*order, "x", "y"], schema, lambda: ClusterMachine(len(order), radius))
+
+
+def vote_location(cands: DataFrame, keys: Sequence[str], order: Sequence[str], p: VoteParams = DEFAULTS.vote) -> DataFrame:
     """Cluster candidates, keep the best per cluster and frame, and let frames vote."""
-    fold = ClusterFold([cands.schema[o] for o in order], p.radius_px)
-    tagged = cands.join(keyed_fold(cands, keys, order, block, fold), [*keys, *order])
+    tagged = cands.join(greedy_clusters(cands, keys, order, p.radius_px), [*keys, *order]).filter("cluster IS NOT NULL")
     best = best_per_frame(tagged, [*keys, "cluster"], order[0], order[-1])
     clusters = best.groupBy(*keys, "cluster").agg(
         F.avg("x").alias("rim_center_x"), F.avg("y").alias("rim_center_y"), F.avg("radius").alias("rim_radius_px"),

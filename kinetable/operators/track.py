@@ -1,7 +1,8 @@
-"""Object tracks with provenance, and primary-subject selection, as ordered folds."""
+"""Object tracks with provenance as an ordered fold, and primary-subject selection in one pass."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 from math import hypot
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.operators.fold import Fold, keyed_fold
+from kinetable.operators.onepass import Machine, PlaceIndex, ordered_pass
 from kinetable.params import DEFAULTS, TrackParams
 
 c = F.col
@@ -101,38 +103,49 @@ def track(frames: DataFrame, keys: Sequence[str] = ("sid",), block: Column | Non
     return keyed_fold(frames, keys, ["frame_index"], cut, TrackFold(p))
 
 
-class PrimaryFold(Fold):
-    """Greedy nearest-centre slots; the present slot with the largest recent mean area wins."""
+class PrimaryMachine(Machine):
+    """Greedy nearest-centre slots; the present slot with the largest recent mean area wins.
 
-    columns = ("frame_index", "boxes")
-    forgets = False
+    Rows are boxes in the order of frame and id; a row without an id is a frame without boxes.  Slots lie on a grid
+    and keep a ring of their last areas.
+    """
+
+    columns = ("frame_index", "id", "x1", "y1", "x2", "y2")
     schema = T.StructType([T.StructField("frame_index", T.LongType()), T.StructField("box_id", T.LongType()), T.StructField("slot", T.LongType())])
 
-    def __init__(self, reach: float = 1.5, recent: int = 30):
+    def __init__(self, reach: float = 1.5, recent: int = 30, cell: float = 64.0):
         self.reach, self.recent = reach, recent
-
-    def start(self):
-        return []
-
-    def step(self, slots, row):
-        frame, boxes = row
-        if boxes is None or len(boxes) == 0:
-            return slots, [(frame, None, None)]
-        holder = {}
-        for box in boxes:
-            w, h = box["x2"] - box["x1"], box["y2"] - box["y1"]
-            cx, cy = (box["x1"] + box["x2"]) / 2, (box["y1"] + box["y2"]) / 2
-            near = min(range(len(slots)), key=lambda i: hypot(cx - slots[i][0], cy - slots[i][1]), default=None)
-            if near is None or hypot(cx - slots[near][0], cy - slots[near][1]) >= self.reach * max(w, h):
-                slots.append([cx, cy, []])
-                near = len(slots) - 1
-            slots[near] = [cx, cy, (slots[near][2] + [w * h])[-self.recent:]]
-            holder[near] = int(box["id"])
-        best = max(sorted(holder), key=lambda i: sum(slots[i][2]) / len(slots[i][2]))
-        return slots, [(frame, holder[best], best)]
-
-
-def select_primary(frames: DataFrame, keys: Sequence[str], block: Column | None = None) -> DataFrame:
-    """Primary box per frame; ``frames`` has ``frame_index`` and ``boxes`` (array of id, x1..y2)."""
-    cut = F.floor(c("frame_index") / 4096) if block is None else block
-    return keyed_fold(frames, keys, ["frame_index"], cut, PrimaryFold())
+        self.places, self.areas = PlaceIndex(cell), []
+        self.frame, self.holder = None, {}
+
+    def row(self, frame, box, x1, y1, x2, y2):
+        out = self.end() if frame != self.frame else []
+        self.frame = frame
+        if box is None:
+            return out
+        w, h, cx, cy = x2 - x1, y2 - y1, (x1 + x2) / 2, (y1 + y2) / 2
+        held, far = self.places, self.reach * max(w, h)
+        near = min(((hypot(cx - held.x[i], cy - held.y[i]), i) for i in held.around(cx, cy, far)), default=None)
+        if near is None or near[0] >= far:
+            at = held.add(cx, cy)
+            self.areas.append(deque(maxlen=self.recent))
+        else:
+            at = near[1]
+            held.move(at, cx, cy)
+        self.areas[at].append(w * h)
+        self.holder[at] = box
+        return out
+
+    def end(self):
+        if self.frame is None:
+            return []
+        best = max(sorted(self.holder), key=lambda i: sum(self.areas[i]) / len(self.areas[i]), default=None)
+        out = [(self.frame, self.holder.get(best), best)]
+        self.frame, self.holder = None, {}
+        return out
+
+
+def select_primary(boxes: DataFrame, keys: Sequence[str], reach: float = 1.5, recent: int = 30) -> DataFrame:
+    """Primary box per frame; ``boxes`` has ``frame_index, id, x1, y1, x2, y2``, a row a box."""
+    m = PrimaryMachine
+    return ordered_pass(boxes, keys, ["frame_index", "id"], m.columns, m.schema, lambda: m(reach, recent))

@@ -71,16 +71,6 @@ def test_segment_in_blocks_equals_whole(spark, seed):
     assert whole.count() > 3
 
 
-def test_unforgetting_clusters_in_blocks(spark):
-    rng = random.Random(3)
-    rows = [("s", i, float(rng.choice([0, 100, 200]) + rng.randint(0, 30)), float(rng.randint(0, 20))) for i in range(60)]
-    df = spark.createDataFrame(rows, "sid string, frame_index long, x double, y double")
-    fold = ag.ClusterFold([df.schema["frame_index"]], 40.0)
-    whole = keyed_fold(df, ["sid"], ["frame_index"], F.lit(0), fold)
-    cut = keyed_fold(df, ["sid"], ["frame_index"], F.floor(F.col("frame_index") / 20), fold)
-    assert rows_of(whole) == rows_of(cut)
-
-
 def test_ema_and_cooldown(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in range(25)], "sid string, frame_index long, v double")
     got = win.ema(df, ["sid"], ["frame_index"], "v", F.floor(F.col("frame_index") / 8)).orderBy("frame_index").collect()
@@ -167,12 +157,6 @@ def test_release_folds_in_blocks(spark):
     assert whole.count() > 0  # the last of the three emits the most
 
 
-def test_primary_subject_prefers_the_large_slot():
-    big, small = dict(id=1, x1=0.0, y1=0.0, x2=20.0, y2=40.0), dict(id=2, x1=200.0, y1=0.0, x2=210.0, y2=10.0)
-    frames = pd.DataFrame({"frame_index": [0, 1, 2], "boxes": [[big, small], [small], [small, big]]})
-    assert [o[1] for o in fold_call(tr.PrimaryFold())(frames)] == [1, 2, 1]
-
-
 def test_track_provenance_rules():
     seen = lambda x: [dict(o=0, x=x, y=20.0, radius=5.0, confidence=0.8)]
     frames = [seen(10.0 + 2 * i) for i in range(10)] + [None] * 9 + [seen(900.0)]
