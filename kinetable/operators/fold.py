@@ -5,9 +5,8 @@ A fold consumes a key's rows in order and carries a small state.  Rows are group
 several blocks are resolved in rounds: every block runs from the state its predecessor
 ended with in the round before, and only blocks whose starting state changed run again.
 States are compared in full, so the result
-is that of one pass over the whole series.  Folds that forget (trackers, state machines) settle in a few rounds; folds that do not are
-advanced one block per round (``forgets=False``).  The state tables are checkpointed, one
-row per block.
+is that of one pass over the whole series.  Folds that forget (trackers, state machines) settle in a few rounds; machines
+that never forget run in one pass instead (``onepass``).  The state tables are checkpointed, one row per block.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ class Fold:
 
     columns: Sequence[str] = ()
     schema: T.StructType
-    forgets = True
 
     def start(self):
         raise NotImplementedError
@@ -123,8 +121,6 @@ def _settle(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str
             F.lag("_out").over(by_key).alias("_want"),
             F.coalesce(F.lag("_out_token").over(by_key), F.lit(start_token)).alias("_want_token"),
         ).filter(F.col("_in_token") != F.col("_want_token"))
-        if not fold.forgets:
-            wanted = wanted.withColumn("_n", F.row_number().over(by_key)).filter("_n = 1").drop("_n")
         redo = cut_lineage(wanted.select(*part, F.col("_want").alias("_in")))
         if redo.isEmpty():
             return solved

@@ -56,15 +56,18 @@ def _facts() -> Column:
     )
 
 
-def mechanics(pose: DataFrame, shots: DataFrame, keys: Sequence[str] = ("sid",), p: DetectionParams = DEFAULTS.detection) -> DataFrame:
-    """``shots`` has ``load_start_frame, upward_start_frame, release_frame, shooting_side``."""
+def mechanics(pose: DataFrame, shots: DataFrame, keys: Sequence[str] = ("sid",), p: DetectionParams = DEFAULTS.detection, facts: DataFrame | None = None) -> DataFrame:
+    """``shots`` has ``load_start_frame, upward_start_frame, release_frame, shooting_side``.
+
+    ``facts`` are the ``pose_facts`` of these poses, where the caller has them already.
+    """
     per = [*keys, "shot_index"]
     load, up, release = c("load_start_frame"), c("upward_start_frame"), c("release_frame")
     spans = shots.select(
         *per, "load_start_frame", "upward_start_frame", "release_frame", "shooting_side",
         F.coalesce(load, up, release).alias("_lo"), F.coalesce(release, up).alias("_hi"),
     )
-    rows = interval_join(pose_facts(pose, keys, p), spans.filter("_lo IS NOT NULL AND _hi IS NOT NULL"), keys, "frame_index", "_lo", "_hi")
+    rows = interval_join(pose_facts(pose, keys, p) if facts is None else facts, spans.filter("_lo IS NOT NULL AND _hi IS NOT NULL"), keys, "frame_index", "_lo", "_hi")
     rows = rows.withColumns({"m": _facts(), "_conf": c("conf")})
     at = lambda frame: F.max(F.when(c("m.f") == frame, c("m")))
     bent = c("detected") & c("m.knee").isNotNull()

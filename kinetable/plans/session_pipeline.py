@@ -48,11 +48,10 @@ def shooting_sides(pose: DataFrame, points: DataFrame, windows: DataFrame, width
     return weighted_side(inside, [*k, "shot_index"]).select(*k, "shot_index", "shooting_side")
 
 
-def elbow_angles(pose: DataFrame, sided: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
-    """Elbow angle of the shooting arm in every pose frame of an attempt."""
+def elbow_angles(facts: DataFrame, sided: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
+    """Elbow angle of the shooting arm in every pose frame of an attempt; ``facts`` are ``pose_facts``."""
     k = list(keys)
-    facts = pose_facts(pose, k).select(*k, "frame_index", "elbow_left", "elbow_right")
-    inside = interval_join(facts, sided.select(*k, "shot_index", "shooting_side", "start_frame", "end_frame"), k, "frame_index", "start_frame", "end_frame")
+    inside = interval_join(facts.select(*k, "frame_index", "elbow_left", "elbow_right"), sided.select(*k, "shot_index", "shooting_side", "start_frame", "end_frame"), k, "frame_index", "start_frame", "end_frame")
     angle = F.when(c("shooting_side") == "left", c("elbow_left")).when(c("shooting_side") == "right", c("elbow_right"))
     return inside.select(*k, "shot_index", "frame_index", angle.alias("elbow_deg"))
 
@@ -113,11 +112,12 @@ def build_shots(
     k, per = list(keys), [*keys, "shot_index"]
     windows = stage(segment_shots(signals, k)) if windows is None else windows
     sides = stage(shooting_sides(pose, points, windows, width, height, k))
-    release = refine_release(windows, signals, k, elbow_angles(pose, windows.join(sides, per, "left"), k))
+    facts = stage(pose_facts(pose, k))
+    release = refine_release(windows, signals, k, elbow_angles(facts, windows.join(sides, per, "left"), k))
     known = stage(windows.join(release, per, "left").join(sides, per, "left"))
     flight = stage(flight_of(points, known, k, recovered, hoops))
     outcome = classify_outcome(flight, hoops, per, k).select(*per, "outcome", "outcome_confidence", "outcome_reason")
-    body = mechanics(pose, known, k)
+    body = mechanics(pose, known, k, facts=facts)
     inside = interval_join(points, windows.select(*per, "start_frame", "end_frame"), k, "frame_index", "start_frame", "end_frame")
     own = inside.join(known.select(*per, "release_frame"), per)
     times = own.groupBy(*per).agg(
