@@ -12,7 +12,7 @@ from kinetable.catalog.projections import KNEE, L, R, TORSO, angle_sql
 from kinetable.catalog.windows import TRUSTED_SQL as _TRUSTED
 from kinetable.operators import releases as rl
 from kinetable.operators import signals as sg
-from kinetable.operators.lineage import stage
+from kinetable.operators.lineage import scratch_folder, stage
 from kinetable.operators.mechanics import FIELDS, mechanics
 from kinetable.operators.ordered import Series
 from kinetable.operators.recovery import recover_points
@@ -20,6 +20,7 @@ from kinetable.operators.roi_motion import roi_motion
 from kinetable.operators.segment import segment_shots, segment_trace
 from kinetable.operators.track import gather_candidates, select_primary, track
 from kinetable.plans import session_pipeline as sp
+from kinetable.sources import images
 
 c = F.col
 TRUSTED_S = _TRUSTED.replace("FROM frames", "FROM sframes")
@@ -245,13 +246,30 @@ def recover(spark, sf):
     return recover_points(attempts(spark, sf, f), f, cands, hoops(spark, sf))
 
 
+#: Vectors as 8 x 8 images of 16-bit gray values.
+GRAY_SQL = "list_transform(embedding, lambda v: floor((v::DOUBLE + 1) * 20000))"
+
+
 def gray_frames(spark, sf):
-    p = poses(spark, sf).select("sid", "frame_index", "vec_id")
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("gray"))
-    return p.join(e, "vec_id")
+    """Frames of every session, written as images to a frame store and decoded from it."""
+    p = poses(spark, sf).select("sid", "frame_index", "timestamp_sec", "vec_id")
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 20000).cast("int")).alias("gray"), F.lit(8).alias("width"))
+    rows = stage(p.join(e, "vec_id"))
+    path = scratch_folder(spark, "frames")
+    images.write_frames(rows, path)
+    decoded = images.read_frames(spark, path)
+    return decoded.join(rows.select("sid", "frame_index", "vec_id"), ["sid", "frame_index"])
+
+
+@query("SRC06", with_(POSES_SQL) + f"""SELECT p.sid, p.frame_index, 8::INTEGER AS width, 8::INTEGER AS height, true AS valid, round(list_sum({GRAY_SQL}) / 64, 6) AS mean_gray, list_max({GRAY_SQL}) AS brightest
+FROM poses p JOIN (SELECT vec_id, embedding FROM embeddings) e USING (vec_id)""")
+def frame_pixels(spark, sf):
+    """Every frame's image, decoded from the store."""
+    mean = F.round(F.aggregate("gray", F.lit(0.0), lambda a, v: a + v) / F.size("gray"), 6)
+    return gray_frames(spark, sf).select("sid", "frame_index", "width", "height", "valid", mean.alias("mean_gray"), F.array_max("gray").alias("brightest"))
 
 
-ROI_SQL = """g AS (SELECT p.sid, p.frame_index, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS g FROM poses p JOIN embeddings USING (vec_id)),
+ROI_SQL = f"""g AS (SELECT p.sid, p.frame_index, vec_id, {GRAY_SQL} AS g FROM poses p JOIN embeddings USING (vec_id)),
 pairs AS (SELECT sid, frame_index, vec_id, unnest(range(0, 64)) AS i, unnest(g) AS a, unnest(lag(g) OVER w) AS b, CASE WHEN vec_id % 3 = 0 THEN vec_id WHEN lag(vec_id) OVER w % 3 = 0 THEN lag(vec_id) OVER w END AS ball,
   CASE WHEN vec_id % 4 = 0 THEN true ELSE lag(vec_id) OVER w % 4 = 0 END AS person, lag(g) OVER w IS NOT NULL AS has FROM g WINDOW w AS (PARTITION BY sid ORDER BY frame_index)),
 px AS (SELECT *, i % 8 AS x, i // 8 AS y, abs(a - b) AS d FROM pairs WHERE has),

@@ -95,12 +95,6 @@ def read_manifest(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.sum(F.size("boxes")).alias("boxes"), sum_cx.alias("cx_sum"))
 
 
-@query("SRC06", "SELECT vec_id, len(embedding)::INTEGER AS pixels, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / len(embedding), 6) AS mean_gray FROM embeddings")
-def gray_columns(spark, sf):
-    gray = F.transform("embedding", lambda v: v.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("pixels"), F.round(F.aggregate(gray, F.lit(0.0), lambda a, v: a + v) / F.size("embedding"), 6).alias("mean_gray"))
-
-
 @query("SNK04", with_(shots_sql("l_suppkey")) + "SELECT sid, count(*) AS shots, count(*) FILTER (outcome = 'made') AS made FROM shots GROUP BY sid")
 def save_session(spark, sf):
     path = scratch_folder(spark, "shots")
