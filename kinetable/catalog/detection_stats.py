@@ -39,7 +39,7 @@ def pose_quality(spark, sf):
 
 @query("AGG16", with_(FRAMES_SQL) + "SELECT sid, y AS upper_median, n FROM (SELECT sid, y, row_number() OVER (PARTITION BY sid ORDER BY y) AS r, count(*) OVER (PARTITION BY sid) AS n FROM frames) WHERE r = n // 2 + 1")
 def upper_median(spark, sf):
-    return ag.upper_median(frames(spark, sf), ["sid"], "y", "floor(y / 4)")
+    return ag.upper_median(frames(spark, sf), ["sid"], "y")
 
 
 SPEEDS_SQL = """sp AS (SELECT sid, sqrt(pow(x - px, 2) + pow(y - py, 2)) / (t - pt) AS v FROM (SELECT sid, x, y, timestamp_sec AS t, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(timestamp_sec) OVER w AS pt
@@ -53,7 +53,7 @@ def p95_speed(spark, sf):
     rows = win.consecutive_pairs(every.filter("source = 'detected'"), FRAME_SERIES, ["x", "y", "timestamp_sec"])
     dt = c("timestamp_sec") - c("a.timestamp_sec")
     v = F.hypot(c("x") - c("a.x"), c("y") - c("a.y")) / dt
-    out = ag.nearest_rank(rows.filter(dt > 1e-6).withColumn("v", v), ["sid"], "v", "floor(v / 64)", name="p95_speed", spine=every)
+    out = ag.nearest_rank(rows.filter(dt > 1e-6).withColumn("v", v), ["sid"], "v", name="p95_speed", spine=every)
     return out.withColumn("p95_speed", F.round("p95_speed", 4))
 
 

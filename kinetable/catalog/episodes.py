@@ -80,7 +80,7 @@ def frame_signals(spark, sf):
 
     p = poses(spark, sf)
     lengths = p.filter("detected").select("sid", sg.torso_px(F.lit(640.0), F.lit(360.0)).alias("l"))
-    scale = upper_median(lengths, ["sid"], "l", "floor(l / 4)", "torso_px").select("sid", "torso_px")
+    scale = upper_median(lengths, ["sid"], "l", "torso_px").select("sid", "torso_px")
     s = sg.frame_signals(p, frames(spark, sf), scale, 640.0, 360.0)
     r = lambda n, a: F.round(n, 6).alias(a)
     return s.select(

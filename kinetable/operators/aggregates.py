@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from kinetable.functions.scores import RELIABLE_SOURCES, SOURCES
 from kinetable.operators.joins import interval_join
+from kinetable.operators.lineage import stage
 from kinetable.operators.onepass import Machine, PlaceIndex, ordered_pass
-from kinetable.operators.ordered import Series, dim_join, next_row, prev_row, running_sum, scan, total
+from kinetable.operators.ordered import Series, dim_join, next_row, prev_row, scan
 from kinetable.params import DEFAULTS, VoteParams
 
 c = F.col
@@ -53,16 +54,54 @@ def pose_confidence() -> Column:
     return sum((c(f"joints.{j}.visibility") for j in CORE_JOINTS), F.lit(0.0)) / F.lit(float(len(CORE_JOINTS)))
 
 
-def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank: Column, block: str, name: str) -> DataFrame:
-    """The value at zero-based ``rank`` (an expression over ``n``) of each key's sorted values.
+#: Pieces that splitters cut a key's values into, and the most distinct values of a key that one task ranks.
+PIECES, RANKED_AT_ONCE = 64, 1 << 18
 
-    Equal values are counted first; counts are then prefix-summed over value blocks, so a
-    huge group is never sorted in one task.
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], most: int = RANKED_AT_ONCE) -> DataFrame:
+    """The values at several zero-based ranks (expressions over ``n``) of each key's sorted values: ``keys, n`` and ``ranks``.
+
+    Equal values are counted first.  While a key has more than ``most`` distinct values, splitters taken from its own
+    data by a quantile sketch cut them into pieces of like size; the pieces are counted, and only the one that holds
+    a rank goes on.  What is left is ranked exactly.  Every pass keeps about one part in ``PIECES``.
     """
-    counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    rows = scan(counts, Series(keys, [value], block), _cum=running_sum(c("_k")), n=total(c("_k")))
-    hit = (c("_cum") > rank) & (c("_cum") - c("_k") <= rank)
-    return rows.filter(hit).select(*keys, c(value).alias(name), "n")
+    k = list(keys)
+    counts = stage(df.filter(c(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_k")))
+    size = counts.groupBy(*k).agg(F.sum("_k").alias("n"), F.count(F.lit(1)).alias("_d"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), r.cast("long").alias("_rank")) for name, r in ranks.items()])
+    targets = size.select(*k, "n", "_d", F.explode(wanted).alias("_t")).select(*k, "n", "_d", "_t.*")
+    if size.filter(c("_d") > most).isEmpty():
+        left = counts.join(targets.drop("_d"), k)
+    else:
+        left = _narrowed(counts, stage(targets), k, value, most)
+    upto = F.sum("_k").over(Window.partitionBy(*k, "_name").orderBy(value))
+    hit = left.withColumn("_cum", upto).filter((c("_cum") > c("_rank")) & (c("_cum") - c("_k") <= c("_rank")))
+    return hit.groupBy(*k).agg(F.max("n").alias("n"), *[F.max(F.when(c("_name") == name, c(value))).alias(name) for name in ranks])
+
+
+def _narrowed(counts: DataFrame, targets: DataFrame, k: list[str], value: str, most: int) -> DataFrame:
+    """Counted values around each target, with the rank left to find among them; at most about ``most`` a key."""
+    small = dim_join(counts, targets.filter(c("_d") <= most).drop("_d"), k, spread=[value])
+    now = dim_join(counts, targets.filter(c("_d") > most).drop("_d"), k, spread=[value])
+    part, out = [*k, "_name"], [small]
+    while True:
+        borders = now.groupBy(*part).agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], 100 * PIECES).alias("_borders"))
+        cut = dim_join(now, borders, part, spread=[value]).withColumn("_piece", F.size(F.filter("_borders", lambda b: b < c(value)))).drop("_borders")
+        cut = stage(cut)
+        piece = cut.groupBy(*part, "_piece").agg(F.sum("_k").alias("_s"), F.count(F.lit(1)).alias("_d"), F.max("_rank").alias("_r"))
+        before = F.sum("_s").over(Window.partitionBy(*part).orderBy("_piece")) - c("_s")
+        held = piece.withColumn("_before", before).filter((c("_before") <= c("_r")) & (c("_r") < c("_before") + c("_s")))
+        held = stage(held.select(*part, "_piece", "_before", "_d"))
+        kept = dim_join(cut, held, [*part, "_piece"], spread=[value]).withColumn("_rank", c("_rank") - c("_before")).drop("_before", "_piece")
+        kept = stage(kept)
+        out.append(kept.filter(c("_d") <= most).drop("_d"))
+        now = kept.filter(c("_d") > most).drop("_d")
+        if now.isEmpty():
+            break
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def with_all_keys(found: DataFrame, spine: DataFrame, keys: Sequence[str], name: str, default: Column) -> DataFrame:
@@ -71,25 +110,22 @@ def with_all_keys(found: DataFrame, spine: DataFrame, keys: Sequence[str], name:
     return every.select(*keys, F.coalesce(name, default).alias(name), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "upper_median", default: Column | None = None) -> DataFrame:
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "upper_median", default: Column | None = None, most: int = RANKED_AT_ONCE) -> DataFrame:
     """Upper median of each key; with ``default``, keys that hold only nulls get that."""
-    found = ranked_value(df, keys, value, F.floor(c("n") / 2), block, name)
+    found = ranked_values(df, keys, value, {name: F.floor(c("n") / 2)}, most).select(*keys, name, "n")
     return found if default is None else with_all_keys(found, df, keys, name, default)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, block: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", most: int = RANKED_AT_ONCE) -> DataFrame:
     """Median of each key, the mean of the two middle values where their number is even; no value, no row."""
-    counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    rows = scan(counts, Series(keys, [value], block), _cum=running_sum(c("_k")), n=total(c("_k")))
-    holds = lambda rank: (c("_cum") > rank) & (c("_cum") - c("_k") <= rank)
-    low, high = holds(F.floor((c("n") - 1) / 2)), holds(F.floor(c("n") / 2))
-    return rows.filter(low | high).groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(name), F.max("n").alias("n"))
+    found = ranked_values(df, keys, value, {"_low": F.floor((c("n") - 1) / 2), "_high": F.floor(c("n") / 2)}, most)
+    return found.select(*keys, ((c("_low") + c("_high")) / 2).alias(name), "n")
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, block: str, q: float = 0.95, name: str = "p95", spine: DataFrame | None = None) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.95, name: str = "p95", spine: DataFrame | None = None, most: int = RANKED_AT_ONCE) -> DataFrame:
     """Nearest-rank quantile, the rank rounded half to even; keys of ``spine`` without a value get 0."""
     rank = F.least(c("n") - 1, F.bround(F.lit(q) * (c("n") - 1), 0))
-    found = ranked_value(df, keys, value, rank, block, name)
+    found = ranked_values(df, keys, value, {name: rank}, most).select(*keys, name, "n")
     return found if spine is None else with_all_keys(found, spine, keys, name, F.lit(0.0))
 
 
@@ -129,7 +165,7 @@ def detector_report(dets: DataFrame, keys: Sequence[str], frame: str) -> DataFra
     per = dets.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"))
     multi = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_with_detection"), F.count_if(c("n") > 1).alias("frames_with_multiple_candidates"))
     conf = dets.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("mean_confidence"))
-    middle = exact_median(dets, keys, "confidence", "floor(confidence * 256)", "_median").select(*keys, F.round("_median", 4).alias("median_confidence"))
+    middle = exact_median(dets, keys, "confidence", "_median").select(*keys, F.round("_median", 4).alias("median_confidence"))
     return multi.join(conf, list(keys)).join(middle, list(keys), "left")
 
 
@@ -267,7 +303,7 @@ def state_run_stats(runs: DataFrame, keys: Sequence[str], fps: float = 30.0, lon
         F.count(F.lit(1)).alias("runs"), F.round(F.min("_s"), 4).alias("min_sec"), F.round(F.max("_s"), 4).alias("max_sec"),
         F.round(F.avg("_s"), 9).alias("mean_sec"), F.count_if(c("_s") > long_sec).alias("long_runs"),
     )
-    med = upper_median(rows, keys, "length", "floor(length / 64)", "_m").select(*keys, F.round(c("_m") / F.lit(fps), 4).alias("median_sec"))
+    med = upper_median(rows, keys, "length", "_m").select(*keys, F.round(c("_m") / F.lit(fps), 4).alias("median_sec"))
     return agg.join(med, list(keys))
 
 

@@ -25,12 +25,12 @@ from kinetable.params import DEFAULTS, RecoveryParams
 c = F.col
 
 
-def speed_bound(ball: DataFrame, keys: Sequence[str], block: str = "floor(v / 64)") -> DataFrame:
+def speed_bound(ball: DataFrame, keys: Sequence[str]) -> DataFrame:
     """95th percentile speed between consecutive detected points of each key."""
     seen = scan(ball.filter(c("source") == "detected"), Series.frames(keys), _p=prev_row(F.struct("timestamp_sec", "x", "y")))
     dt = c("timestamp_sec") - c("_p.timestamp_sec")
     moving = seen.filter(dt > MIN_DT).withColumn("v", F.hypot(c("x") - c("_p.x"), c("y") - c("_p.y")) / dt)
-    return nearest_rank(moving, keys, "v", block, name="vmax").drop("n")
+    return nearest_rank(moving, keys, "v", name="vmax").drop("n")
 
 
 def prune_by_fit(points: list[tuple], radius: float, p: RecoveryParams) -> list[tuple]:

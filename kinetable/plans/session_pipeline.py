@@ -225,7 +225,7 @@ def run_sessions(given: Inputs, keys: Sequence[str] = ("sid",)) -> Outputs:
 
     w, h = F.lit(given.width), F.lit(given.height)
     lengths = poses.filter("detected").select(*k, torso_px(w, h).alias("l"))
-    scale = upper_median(lengths, k, "l", "floor(l / 4)", "torso_px").select(*k, "torso_px")
+    scale = upper_median(lengths, k, "l", "torso_px").select(*k, "torso_px")
     # a session without any torso is scaled by a share of the height
     scale = sessions.join(scale, k, "left").withColumn("torso_px", F.coalesce("torso_px", h * F.lit(NO_TORSO_SHARE)))
     signals = stage(frame_signals(poses, ball, scale, given.width, given.height, k))

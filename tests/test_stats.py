@@ -87,9 +87,9 @@ def test_findings_for_every_session(shots):
 
 def test_upper_median_and_nearest_rank(spark):
     df = spark.createDataFrame([("s", float(v)) for v in (1, 2, 3, 4)] + [("t", float(v)) for v in range(1, 22)] + [("u", 7.0)] * 9, "sid string, v double")
-    med = by(ag.upper_median(df, ["sid"], "v", "floor(v / 2)"), "sid")
+    med = by(ag.upper_median(df, ["sid"], "v"), "sid")
     assert (med["s"]["upper_median"], med["t"]["upper_median"], med["u"]["upper_median"]) == (3.0, 11.0, 7.0)
-    assert by(ag.nearest_rank(df, ["sid"], "v", "floor(v / 2)"), "sid")["t"]["p95"] == 20.0
+    assert by(ag.nearest_rank(df, ["sid"], "v"), "sid")["t"]["p95"] == 20.0
 
 
 def test_weighted_side(spark):
@@ -117,5 +117,25 @@ def test_exact_median_of_even_odd_tied_and_missing_values(spark):
 
     values = {"even": [0.1, 0.9, 0.4, 0.5], "odd": [3.0, -1.0, 2.0], "tied": [0.5] * 6 + [0.75] * 6, "one": [7.0], "none": []}
     rows = [(k, v) for k, vs in values.items() for v in [*vs, None]]
-    got = {r["k"]: (r["median"], r["n"]) for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "floor(v * 4)").collect()}
+    got = {r["k"]: (r["median"], r["n"]) for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
     assert got == {k: (median(v), len(v)) for k, v in values.items() if v}
+
+
+def test_ranks_by_splitters_equal_sorted_values(spark):
+    """Half of all values lie in a tiny range; narrowed down in several passes, each value is exact."""
+    import random
+
+    rng = random.Random(2)
+    values = {"hot": [rng.uniform(0, 1e-3) if i % 2 else rng.gauss(0, 1e6) for i in range(6000)] + [5.0] * 3000, "some": [float(i % 7) for i in range(50)], "one": [3.0], None: [1.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("none", None)], "k string, v double").repartition(5)
+    for most in (1 << 18, 50):
+        med = {r["k"]: (r["median"], r["n"]) for r in ag.exact_median(df, ["k"], "v", most=most).collect()}
+        top = {r["k"]: r["p95"] for r in ag.nearest_rank(df, ["k"], "v", most=most).collect()}
+        for k, vs in values.items():
+            if k is None:
+                continue
+            order = sorted(vs)
+            n = len(order)
+            assert med[k] == ((order[(n - 1) // 2] + order[n // 2]) / 2, n)
+            assert top[k] == order[min(n - 1, round(0.95 * (n - 1)))]
+        assert "none" not in med
