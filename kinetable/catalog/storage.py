@@ -10,7 +10,7 @@ from kinetable.catalog.projections import NORM, SPLIT
 from kinetable.operators.curation import normalize_split
 from kinetable.operators.lineage import scratch_folder
 from kinetable.plans.coaching import coaching
-from kinetable.sources import readers, writers
+from kinetable.sources import readers, store, writers
 from kinetable.streaming import streams
 from kinetable.streaming.stateful import fold_stream
 
@@ -95,11 +95,16 @@ def read_manifest(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.sum(F.size("boxes")).alias("boxes"), sum_cx.alias("cx_sum"))
 
 
+def session_store(spark, name):
+    """A store in the scratch folder; small leaves, so that they split at small scales too."""
+    return store.SessionStore(spark, scratch_folder(spark, name), max_rows=1 << 14)
+
+
 @query("SNK04", with_(shots_sql("l_suppkey")) + "SELECT sid, count(*) AS shots, count(*) FILTER (outcome = 'made') AS made FROM shots GROUP BY sid")
 def save_session(spark, sf):
-    path = scratch_folder(spark, "shots")
-    writers.save_session(shots(spark, sf, "l_suppkey").select("sid", "outcome", "start_time_sec"), path, buckets=8)
-    return spark.read.parquet(path).groupBy("sid").agg(F.count(F.lit(1)).alias("shots"), F.count_if(c("outcome") == "made").alias("made"))
+    held = session_store(spark, "shots")
+    held.replace(shots(spark, sf, "l_suppkey").select("sid", "outcome", "start_time_sec"))
+    return held.rows().groupBy("sid").agg(F.count(F.lit(1)).alias("shots"), F.count_if(c("outcome") == "made").alias("made"))
 
 
 @query("SNK05", with_(shots_sql()) + "SELECT l_orderkey, l_linenumber, l_partkey, round(pose_quality, 6) AS pose_quality FROM shots")
@@ -145,9 +150,9 @@ def list_sessions(spark, sf):
 
 @query("SNK09", with_(shots_sql("l_suppkey")) + "SELECT sid, outcome, count(*) AS n FROM shots WHERE sid = 7 GROUP BY ALL")
 def get_session(spark, sf):
-    path = scratch_folder(spark, "shots")
-    writers.save_session(shots(spark, sf, "l_suppkey").select("sid", "outcome"), path, buckets=8)
-    return writers.get_session(spark, path, 7, 8).groupBy("sid", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    held = session_store(spark, "shots")
+    held.replace(shots(spark, sf, "l_suppkey").select("sid", "outcome"))
+    return held.get(7).groupBy("sid", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK10", f"""SELECT o_orderkey AS sid, coalesce(n, 0)::BIGINT AS shots, (SELECT count(*) FROM orders WHERE {STATUS} = 'failed') AS sessions_deleted,
@@ -155,12 +160,12 @@ def get_session(spark, sf):
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey WHERE {STATUS} <> 'failed'""")
 def delete_session(spark, sf):
     """Both tables are written, the failed sessions deleted from them, and the tables read back."""
-    kept, attempts = scratch_folder(spark, "sessions"), scratch_folder(spark, "shots")
-    writers.save_session(sessions(spark, sf), kept, buckets=8)
-    writers.save_session(shots(spark, sf).select("sid", "outcome"), attempts, buckets=8)
-    n_sessions, n_shots = writers.delete_sessions(kept, attempts, spark.read.parquet(kept).filter("status = 'failed'"), buckets=8)
-    left = spark.read.parquet(attempts).groupBy("sid").agg(F.count(F.lit(1)).alias("shots"))
-    rows = spark.read.parquet(kept).select("sid").join(left, "sid", "full")
+    kept, attempts = session_store(spark, "sessions"), session_store(spark, "shots")
+    kept.replace(sessions(spark, sf))
+    attempts.replace(shots(spark, sf).select("sid", "outcome"))
+    n_sessions, n_shots = store.delete_sessions(kept, attempts, kept.rows().filter("status = 'failed'"))
+    left = attempts.rows().groupBy("sid").agg(F.count(F.lit(1)).alias("shots"))
+    rows = kept.rows().select("sid").join(left, "sid", "full")
     return rows.select("sid", F.coalesce("shots", F.lit(0)).cast("long").alias("shots"), F.lit(n_sessions).cast("long").alias("sessions_deleted"), F.lit(n_shots).cast("long").alias("shots_deleted"))
 
 
@@ -169,13 +174,13 @@ SELECT CASE WHEN status = 'processing' THEN 'interrupted' ELSE status END AS sta
  (SELECT count(*) FROM s WHERE told) AS marked, (SELECT count(*) FROM s WHERE status = 'processing') AS reconciled FROM s GROUP BY 1, 2""")
 def reconcile(spark, sf):
     """Failure marks, then the orphans, both written to the session table, which is read back."""
-    path = scratch_folder(spark, "sessions")
-    writers.save_session(sessions(spark, sf), path, buckets=8)
-    lost = spark.read.parquet(path).filter("sid % 10 = 0").select("sid", F.lit("unreadable media").alias("error_message"))
-    marked = writers.mark_failed(path, lost, buckets=8)
-    reconciled = writers.reconcile_table(path, spark)
-    message = F.when(c("error_message") == writers.INTERRUPTED, "reconciled").otherwise(c("error_message")).alias("message")
-    rows = spark.read.parquet(path).groupBy("status", message).agg(F.count(F.lit(1)).alias("n"))
+    held = session_store(spark, "sessions")
+    held.replace(sessions(spark, sf))
+    lost = held.rows().filter("sid % 10 = 0").select("sid", F.lit("unreadable media").alias("error_message"))
+    marked = store.mark_failed(held, lost)
+    reconciled = store.reconcile_table(held)
+    message = F.when(c("error_message") == store.INTERRUPTED, "reconciled").otherwise(c("error_message")).alias("message")
+    rows = held.rows().groupBy("status", message).agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumns({"marked": F.lit(marked).cast("long"), "reconciled": F.lit(reconciled).cast("long")})
 
 

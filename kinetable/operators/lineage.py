@@ -47,16 +47,16 @@ def scratch_folder(df_or_spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
-    files, place = _located(spark, path)
+    files, place = located(spark, path)
     return files.exists(place)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    files, place = _located(spark, path)
+    files, place = located(spark, path)
     files.delete(place, True)

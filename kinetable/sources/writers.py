@@ -1,27 +1,20 @@
-"""Writers, session storage and maintenance jobs.
-
-Session tables are partitioned by a hash bucket of the session id, not by the id: a point
-read prunes to one bucket, and millions of sessions do not become millions of folders.
-Updates are rewrites of the touched buckets (dynamic partition overwrite).
-"""
+"""Writers and maintenance jobs; session tables that change are in ``store``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.functions.scores import overall_level
 from kinetable.operators.curation import number_rows
-from kinetable.operators.lineage import folder_exists, remove_folder, stage
 from kinetable.operators.ordered import Series, positions
 from kinetable.operators.projections import CATEGORY_IDS
 
 c = F.col
 BUCKETS = 64
-INTERRUPTED = "Analysis was interrupted before it finished; please submit the session again."
 
 
 def frame_trace_rows(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,26 +78,6 @@ def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.hash(*keys), F.lit(buckets))
 
 
-def save_session(rows: DataFrame, path: str, keys: Sequence[str] = ("sid",), buckets: int = BUCKETS) -> None:
-    """Replace the sessions of ``rows`` and leave all others, also those of the same buckets.
-
-    The touched buckets' other sessions are staged and written again with the new rows.
-    """
-    fresh = rows.withColumn("bucket", bucket_of(keys, buckets))
-    if folder_exists(rows.sparkSession, path):
-        touched = fresh.select("bucket").distinct()
-        kept = rows.sparkSession.read.parquet(path).join(touched, "bucket", "left_semi").join(rows.select(*keys).distinct(), list(keys), "left_anti")
-        fresh = stage(fresh.unionByName(kept, allowMissingColumns=True))
-    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def get_session(spark: SparkSession, path: str, sid, buckets: int = BUCKETS) -> DataFrame:
-    """Point read: the bucket filter prunes folders, the id filter reaches Parquet."""
-    rows = spark.read.parquet(path)
-    typed = F.lit(sid).cast(rows.schema["sid"].dataType)
-    return rows.filter((c("bucket") == F.pmod(F.hash(typed), F.lit(buckets))) & (c("sid") == typed)).drop("bucket")
-
-
 def list_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.select("sid", "created_at", "status", "error_message").orderBy(c("created_at").desc(), "sid")
 
@@ -115,84 +88,6 @@ def delete_session(sessions: DataFrame, shots: DataFrame, gone: DataFrame, keys:
     return sessions.join(ids, list(keys), "left_anti"), shots.join(ids, list(keys), "left_anti")
 
 
-def _rewrite(path: str, spark: SparkSession, touched: DataFrame, change) -> None:
-    """Write the ``touched`` buckets of a session table again as ``change(rows)``.
-
-    Dynamic overwrite leaves a bucket alone that gets no row, so emptied buckets (at most the
-    table's number of buckets) are removed by name.
-    """
-    touched = stage(touched.select("bucket").distinct())
-    rows = stage(change(spark.read.parquet(path).join(touched, "bucket", "left_semi")))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for (bucket,) in touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():
-        remove_folder(spark, f"{path}/bucket={bucket}")
-
-
-def delete_rows(path: str, gone: DataFrame, keys: Sequence[str] = ("sid",), buckets: int = BUCKETS) -> int:
-    """Delete the sessions of ``gone`` from a table of ``save_session``; returns the number of rows deleted."""
-    spark = gone.sparkSession
-    ids = stage(gone.select(*keys).distinct().withColumn("bucket", bucket_of(keys, buckets)))
-    hit = [*keys, "bucket"]
-    lost = spark.read.parquet(path).join(ids, hit, "left_semi").count()
-    if lost:
-        _rewrite(path, spark, ids, lambda rows: rows.join(ids, hit, "left_anti"))
-    return lost
-
-
-def delete_sessions(sessions_path: str, shots_path: str, gone: DataFrame, keys: Sequence[str] = ("sid",), buckets: int = BUCKETS) -> tuple[int, int]:
-    """Cascade: attempts first, so that a job that stops half-way leaves no attempt without a session.
-
-    Returns the numbers of sessions and attempts deleted; running it again is harmless.
-    """
-    gone = stage(gone.select(*keys).distinct())
-    shots = delete_rows(shots_path, gone, keys, buckets)
-    return delete_rows(sessions_path, gone, keys, buckets), shots
-
-
-def reconcile_orphans(sessions: DataFrame) -> DataFrame:
-    """Sessions still marked processing become interrupted; ``changed`` marks them."""
-    lost = c("status") == "processing"
-    return sessions.withColumns(
-        {"changed": lost, "error_message": F.when(lost, INTERRUPTED).otherwise(c("error_message")), "status": F.when(lost, "interrupted").otherwise(c("status"))}
-    )
-
-
-def reconcile_table(path: str, spark: SparkSession) -> int:
-    """Mark the table's orphans; only their buckets are written again.  Returns their number."""
-    orphans = spark.read.parquet(path).filter("status = 'processing'")
-    lost = orphans.count()
-    if lost:
-        _rewrite(path, spark, orphans, lambda rows: reconcile_orphans(rows).drop("changed"))
-    return lost
-
-
-def mark_failed(path: str, failures: DataFrame, keys: Sequence[str] = ("sid",), buckets: int = BUCKETS) -> int:
-    """Set status and message of the sessions of ``failures`` (``keys, error_message``).
-
-    Unknown sessions are left out; of several messages for one session the smallest is taken.
-    Returns the number of sessions marked.
-    """
-    spark = failures.sparkSession
-    told = failures.groupBy(*keys).agg(F.min("error_message").alias("_told"), F.lit(True).alias("_failed"))
-    told = stage(told.withColumn("bucket", bucket_of(keys, buckets)))
-    hit = [*keys, "bucket"]
-    marked = spark.read.parquet(path).join(told, hit, "left_semi").count()
-    if marked:
-
-        def change(rows: DataFrame) -> DataFrame:
-            return rows.join(told, hit, "left").select(
-                *[
-                    F.when(c("_failed"), "failed").otherwise(c("status")).alias(n) if n == "status"
-                    else F.when(c("_failed"), c("_told")).otherwise(c("error_message")).alias(n) if n == "error_message"
-                    else c(n)
-                    for n in rows.columns
-                ]
-            )
-
-        _rewrite(path, spark, told, change)
-    return marked
-
-
 def backfill_plan(sessions: DataFrame) -> DataFrame:
     """Why each session is (not) recomputed: needs ``status, has_report, has_key``."""
     reason = (

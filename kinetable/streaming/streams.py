@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.operators.lineage import folder_exists, remove_folder, scratch_folder, stage
+from kinetable.operators.lineage import scratch_folder, stage
 from kinetable.session import configure
+from kinetable.sources.store import LEAF_ROWS, SessionStore
 
 c = F.col
 
@@ -61,49 +62,32 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream",
     return spark.read.schema(stream.schema).parquet(path)
 
 
-SUMMARY_BUCKETS = 64
-
-
 class Summary:
-    """A table of merged aggregates in hash buckets of its keys, updated batch by batch.
+    """A table of merged aggregates, updated batch by batch.
 
-    A batch reads and writes only the buckets it touches, as a new version of them
-    (``bucket=b/batch_id=n``); a bucket's newest version is its content.  A batch that is retried
-    starts from the versions before its own and overwrites it, so nothing counts twice.  Versions
-    older than the one before the newest are removed.
+    A batch rewrites the leaves of its keys and leaves its number with the version it commits, so a batch that is
+    retried after its commit changes nothing, and one that died before starts from the version before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], merge: dict[str, Column], buckets: int = SUMMARY_BUCKETS):
-        self.spark, self.path, self.keys, self.merge, self.buckets = spark, path, list(keys), merge, buckets
-
-    def _newest(self, before: int | None = None) -> DataFrame | None:
-        if not folder_exists(self.spark, self.path):
-            return None
-        rows = self.spark.read.parquet(self.path)
-        old = rows if before is None else rows.filter(c("batch_id") < before)
-        newest = old.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
-        return old.join(newest, ["bucket", "batch_id"], "left_semi")
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], merge: dict[str, Column], max_rows: int = LEAF_ROWS):
+        self.store, self.keys, self.merge = SessionStore(spark, path, keys, max_rows), list(keys), merge
 
     def rows(self) -> DataFrame:
-        return self._newest().drop("bucket", "batch_id")
+        return self.store.rows()
 
     def update(self, partial: DataFrame, batch_id: int) -> None:
         """Merge ``partial`` (the keys and the merged columns) into the table as batch ``batch_id``."""
-        fresh = stage(partial.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets))))
-        touched = fresh.select("bucket").distinct()
-        known = self._newest(batch_id)
-        both = fresh if known is None else fresh.unionByName(known.drop("batch_id").join(touched, "bucket", "left_semi"))
-        merged = both.groupBy("bucket", *self.keys).agg(*[col.alias(n) for n, col in self.merge.items()])
-        out = merged.withColumn("batch_id", F.lit(batch_id).cast("long")).repartition("bucket")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(self.path)
-        self._drop_old()
-
-    def _drop_old(self) -> None:
-        """Of each bucket the two newest versions stay; there are few buckets and few versions."""
-        versions = self.spark.read.parquet(self.path).select("bucket", "batch_id").distinct()
-        kept = F.slice(F.sort_array(F.collect_set("batch_id"), asc=False), 3, 2**31 - 1)
-        for bucket, batch_id in versions.groupBy("bucket").agg(kept.alias("old")).select("bucket", F.explode("old")).collect():
-            remove_folder(self.spark, f"{self.path}/bucket={bucket}/batch_id={batch_id}")
+        done = self.store.mark("batch")
+        if done is not None and done >= batch_id:
+            return
+        fresh = stage(partial)
+
+        def merged(now: DataFrame | None) -> DataFrame:
+            both = fresh if now is None else now.unionByName(fresh)
+            return both.groupBy(*self.keys).agg(*[col.alias(n) for n, col in self.merge.items()])
+
+        self.store.change(fresh, merged, marks={"batch": batch_id})
+        self.store.vacuum()
 
 
 def upsert_summary(stream: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], merge: dict[str, Column], name: str = "summary", path: str | None = None) -> DataFrame:

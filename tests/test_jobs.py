@@ -12,7 +12,7 @@ from kinetable.operators.ordered import Series
 from kinetable.operators.recovery import enrich, recover_points
 from kinetable.operators.roi_motion import roi_motion
 from kinetable.operators.track import TrackFold, track
-from kinetable.sources import readers, writers
+from kinetable.sources import readers, store, writers
 from kinetable.streaming import streams
 from kinetable.streaming.stateful import fold_stream
 
@@ -110,26 +110,6 @@ def test_finite_guard(spark):
             writers.assert_finite(spark.createDataFrame([(1.0, (bad,))], "a double, s struct<b: double>")).collect()
 
 
-def test_session_storage_round_trip(spark, tmp_path):
-    path = str(tmp_path / "shots")
-    rows = spark.createDataFrame([(i, "made") for i in range(20)], "sid long, outcome string")
-    writers.save_session(rows, path, buckets=4)
-    assert writers.get_session(spark, path, 7, 4).collect()[0]["sid"] == 7
-    same = spark.read.parquet(path).filter(F.col("bucket") == F.lit(1)).drop("bucket")
-    writers.save_session(spark.createDataFrame(same.collect(), same.schema).withColumn("outcome", F.lit("missed")), path, buckets=4)
-    assert spark.read.parquet(path).count() == 20 and spark.read.parquet(path).filter("outcome = 'missed'").count() > 0
-
-
-def test_saving_one_session_leaves_the_others(spark, tmp_path):
-    path = str(tmp_path / "shots")
-    writers.save_session(spark.createDataFrame([(i, k, "made") for i in range(200) for k in range(2)], "sid long, shot long, outcome string"), path, buckets=4)
-    writers.save_session(spark.createDataFrame([(7, 0, "missed")], "sid long, shot long, outcome string"), path, buckets=4)
-    writers.save_session(spark.createDataFrame([(900, 0, "made")], "sid long, shot long, outcome string"), path, buckets=4)
-    back = spark.read.parquet(path)
-    assert back.select("sid").distinct().count() == 201 and back.count() == 400
-    assert [(r["shot"], r["outcome"]) for r in back.filter("sid = 7").collect()] == [(0, "missed")]
-
-
 def test_reports_have_one_shape(spark):
     rows = spark.createDataFrame([("a", i, 0.9, 0.8, 0.7) for i in range(5000)] + [("b", 0, 0.9, 0.8, None)], "sid string, t long, release_confidence double, pose_quality double, ball_track_quality double")
     lines = writers.to_report_json(rows, Series(["sid"], ["t"], "floor(t / 1000)"), ["t"])
@@ -143,7 +123,7 @@ def test_orphans_and_backfill(spark):
         [(1, "processing", None, True, False), (2, "completed", None, True, False), (3, "failed", "x", True, False), (4, "completed", None, False, False), (5, "completed", None, True, True)],
         "sid long, status string, error_message string, has_report boolean, has_key boolean",
     )
-    out = {r["sid"]: r for r in writers.reconcile_orphans(s).collect()}
+    out = {r["sid"]: r for r in store.reconcile_orphans(s).collect()}
     assert out[1]["status"] == "interrupted" and out[3]["error_message"] == "x" and sum(r["changed"] for r in out.values()) == 1
     assert {r["sid"]: r["backfill"] for r in writers.backfill_plan(s).collect()}[2] == "updated"
 
@@ -203,37 +183,6 @@ def test_stream_gap_sessions(spark, tmp_path):
     assert sorted(r["n"] for r in out.collect()) == [2, 3]
 
 
-def test_delete_mark_and_reconcile_change_the_tables(spark, tmp_path):
-    sessions, attempts = str(tmp_path / "sessions"), str(tmp_path / "shots")
-    rows = [(i, "processing" if i % 3 == 0 else "completed", None) for i in range(30)]
-    writers.save_session(spark.createDataFrame(rows, "sid long, status string, error_message string"), sessions, buckets=16)
-    writers.save_session(spark.createDataFrame([(i, k) for i in range(30) for k in range(2)], "sid long, shot long"), attempts, buckets=16)
-    ids = lambda *v: spark.createDataFrame([(i,) for i in v], "sid long")
-    assert writers.delete_sessions(sessions, attempts, ids(*range(20), 5, 99), buckets=16) == (20, 40)
-    assert writers.delete_sessions(sessions, attempts, ids(*range(20)), buckets=16) == (0, 0)
-    assert {r["sid"] for r in spark.read.parquet(sessions).collect()} == set(range(20, 30)) == {r["sid"] for r in spark.read.parquet(attempts).collect()}
-    told = spark.createDataFrame([(21, "b"), (21, "a"), (99, "x")], "sid long, error_message string")
-    assert writers.mark_failed(sessions, told, buckets=16) == 1
-    assert writers.reconcile_table(sessions, spark) == 2 and writers.reconcile_table(sessions, spark) == 0
-    got = {r["sid"]: (r["status"], r["error_message"]) for r in spark.read.parquet(sessions).collect()}
-    assert got[21] == ("failed", "a") and got[24] == got[27] == ("interrupted", writers.INTERRUPTED) and len(got) == 10
-    assert all(got[i] == ("completed", None) for i in got if i not in (21, 24, 27))
-
-
-def test_summary_counts_a_retried_batch_once(spark, tmp_path):
-    summary = streams.Summary(spark, str(tmp_path / "summary"), ["sid"], {"n": F.sum("n"), "top": F.max("top")}, buckets=4)
-    batch = lambda *rows: spark.createDataFrame(rows, "sid long, n long, top double")
-    summary.update(batch(*[(i, 1, float(i)) for i in range(40)]), 0)
-    summary.update(batch((3, 2, 1.0), (77, 5, 2.0)), 1)
-    summary.update(batch((3, 2, 1.0), (77, 5, 2.0)), 1)
-    for n in range(2, 6):
-        summary.update(batch((3, 1, 9.0)), n)
-    got = {r["sid"]: (r["n"], r["top"]) for r in summary.rows().collect()}
-    assert got[3] == (7, 9.0) and got[77] == (5, 2.0) and got[0] == (1, 0.0) and len(got) == 41
-    versions = spark.read.parquet(str(tmp_path / "summary")).select("bucket", "batch_id").distinct().groupBy("bucket").count()
-    assert max(r["count"] for r in versions.collect()) == 2
-
-
 def test_late_and_repeated_rows_of_a_second_delivery(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     at = lambda rows: spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("event_ts"))
