@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinetable.catalog.aggregates import COACH
 from kinetable.catalog.base import _SOURCE, FRAMES_SQL, SHOT_METRICS, SIGNALS_SQL, TORSO_PX, frames, query, shot_series, shots, shots_sql, signals, table, with_
 from kinetable.catalog.episodes import CTRL_SQL, PAIRS_SQL, SEGMENT_SQL, TRACK_SQL, TRUSTED_S
 from kinetable.catalog.projections import NORM, SPLIT
 from kinetable.operators.curation import normalize_split
 from kinetable.operators.lineage import scratch_folder
+from kinetable.operators.ordered import positions
 from kinetable.plans.coaching import coaching
+from kinetable.plans.session_stats import consistency, session_summary
 from kinetable.sources import readers, store, writers
 from kinetable.streaming import streams
 from kinetable.streaming.stateful import fold_stream
@@ -46,32 +49,69 @@ def write_signals(spark, sf):
     return back.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count_if("ball_available").alias("available"), F.round(F.sum("ball_hand_dist_norm"), 6).alias("dist_sum"))
 
 
-def reports(spark, sf):
-    return writers.to_report_json(shots(spark, sf), shot_series(), ["outcome", "start_time_sec", "end_time_sec"])
+LEVEL = "CASE WHEN {c} >= 0.75 THEN 'high' WHEN {c} >= 0.5 THEN 'medium' WHEN {c} > 0 THEN 'low' ELSE 'excluded' END".format(c="least(release_confidence, pose_quality, ball_track_quality)")
+REPORT_SHOT = (
+    "shot_index: BIGINT, outcome: STRING, start_time_sec: DOUBLE, end_time_sec: DOUBLE, release_confidence: DOUBLE, pose_quality: DOUBLE, ball_track_quality: DOUBLE, hoop_confidence: DOUBLE, "
+    "mechanics: STRUCT<quantity: DOUBLE, unit_price_root: DOUBLE>, trajectory: STRUCT<discount_root: DOUBLE, tax_root: DOUBLE>, excluded_from_analysis: BOOLEAN, overall_confidence_level: STRING"
+)
+
+
+def report_tables(spark, sf):
+    """Whole reports over the attempts of the items: summary, metric table, coaching, warnings, and every attempt."""
+    s = shots(spark, sf)
+    metric = lambda i: F.expr(SHOT_METRICS[i].expr).alias(SHOT_METRICS[i].key)
+    placed = positions(s, shot_series(), "shot_index")
+    attempts = placed.select(
+        "sid", "shot_index", "outcome", "start_time_sec", "end_time_sec", "release_confidence", "pose_quality", "ball_track_quality", "hoop_confidence",
+        F.struct(metric(0), metric(1)).alias("mechanics"), F.struct(metric(2), metric(3)).alias("trajectory"), "excluded_from_analysis",
+    )
+    summary, told, table_ = session_summary(s, ["sid"], SHOT_METRICS), coaching(s, ["sid"], SHOT_METRICS), consistency(s, ["sid"], SHOT_METRICS)
+    nested = lambda df, name: df.select("sid", F.struct(*[n for n in df.columns if n != "sid"]).alias(name))
+    listed = table_.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(*[n for n in table_.columns if n != "sid"]))).alias("consistency"))
+    return nested(summary, "summary").join(nested(told, "coaching"), "sid").join(listed, "sid"), attempts
 
 
-LEVEL = "CASE WHEN {c} >= 0.75 THEN 'high' WHEN {c} >= 0.5 THEN 'medium' WHEN {c} > 0 THEN 'low' ELSE 'excluded' END".format(c="least(release_confidence, pose_quality, ball_track_quality)")
+def written_report(spark, sf):
+    path = scratch_folder(spark, "reports")
+    writers.write_session_report(*report_tables(spark, sf), path)
+    session = f"summary: STRUCT<{readers.SUMMARY}>, coaching: STRUCT<{readers.COACHING}>, consistency: ARRAY<STRUCT<{readers.METRIC}, {readers.METRICS['consistency']}>>"
+    return readers.read_session_report(spark, path, "sid BIGINT", session, REPORT_SHOT)
 
 
-@query("SNK03", with_(shots_sql()) + f"""SELECT sid, count(*) AS lines, count(*)::INTEGER AS n_shots, max(outcome) FILTER (p = 1) AS first_outcome, max({LEVEL}) FILTER (p = 1) AS first_level
- FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM shots) GROUP BY sid""")
+REPORT_SQL = COACH + """, pos AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM shots),
+rp AS (SELECT sid, count(*) AS n_shots, count(*) FILTER (NOT excluded_from_analysis AND outcome = 'made') AS made, count(*) FILTER (NOT excluded_from_analysis AND outcome = 'missed') AS missed,
+ max(outcome) FILTER (p = 1) AS first_outcome, max(""" + LEVEL + """) FILTER (p = 1) AS first_level, max(end_time_sec) AS last_end, round(sum(l_quantity), 4)::DOUBLE AS quantity, count(*) FILTER (l_tax > 0) AS with_tax FROM pos GROUP BY sid)"""
+
+
+@query("SNK03", REPORT_SQL + """SELECT rp.sid, n_shots, n_shots + 1 AS lines, made, missed, round(100.0::DOUBLE * made / nullif(made + missed, 0), 1) AS shooting_percentage, first_outcome, first_level,
+ CASE WHEN ok THEN pk END AS priority_key, CASE WHEN ok AND NOT clash THEN bk END AS strength_key, (SELECT list({k: metric_key, n: n, m: round(mean, 3), cv: cv} ORDER BY metric_pos) FROM full_ WHERE full_.sid = rp.sid) AS consistency FROM rp JOIN j4 USING (sid)""")
 def report_json(spark, sf):
-    at = lambda p: F.get_json_object("line", p)
-    first = lambda p: F.max(F.when(c("line_no") == 1, at(p)))
-    return reports(spark, sf).groupBy("sid").agg(
-        F.count_if(at("$.kind") == "shot").alias("lines"), F.max(F.when(c("line_no") == 0, at("$.n_shots").cast("int"))).alias("n_shots"),
-        first("$.shot.outcome").alias("first_outcome"), first("$.shot.overall_confidence_level").alias("first_level"),
+    """The written lines, parsed again as plain JSON."""
+    path = scratch_folder(spark, "reports")
+    writers.write_session_report(*report_tables(spark, sf), path)
+    text = spark.read.text(path)
+    at = lambda p: F.get_json_object("value", p)
+    head = lambda p, kind: F.max(F.when(at("$.kind") == "session", at(p))).cast(kind)
+    first = lambda p: F.max(F.when(at("$.line_no") == "1", at(p)))
+    metrics = F.from_json(head("$.session.consistency", "string"), "array<struct<metric_key: string, n: bigint, mean_value: double, coefficient_of_variation: double>>")
+    rows = text.groupBy(at("$.sid").cast("bigint").alias("sid")).agg(
+        F.count_if(at("$.kind") == "shot").alias("n_shots"), F.count(F.lit(1)).alias("lines"), *[head(f"$.session.summary.{n}", t).alias(n) for n, t in (("made", "bigint"), ("missed", "bigint"), ("shooting_percentage", "double"))],
+        first("$.shot.outcome").alias("first_outcome"), first("$.shot.overall_confidence_level").alias("first_level"), head("$.session.coaching.priority_key", "string").alias("priority_key"),
+        head("$.session.coaching.strength_key", "string").alias("strength_key"), metrics.alias("consistency"),
     )
+    short = F.transform("consistency", lambda m: F.struct(m["metric_key"].alias("k"), m["n"].alias("n"), m["mean_value"].alias("m"), m["coefficient_of_variation"].alias("cv")))
+    return rows.withColumn("consistency", short)
 
 
-@query("SRC02", with_(shots_sql()) + "SELECT sid, count(*) AS shots, count(*) FILTER (outcome = 'made') AS made, max(end_time_sec) AS last_end FROM shots GROUP BY sid")
+@query("SRC02", REPORT_SQL + """SELECT rp.sid, n_shots AS shots, rp.made, last_end, quantity, with_tax, round(100.0::DOUBLE * made / nullif(made + missed, 0), 1) AS shooting_percentage, CASE WHEN ok THEN pk END AS priority_key, len([1, 2, 3, 4])::INTEGER AS metrics FROM rp JOIN j4 USING (sid)""")
 def read_sessions(spark, sf):
-    path = scratch_folder(spark, "sessions")
-    entry = F.struct(c("l_linenumber").cast("long").alias("shot_index"), "outcome", F.lit(0.5).alias("outcome_confidence"), "start_time_sec", "end_time_sec")
-    month = F.trunc("l_shipdate", "month").alias("month")  # keeps every record small
-    shots(spark, sf).groupBy("sid", month).agg(F.collect_list(entry).alias("shots")).drop("month").write.json(path)
-    back = readers.read_sessions(spark, path).select("sid", F.explode("shots").alias("s"))
-    return back.groupBy("sid").agg(F.count(F.lit(1)).alias("shots"), F.count_if(c("s.outcome") == "made").alias("made"), F.max("s.end_time_sec").alias("last_end"))
+    """Reports read back as typed sessions and attempts."""
+    heads, attempts = written_report(spark, sf)
+    per = attempts.groupBy("sid").agg(
+        F.count(F.lit(1)).alias("shots"), F.max("end_time_sec").alias("last_end"), F.round(F.sum("mechanics.quantity"), 4).alias("quantity"), F.count("trajectory.tax_root").alias("with_tax")
+    )
+    told = heads.select("sid", c("summary.made").alias("made"), c("summary.shooting_percentage").alias("shooting_percentage"), c("coaching.priority_key").alias("priority_key"), F.size("consistency").alias("metrics"))
+    return per.join(told, "sid")
 
 
 def manifest(spark, sf):

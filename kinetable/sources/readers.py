@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.scores import SOURCES
 from kinetable.operators.curation import normalize_split
+from kinetable.operators.mechanics import FIELDS
 
 c = F.col
 
@@ -47,6 +48,46 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SESSION_SCHEMA).json(path)
 
 
+METRIC = "metric_pos: INT, metric_key: STRING, label: STRING, unit: STRING"
+METRICS = {
+    "consistency": "n: BIGINT, mean_value: DOUBLE, std_dev: DOUBLE, coefficient_of_variation: DOUBLE, sufficient_sample: BOOLEAN",
+    "makes_vs_misses": "made_n: BIGINT, missed_n: BIGINT, made_mean: DOUBLE, missed_mean: DOUBLE, made_std: DOUBLE, missed_std: DOUBLE, difference: DOUBLE, effect_size: DOUBLE, "
+    "effect_label: STRING, sufficient_sample: BOOLEAN, p_value: DOUBLE",
+    "trends": "early_mean: DOUBLE, late_mean: DOUBLE, change: DOUBLE, early_n: BIGINT, late_n: BIGINT, early_shooting_pct: DOUBLE, late_shooting_pct: DOUBLE, "
+    "early_n_classified: BIGINT, late_n_classified: BIGINT",
+}
+SUMMARY = (
+    "total_shots_detected: BIGINT, made: BIGINT, missed: BIGINT, unknown: BIGINT, excluded: BIGINT, shooting_percentage: DOUBLE, session_duration_sec: DOUBLE, mean_pose_quality: DOUBLE, "
+    "mean_ball_track_quality: DOUBLE, hoop_confidence: DOUBLE, strongest_consistency_label: STRING, biggest_differentiator_label: STRING, warnings: ARRAY<STRING>"
+)
+COACHING = (
+    "eligible: BOOLEAN, strength_key: STRING, priority_key: STRING, priority_source: STRING, priority_confidence: STRING, priority_evidence: STRING, makes_vs_misses_reason: STRING, "
+    "consistency_reason: STRING, confidence: STRING, data_quality_notes: ARRAY<STRING>, coach_note_code: STRING"
+)
+#: The session's part of a report, as the session pipeline makes it.
+REPORT_SESSION = (
+    "target: STRUCT<hoop_x: DOUBLE, hoop_y: DOUBLE, hoop_r: DOUBLE, hoop_conf: DOUBLE, votes: BIGINT, method: STRING>, "
+    f"summary: STRUCT<{SUMMARY}>, coaching: STRUCT<{COACHING}>, "
+    + ", ".join(f"{n}: ARRAY<STRUCT<{METRIC}, {fields}>>" for n, fields in METRICS.items())
+    + ", findings: ARRAY<STRUCT<ord: INT, finding: STRING, evidence: STRING, confidence: STRING>>, warnings: ARRAY<STRING>"
+)
+#: An attempt's part.
+REPORT_SHOT = (
+    "shot_index: BIGINT, start_frame: BIGINT, end_frame: BIGINT, release_frame: BIGINT, start_time_sec: DOUBLE, release_time_sec: DOUBLE, end_time_sec: DOUBLE, outcome: STRING, outcome_confidence: DOUBLE, "
+    "outcome_reason: STRING, release_confidence: DOUBLE, pose_quality: DOUBLE, ball_track_quality: DOUBLE, hoop_confidence: DOUBLE, shooting_side: STRING, "
+    f"mechanics: STRUCT<{', '.join(f'{n}: DOUBLE' for n in FIELDS)}>, "
+    "trajectory: STRUCT<num_detected_points: BIGINT, num_interpolated_points: BIGINT, num_predicted_points: BIGINT, quality: DOUBLE, straightness_ratio: DOUBLE, apex_height_norm: DOUBLE>, "
+    "excluded_from_analysis: BOOLEAN, exclusion_reason: STRING, warnings: ARRAY<STRING>, overall_confidence_level: STRING"
+)
+
+
+def read_session_report(spark: SparkSession, path: str, keys: str = "sid BIGINT", session: str = REPORT_SESSION, shot: str = REPORT_SHOT) -> tuple[DataFrame, DataFrame]:
+    """Sessions and attempts of a report's JSON lines, all fields typed; only the asked kind's lines and fields are kept."""
+    rows = spark.read.schema(f"{keys}, line_no BIGINT, kind STRING, session STRUCT<{session}>, shot STRUCT<{shot}>").json(path)
+    names = rows.columns[: rows.columns.index("line_no")]
+    return tuple(rows.filter(c("kind") == kind).select(*names, f"{kind}.*") for kind in ("session", "shot"))
+
+
 def parse_sessions(df: DataFrame, column: str) -> DataFrame:
     """Same from a JSON text column."""
     return df.withColumn(column, F.from_json(column, SESSION_SCHEMA))

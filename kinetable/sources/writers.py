@@ -54,6 +54,26 @@ def to_report_json(shots: DataFrame, series: Series, fields: Sequence[str]) -> D
     return head_lines.unionByName(placed.select(*series.keys, c("_pos").cast("long").alias("line_no"), told("shot", entry.alias("shot"))))
 
 
+def report_rows(report: DataFrame, shots: DataFrame, keys: Sequence[str] = ("sid",)) -> DataFrame:
+    """A whole session report as rows: line 0 is the session (target, summary, metric tables, findings, coaching,
+    warnings), and each attempt is a line of its own, with all its fields and the overall level.
+
+    Attempts without a session get none; every line has the same shape, so a session of any length stays in parts.
+    """
+    k = list(keys)
+    level = overall_level(c("release_confidence"), c("pose_quality"), c("ball_track_quality")).alias("overall_confidence_level")
+    session = F.struct(*[n for n in report.columns if n not in k])
+    shot = F.struct(*[n for n in shots.columns if n not in k], level)
+    heads = report.select(*k, F.lit(0).cast("long").alias("line_no"), F.lit("session").alias("kind"), session.alias("session"))
+    lines = shots.select(*k, c("shot_index").cast("long").alias("line_no"), F.lit("shot").alias("kind"), shot.alias("shot"))
+    return heads.unionByName(lines, allowMissingColumns=True)
+
+
+def write_session_report(report: DataFrame, shots: DataFrame, path: str, keys: Sequence[str] = ("sid",), mode: str = "errorifexists") -> None:
+    """The rows of ``report_rows`` as JSON lines, checked for non-finite numbers."""
+    assert_finite(report_rows(report, shots, keys)).write.mode(mode).json(path)
+
+
 def _double_leaves(schema: T.StructType, prefix: str = "") -> list[str]:
     out = []
     for f in schema.fields:

@@ -3,6 +3,7 @@
 import pytest
 
 from kinetable.plans import session_pipeline as sp
+from kinetable.sources import readers, writers
 
 W, H, FPS = 640, 360, 30.0
 HOOP = (500.0, 80.0, 18.0)
@@ -70,7 +71,7 @@ def inputs(spark, drop=(), people=False):
     )
 
 
-def test_planted_attempts_reach_the_report(spark):
+def test_planted_attempts_reach_the_report(spark, tmp_path):
     given = inputs(spark, people=True)
     out = sp.run_sessions(given)
     shots = {(r["sid"], r["shot_index"]): r for r in out.shots.collect()}
@@ -92,6 +93,14 @@ def test_planted_attempts_reach_the_report(spark):
     s = report["s"]
     assert s["summary"]["total_shots_detected"] == 2 and s["summary"]["shooting_percentage"] == 50.0 and s["target"]["votes"] == 8
     assert [m["metric_pos"] for m in s["consistency"]] == list(range(13)) == [m["metric_pos"] for m in s["makes_vs_misses"]]
+    # the written report reads back as it was
+    path = str(tmp_path / "report")
+    whole = sp.session_report(out, given.frames)
+    writers.write_session_report(whole, out.shots, path)
+    heads, lines = readers.read_session_report(spark, path, "sid STRING")
+    rows = lambda df: sorted((r.asDict(True) for r in df.collect()), key=lambda r: (r["sid"], r.get("shot_index", 0)))
+    assert rows(heads) == rows(whole)
+    assert [{k: v for k, v in r.items() if k != "overall_confidence_level"} for r in rows(lines)] == rows(out.shots)
     assert s["trends"] == [] and s["findings"] and s["coaching"]["eligible"] is not None
 
 
