@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags.  Each block is described by its word count and link
-density, those of its neighbours, its text density and the kind of element it stands in; a decision
-tree, grown from the small labelled table ``EXAMPLES``, keeps or drops it.  Scripts, styles,
-comments and markup never become text.  Null or empty html gives an empty text; every row gives one
-result row, repeated ones too.
+density, those of its neighbours and the kind of element it stands in; a decision
+tree, grown from the small labelled table ``EXAMPLES``, keeps or drops it.  An element's name is a hint
+by whole words only, and a weak one where the word merely begins a longer name: then words and links decide.
+Scripts, styles, comments and markup never become text.  Elements whose end may be left out end where the next one
+starts, and ends without a start are skipped, so pages of any depth take linear time.  Null or empty html gives an empty
+text; every row gives one result row, repeated ones too.
 """
 
 from __future__ import annotations
@@ -38,13 +40,18 @@ INLINE = frozenset(
 BOILER_TAGS = frozenset("nav header footer aside form button dialog menu fieldset figcaption head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar alertdialog".split())
 BODY_TAGS = frozenset("article main".split())
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|foot\w*|sidebar\w*|side|aside|ads?|adv\w*|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|notice\w*|gdpr|popup\w*|modal\w*|"
-    r"comment\w*|reply|replies|respond|disqus\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|breadcrumb\w*|pagination|pager|subscribe\w*|newsletter\w*|signup|login|"
-    r"toolbar|widget\w*|tags?|masthead|topbar|header\w*|skip\w*|copyright\w*|legal|disclaimer\w*|alert\w*|search\w*|form\w*|toc)(?=$|[\s_-])",
-    re.I,
+# Fixed words: parts of class names and ids that mark menus, notices, adverts, forms and comments.
+BOILER_WORDS = frozenset(
+    "nav navbar navigation menu menus footer foot sidebar side aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promos promotion cookie cookies consent "
+    "notice notices gdpr popup modal comment comments reply replies respond disqus related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager subscribe "
+    "newsletter signup login toolbar widget widgets tag tags masthead topbar header skip copyright legal disclaimer alert alerts search form toc".split()
 )
 BODY_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|body|main|text)(?=$|[\s_-])", re.I)
+#: Elements that end where one of these starts beside them; a paragraph ends at any block.
+ENDED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
+}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -54,10 +61,21 @@ class Block:
     words: int
     linked: int
     tag: str
-    boiler: int  # enclosing menus, footers, forms, adverts, ...
+    boiler: int  # stands in a menu, footer, form, advert, ...: 2; in an element whose name only begins like one: 1
     body: int  # stands in an article or main element
 
 
+def name_hint(names: str) -> int:
+    """2 if a class or id is, or ends with, a boilerplate word; 1 if a word only begins or stands within a longer name."""
+    hint = 0
+    for name in names.lower().split():
+        parts = re.split(r"[-_]+|(?<=[a-z])(?=\d)", name.strip("-_"))
+        if parts[-1] in BOILER_WORDS:
+            return 2
+        hint = max(hint, int(not BOILER_WORDS.isdisjoint(parts)))
+    return hint
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
@@ -66,6 +84,12 @@ def blocks(page: str) -> list[Block]:
     words = linked = at = 0
     state = (0, 0, 0)
     owner = "body"
+    opened: dict[str, int] = {}
+
+    def pop() -> tuple[int, int, int]:
+        tag, *before = stack.pop()
+        opened[tag] -= 1
+        return tuple(before)
 
     def flush():
         nonlocal words, linked
@@ -109,6 +133,8 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if not closing:
+            while stack and tag != "a" and (stack[-1][0] == "p" or tag in ENDED_BY.get(stack[-1][0], ())):
+                state = pop()
             boiler, body, link = state
             if tag == "a":
                 link = 1
@@ -118,25 +144,25 @@ def blocks(page: str) -> list[Block]:
                 role = named.get("role", "").lower()
                 hidden = "hidden" in named or named.get("aria-hidden") == "true" or HIDDEN.search(named.get("style", "")) is not None
                 plain_header = tag == "header" and body  # a header inside the article holds its title
-                if (tag in BOILER_TAGS and not plain_header) or role in BOILER_ROLES or hidden or BOILER_NAMES.search(names):
-                    if tag not in ("html", "body", "article", "main"):
-                        boiler += 1
+                hint = 2 if (tag in BOILER_TAGS and not plain_header) or role in BOILER_ROLES or hidden else name_hint(names)
+                if hint and tag not in ("html", "body", "article", "main"):
+                    boiler = max(boiler, hint)
                 elif tag in BODY_TAGS or role == "main" or named.get("itemprop") == "articleBody" or BODY_NAMES.search(names):
                     body = 1
                 owner = tag
-            if not (tag == "p" and attributes == "" and stack and stack[-1][0] == "p"):
-                stack.append((tag, *state))
-            if len(stack) > 20_000:  # tags that are never closed: states below can't matter any more
-                del stack[:10_000]
+            stack.append((tag, *state))
+            opened[tag] = opened.get(tag, 0) + 1
             state = (boiler, body, link)
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    state = stack[k][1:]
-                    del stack[k:]
-                    break
-                if tag in ("a", "p") and stack[k][0] != "a" and stack[k][0] != "p":
-                    break  # an inline or paragraph end without its start closes nothing outside
+        elif opened.get(tag):
+            if tag in ("a", "p"):  # these close nothing but each other
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] in ("a", "p") and stack[k][0] != tag:
+                    k -= 1
+                n = len(stack) - k if k >= 0 and stack[k][0] == tag else 0
+            else:
+                n = next(i for i, e in enumerate(reversed(stack), 1) if e[0] == tag)
+            for _ in range(n):
+                state = pop()
             owner = stack[-1][0] if stack else "body"
     if at < len(page):
         add(page[at:])
@@ -152,41 +178,54 @@ def features(found: list[Block], page_has_body: bool) -> np.ndarray:
     n = len(found)
     words = np.array([0, *(b.words for b in found), 0], float)
     links = np.array([0, *(b.linked / max(b.words, 1) for b in found), 0], float)
-    own = np.array([[b.boiler > 0, b.body, page_has_body, b.tag in HEADINGS] for b in found], float).reshape(n, 4)
+    own = np.array([[b.boiler, b.body, page_has_body, b.tag in HEADINGS] for b in found], float).reshape(n, 4)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own])
 
 
-# Labelled blocks: words, link density, previous words, previous density, next words, next density,
-# in a menu/footer/form/advert/comment element, in an article element, page has one, heading; label.
+# Labelled blocks: words, link density, previous words, previous density, next words, next density, in a menu/footer/
+# form/advert/comment element (2; 1: its name only begins like one), in an article element, page has one, heading; label.
 EXAMPLES = np.array([
-    [1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0], [1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0], [2, 1.0, 1, 1.0, 7, 0.0, 1, 0, 1, 0, 0],
-    [7, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0], [30, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0], [9, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0],
+    [1, 1.0, 0, 0.0, 1, 1.0, 2, 0, 1, 0, 0], [1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 1, 0, 0], [2, 1.0, 1, 1.0, 7, 0.0, 2, 0, 1, 0, 0],
+    [7, 0.0, 1, 1.0, 9, 0.0, 2, 0, 1, 0, 0], [30, 0.0, 1, 1.0, 9, 0.0, 2, 0, 1, 0, 0], [9, 0.0, 60, 0.0, 0, 0.0, 2, 0, 1, 0, 0],
     [9, 0.0, 7, 0.0, 9, 0.0, 0, 1, 1, 1, 1], [9, 0.0, 9, 0.0, 40, 0.0, 0, 1, 1, 0, 1], [40, 0.0, 9, 0.0, 1, 0.0, 0, 1, 1, 0, 1],
     [1, 0.0, 40, 0.0, 55, 0.0, 0, 1, 1, 0, 1], [55, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 0, 1], [120, 0.1, 55, 0.0, 30, 0.0, 0, 1, 1, 0, 1],
     [3, 0.0, 80, 0.0, 9, 0.0, 0, 1, 1, 0, 1], [14, 0.5, 60, 0.0, 50, 0.0, 0, 1, 1, 0, 1], [5, 1.0, 60, 0.0, 70, 0.1, 0, 1, 1, 0, 1],
     [4, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1, 1, 1], [2, 0.0, 1, 1.0, 3, 0.0, 0, 1, 1, 1, 1], [300, 0.0, 4, 0.0, 0, 0.0, 0, 1, 1, 0, 1],
-    [20, 0.0, 80, 0.0, 25, 0.0, 1, 1, 1, 0, 0], [60, 0.0, 80, 0.0, 40, 0.0, 1, 1, 1, 0, 0], [5, 1.0, 4, 1.0, 6, 1.0, 1, 1, 1, 0, 0],
-    [3, 0.0, 60, 0.0, 25, 0.0, 1, 1, 1, 1, 0], [12, 0.3, 5, 0.0, 0, 0.0, 1, 1, 1, 0, 0], [45, 0.0, 3, 0.0, 30, 0.0, 1, 0, 1, 0, 0],
+    [20, 0.0, 80, 0.0, 25, 0.0, 2, 1, 1, 0, 0], [60, 0.0, 80, 0.0, 40, 0.0, 2, 1, 1, 0, 0], [5, 1.0, 4, 1.0, 6, 1.0, 2, 1, 1, 0, 0],
+    [3, 0.0, 60, 0.0, 25, 0.0, 2, 1, 1, 1, 0], [12, 0.3, 5, 0.0, 0, 0.0, 2, 1, 1, 0, 0], [45, 0.0, 3, 0.0, 30, 0.0, 2, 0, 1, 0, 0],
     [8, 0.0, 30, 0.0, 5, 1.0, 0, 0, 1, 0, 0], [25, 0.2, 3, 0.0, 9, 0.0, 0, 0, 1, 0, 0], [40, 0.0, 2, 1.0, 6, 0.0, 0, 0, 1, 0, 0],
     [4, 0.0, 1, 1.0, 10, 0.0, 0, 0, 1, 1, 0], [2, 1.0, 2, 1.0, 40, 0.0, 0, 0, 1, 0, 0], [6, 0.0, 80, 0.0, 1, 1.0, 0, 0, 1, 0, 0],
     [45, 0.0, 10, 0.0, 60, 0.0, 0, 0, 0, 0, 1], [60, 0.1, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 1], [22, 0.0, 60, 0.1, 35, 0.0, 0, 0, 0, 0, 1],
     [150, 0.0, 3, 0.0, 4, 1.0, 0, 0, 0, 0, 1], [17, 0.0, 90, 0.0, 70, 0.0, 0, 0, 0, 0, 1], [6, 0.0, 3, 1.0, 70, 0.0, 0, 0, 0, 1, 1],
     [3, 0.0, 80, 0.0, 50, 0.0, 0, 0, 0, 1, 1], [9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1], [2, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 1],
-    [19, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1], [35, 0.1, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 1], [14, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1], [25, 0.0, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 1],
-    [1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0], [3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0], [2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0],
-    [20, 0.9, 60, 0.0, 5, 1.0, 0, 0, 0, 0, 0], [12, 0.8, 2, 1.0, 9, 1.0, 0, 0, 0, 0, 0], [2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0],
-    [3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0], [5, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0], [30, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0],
-    [60, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 0, 0], [15, 0.2, 6, 0.0, 3, 1.0, 1, 0, 0, 0, 0], [4, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1, 0],
+    [19, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1], [35, 0.1, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 1], [14, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1],
+    [25, 0.0, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 1], [1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0], [3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0],
+    [2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0], [20, 0.9, 60, 0.0, 5, 1.0, 0, 0, 0, 0, 0], [12, 0.8, 2, 1.0, 9, 1.0, 0, 0, 0, 0, 0],
+    [2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0], [3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0], [5, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0],
+    [30, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0], [60, 0.0, 20, 0.0, 30, 0.0, 2, 0, 0, 0, 0], [15, 0.2, 6, 0.0, 3, 1.0, 2, 0, 0, 0, 0],
+    [4, 0.0, 60, 0.0, 0, 0.0, 2, 0, 0, 1, 0], [2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 1, 0, 0], [2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0, 0],
+    [2, 1.0, 2, 1.0, 60, 0.0, 0, 1, 1, 0, 0], [6, 1.0, 80, 0.0, 5, 1.0, 0, 1, 1, 0, 0], [4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 1, 0, 0],
+    [7, 1.0, 4, 1.0, 0, 0.0, 0, 1, 1, 0, 0], [1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0, 0], [3, 1.0, 3, 0.9, 4, 1.0, 0, 1, 1, 0, 0],
+    [6, 1.0, 50, 0.0, 40, 0.0, 0, 1, 1, 0, 1], [3, 1.0, 90, 0.1, 60, 0.0, 0, 1, 1, 0, 1], [9, 1.0, 20, 0.0, 15, 0.2, 0, 1, 1, 0, 1],
+    [12, 1.0, 30, 0.0, 0, 0.0, 0, 1, 1, 0, 1], [4, 1.0, 25, 0.1, 30, 0.1, 0, 1, 1, 1, 1], [60, 0.0, 0, 0.0, 0, 0.0, 1, 1, 1, 0, 1],
+    [45, 0.1, 12, 0.0, 60, 0.0, 1, 1, 1, 0, 1], [90, 0.0, 6, 0.0, 3, 0.0, 1, 1, 1, 0, 1], [30, 0.0, 60, 0.0, 40, 0.1, 1, 1, 1, 0, 1],
+    [25, 0.0, 40, 0.0, 9, 0.0, 1, 1, 1, 0, 1], [150, 0.2, 30, 0.0, 0, 0.0, 1, 1, 1, 0, 1], [3, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1, 0, 0],
+    [6, 0.0, 2, 1.0, 4, 0.0, 1, 1, 1, 0, 0], [8, 0.3, 30, 0.0, 60, 0.0, 1, 1, 1, 0, 0], [2, 1.0, 2, 1.0, 3, 1.0, 1, 1, 1, 0, 0],
+    [15, 0.8, 4, 1.0, 6, 1.0, 1, 1, 1, 0, 0], [10, 0.0, 5, 0.0, 60, 0.0, 1, 1, 1, 0, 0], [60, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 0, 1],
+    [45, 0.1, 80, 0.0, 6, 0.0, 1, 0, 0, 0, 1], [8, 0.0, 60, 0.0, 40, 0.0, 1, 0, 0, 0, 0], [4, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0, 0, 0],
+    [12, 0.5, 2, 1.0, 30, 0.0, 1, 0, 0, 0, 0], [50, 0.0, 3, 1.0, 9, 0.0, 1, 0, 1, 0, 0], [9, 0.0, 4, 0.0, 2, 1.0, 1, 0, 1, 0, 0],
+    [30, 0.0, 2, 1.0, 8, 0.0, 1, 0, 1, 0, 0],
 ])
 
 
 def training_table() -> np.ndarray:
-    """``EXAMPLES``, and those whose surroundings settle the label also beside other neighbours."""
-    settled = EXAMPLES[(EXAMPLES[:, 6] == 1) | (EXAMPLES[:, 8] == 1)]
+    """``EXAMPLES``, and text that its element settles, beside other neighbours too: neither a menu's nor an article's
+    prose depends on what stands next to it.  Links and elements with odd names stay as they are labelled."""
+    plain = (EXAMPLES[:, 6] == 2) | ((EXAMPLES[:, 6] == 0) & (EXAMPLES[:, 8] == 1) & (EXAMPLES[:, 1] < 0.8))
     rows = [EXAMPLES]
     for before, after in ((0, 0), (3, 60), (60, 3), (60, 60), (9, 9)):
         for density in (0.0, 1.0):
-            other = settled.copy()
+            other = EXAMPLES[plain]
             other[:, 2:6] = before, density, after, density
             rows.append(other)
     return np.concatenate(rows)
@@ -212,7 +251,7 @@ class Tree:
         return out
 
 
-def grow(table: np.ndarray | None = None, depth: int = 6) -> Tree:
+def grow(table: np.ndarray | None = None, depth: int = 9) -> Tree:
     """CART by Gini impurity; ties take the first feature and the lowest threshold."""
     table = training_table() if table is None else table
     x, y = table[:, :-1], table[:, -1]
@@ -243,6 +282,25 @@ def grow(table: np.ndarray | None = None, depth: int = 6) -> Tree:
     return tree
 
 
+#: Features of the text itself and of its neighbours.
+TEXT_FEATURES = frozenset(range(6))
+
+
+def decided_by_text(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Whether the way to a row's verdict asks for words or links, its own or its neighbours'."""
+    out = np.zeros(len(x), bool)
+    todo = [(0, np.arange(len(x)), False)]
+    while todo:
+        node, rows, asked = todo.pop()
+        f = tree.feature[node]
+        if f < 0:
+            out[rows] = asked
+        elif len(rows):
+            right = x[rows, f] > tree.threshold[node]
+            todo += [(tree.children[node][k], rows[right == k], asked or f in TEXT_FEATURES) for k in (0, 1)]
+    return out
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
     if not found:
