@@ -50,18 +50,18 @@ DENSE = 1024
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (as a signed long) of every row; null text counts as empty."""
+    """``doc_id, fp`` (as a signed long) and a text hash ``th`` of every row; null text counts as empty."""
 
     def run(cols):
         found = np.array([fingerprint(t) for t in cols["text"]], np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": found.view(np.int64)}
+        return {"doc_id": cols["doc_id"], "fp": found.view(np.int64), "th": cols["th"]}
 
-    rows = ids_and_text(docs, id_col, text_col)
-    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = ids_and_text(docs, id_col, text_col).withColumn("th", _text_hash())
+    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint, th bigint")
 
 
-def _segment(k: int) -> Column:
-    start, width, _ = SEGMENTS[k]
+def _segment(k: int, segments: tuple = SEGMENTS) -> Column:
+    start, width, _ = segments[k]
     return F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))
 
 
@@ -71,16 +71,16 @@ def _masks(width: int, radius: int) -> Column:
     return F.array(*[F.lit(w).cast("long") for w in words])
 
 
-def _stored(fps: DataFrame) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(k).alias("segment"), _segment(k).alias("word")) for k in range(len(SEGMENTS))])
+def _stored(fps: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
+    keys = F.array(*[F.struct(F.lit(k).alias("segment"), _segment(k, segments).alias("word")) for k in range(len(segments))])
     return fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.*")
 
 
-def _probes(fps: DataFrame) -> DataFrame:
+def _probes(fps: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
     """Every stored key within the segment's radius of a fingerprint."""
     parts = []
-    for k, (_, width, radius) in enumerate(SEGMENTS):
-        mask = fps.select("fp", _segment(k).alias("own"), F.explode(_masks(width, radius)).alias("mask"))
+    for k, (_, width, radius) in enumerate(segments):
+        mask = fps.select("fp", _segment(k, segments).alias("own"), F.explode(_masks(width, radius)).alias("mask"))
         parts.append(mask.select("fp", F.lit(k).alias("segment"), c("own").bitwiseXOR(c("mask")).alias("word")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -123,26 +123,38 @@ def _meeting(members: DataFrame, radius: int) -> DataFrame:
     return met.join(hubs, "word").filter("fp <> v").select(c("fp").alias("u"), "v")
 
 
+def _text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(c(text_col), F.lit("")))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, fp, th`` (a text hash), and of each fingerprint its component's ``root`` and ``component_id``."""
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), dense=dense))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    return rows, written(placed.join(names, "root").select(c("fp").alias("_kt_fp"), "root", "component_id"), "classes")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """``doc_id, fp, component_id`` of every row, with the smallest id that links reach.
 
     Equal fingerprints are one node.  Null ids are kept as rows; they name a component only if it
     has no other id (then null).  An empty table gives no rows.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), dense=dense))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(placed.join(names, "root").select(c("fp").alias("_kt_fp"), "component_id"), "classes")
+    rows, named = _placed(docs, id_col, text_col, dense)
     return rows.join(named, c("fp") == c("_kt_fp")).select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group stays, repeated rows of it once.
+    """One document of each group stays: the one whose id names it, repeated rows of it once.
 
+    Rows of one id with different texts are documents of their own, in groups of their own unless they are alike.
     Documents without an id stay, since nothing tells which of them to keep.
     """
-    named = classes(docs).filter(c("doc_id") == c("component_id")).select(c("doc_id").alias("_kt_id")).distinct()
-    kept = docs.join(named, c("doc_id") == c("_kt_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    rows, named = _placed(docs, "doc_id", "text", DENSE)
+    own = rows.join(named, (c("fp") == c("_kt_fp")) & (c("doc_id") == c("component_id")))
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "th")).alias("_r")).select(c("_r.doc_id").alias("_kt_id"), c("_r.th").alias("_kt_th"))
+    kept = docs.withColumn("_kt_text", _text_hash()).join(first, (c("doc_id") == c("_kt_id")) & (c("_kt_text") == c("_kt_th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_kt_text"]).drop("_kt_text").unionByName(docs.filter("doc_id IS NULL"))
