@@ -6,6 +6,9 @@ Euclidean distance is a lower bound of the true distance, and with the heights a
 computed once and kept in a table; in each round the bounds rule out centroids, and those that are left are compared by
 exact integer distances.  Rounds read one table and send sums to the driver, never vectors.
 
+The nearer centroids lie to the pivots' span, the closer the two bounds.  So the pivots are places that centroids pass
+through when a bounded sample is clustered; they steer what is compared exactly, never the result.
+
 Defined cases: only vectors with ``dim`` components, none null or non-finite, are kept; others give no row.  Rows with
 a null id take part and return it; their hash is that of ``3:``.  Rows of equal hash (repeated ids) start in the order
 of their components.  Fewer than ``k`` kept vectors start fewer centroids; none give no rows.  Integers are exact at any
@@ -28,8 +31,8 @@ from kinetable.llm.common import written
 c = F.col
 
 DIM, SCALE, K, ROUNDS, SEED = 64, 1024, 8, 10, 3
-#: At most so many pivots, chosen from so many rows with the smallest hashes.
-PIVOTS, POOL = 12, 64
+#: At most so many pivots, from the clustering of so many rows with the smallest hashes.
+PIVOTS, SAMPLE = 32, 8192
 #: Below this magnitude squared distances of 64 components fit 64-bit integers.
 SMALL = 1 << 27
 LONG_MAX = (1 << 63) - 1
@@ -88,8 +91,20 @@ class Simplex:
         return np.column_stack([flat, height])
 
 
+def passed_through(sample: np.ndarray, k: int, rounds: int) -> list[list[int]]:
+    """Where the centroids of a sample lie: at the end, at the start, and after each round."""
+    centres = [sample[i].tolist() for i in range(min(k, len(sample)))]
+    path = [centres]
+    for _ in range(rounds if sample.dtype != object else 0):
+        d = np.stack([exact_distance(sample, np.array(p)) for p in centres], axis=1)
+        own = d.argmin(axis=1)
+        centres = [[t // int((own == j).sum()) for t in sample[own == j].sum(axis=0).tolist()] if (own == j).any() else p for j, p in enumerate(centres)]
+        path.append(centres)
+    return [p for now in (path[-1], *path[:-1]) for p in now]
+
+
 def choose_pivots(pool: list[list[int]], most: int = PIVOTS) -> list[list[int]]:
-    """Vectors that stand high above the span of those chosen before; flat ones would spoil the arithmetic."""
+    """Places that stand high above the span of those chosen before; flat ones would spoil the arithmetic."""
     if not pool or max(abs(v) for p in pool for v in p) >= SMALL:
         return pool[:1]
     x = np.array(pool, float)
@@ -98,7 +113,7 @@ def choose_pivots(pool: list[list[int]], most: int = PIVOTS) -> list[list[int]]:
         height = np.sqrt((left**2).sum(axis=1))
         at = int(height.argmax())
         longest = height[at] if longest is None else longest
-        if height[at] <= longest * 0.05 or height[at] == 0:
+        if height[at] <= longest * 0.01 or height[at] == 0:
             break
         chosen.append(at)
         axis = left[at] / height[at]
@@ -230,13 +245,15 @@ def _assigned(placed: DataFrame, centres: list[list[int]], base: Simplex, dim: i
 
 def fit(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = DIM) -> tuple[DataFrame, list[list[int]], list[float]]:
     """``vec_id, cluster, distance`` of every kept vector, the final centroids, and by round the share of centroid
-    comparisons that took an exact distance.  On the driver are ``k`` centroids and ``POOL`` rows."""
+    comparisons that took an exact distance.  On the driver are ``k`` centroids and ``SAMPLE`` rows."""
     rows = kept(vectors, id_col, vector_col, dim)
     hashed = rows.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(c("vec_id").cast("string"), F.lit(""))), 256))
-    pool = [whole_numbers(np.array([r["x"]])).ravel().tolist() for r in hashed.orderBy("h", "x").select("x").limit(max(POOL, k)).collect()]
-    if not pool:
+    first = hashed.orderBy("h", "x").select("x").limit(max(SAMPLE, k)).collect()
+    if not first:
         return rows.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("bigint").alias("distance")), [], []
-    centres, base = pool[:k], Simplex(choose_pivots(pool))
+    sample = whole_numbers(np.array([r["x"] for r in first]))
+    centres = sample[:k].tolist()
+    base = Simplex(choose_pivots(passed_through(sample, k, rounds)))
     placed = written(_placed(rows, base, dim), "apexes")
     shares: list[float] = []
     for _ in range(rounds):
@@ -259,3 +276,22 @@ def report(vectors: DataFrame, **settings) -> DataFrame:
     rows = [(j, min(int(sums.get(j) or 0), LONG_MAX), min(int(sum(sums.values())), LONG_MAX), hashlib.sha256(",".join(map(str, p)).encode()).hexdigest()) for j, p in enumerate(centres)]
     figures = vectors.sparkSession.createDataFrame(rows, "_cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return assigned.join(F.broadcast(figures), c("cluster") == c("_cluster")).drop("_cluster")
+
+
+def oracle_sql(k: int = K, rounds: int = ROUNDS, seed: int = SEED, dim: int = DIM) -> str:
+    """The contract as plain integer arithmetic, every distance taken; exact while squares fit 64 bits."""
+    far = "list_sum(list_transform(list_zip(v, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS j, v AS p FROM kept QUALIFY j < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT rid, vec_id, v, j, {far} AS d FROM kept, c{r}) GROUP BY rid)")
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m.p, c.p) AS p FROM c{r} c LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM
+ (SELECT j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY j, i) GROUP BY j) m USING (j))"""
+            )
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} USING (j)"""

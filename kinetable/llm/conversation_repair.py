@@ -448,3 +448,42 @@ def report(conversations: DataFrame, change=damaged, block_rows: int = BLOCK_ROW
     found, turns = repair(change(conversations.select("conv_id", "turn", "role", "text")), block_rows, block_bytes)
     hashes = digests(turns).withColumnRenamed("conv_id", "_conv")
     return found.join(hashes, c("conv_id").eqNullSafe(c("_conv"))).drop("_conv")
+
+
+# ------------------------------------------------------------------------------------ SQL
+
+
+def oracle_sql() -> str:
+    """The contract as a recursion over suffixes of each conversation: best edits from every grammar state, rows last to first."""
+    def then(cost: str, mark: str, said: str, state: str) -> str:
+        return f"{{'c': {cost} + {state}.c, 'a': '{mark}' || {state}.a, 'o': list_concat({said}, {state}.o)}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda v: v IS NOT NULL))[1]"
+
+    def stays(x: str, state: str) -> str:
+        keep, change = then("late", "K", "[role || ':' || txt]", state), then("1 + late", "R", f"['{NAMES[x]}:' || txt]", state)
+        return f"CASE WHEN stays THEN CASE WHEN x = '{x}' THEN {keep} ELSE {change} END END"
+
+    gone = lambda s: then("2", "D", "[]::VARCHAR[]", s)
+    add = lambda x, s: then("5", "I", f"['{NAMES[x]}:']", s)
+    system = f"CASE WHEN stays AND x = 's' THEN {then('late', 'K', '''[role || ':' || txt]''', 's1')} END"
+    rows = {"b0": least(gone("s0"), system, stays("u", "s2")), "b1": least(gone("s1"), stays("u", "s2")), "b2": least(gone("s2"), stays("a", "s3")), "b3": least(gone("s3"), stays("u", "s2"))}
+    both = "{'c': 10 + b3.c, 'a': 'II' || b3.a, 'o': list_concat(['user:', 'assistant:'], b3.o)}"
+    states = {"s0": least("b0", add("u", "b2"), both), "s1": least("b1", add("u", "b2"), both), "s2": least("b2", add("a", "b3")), "s3": least("b3", add("u", "b2"))}
+    kind = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+    ends = {"s0": "{'c': 0, 'a': '', 'o': []}", "s1": "{'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']}", "s2": "{'c': 5, 'a': 'I', 'o': ['assistant:']}", "s3": "{'c': 0, 'a': '', 'o': []}"}
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE tab AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda h: ascii(h)::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS kind FROM conversations, tab),
+rws AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS rep FROM given),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, rep) AS i, count(*) OVER (PARTITION BY conv_id) AS n, rtrim(txt, {blank}) AS fin FROM rws),
+judged AS (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'd' WHEN fin[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM ordered),
+best AS (SELECT conv_id, n + 1 AS i, {', '.join(f"{v}::{kind} AS {k}" for k, v in ends.items())} FROM (SELECT DISTINCT conv_id, n FROM ordered)
+ UNION ALL SELECT conv_id, i, {', '.join(f"{v}::{kind} AS {k}" for k, v in states.items())} FROM (SELECT conv_id, i, {', '.join(f"{v} AS {k}" for k, v in rows.items())} FROM
+  (SELECT j.conv_id, j.i, j.role, j.txt, j.x, j.fault NOT IN ('b', 'd') AS stays, CASE WHEN j.fault = 't' THEN 5 ELSE 0 END AS late, b.s0, b.s1, b.s2, b.s3 FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i - 1))),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+ count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit,
+ sha256(coalesce(array_to_string(s0.o, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1"""

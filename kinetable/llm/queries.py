@@ -73,4 +73,4 @@ QUERIES = {
     for f in (op1_simhash, op2_bpe, op3_repeats, op4_html, op5_vectors, op6_licenses, op7_quality, op8_decontamination, op9_tokens, op10_toxicity, op11_conversations, op12_clusters, op13_neighbours)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle_sql(), "op11_conversations": conversation_repair.oracle_sql(), "op12_clusters": centroids.oracle_sql()}
