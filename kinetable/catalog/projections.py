@@ -255,12 +255,17 @@ def render(spark, sf):
     return shots(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", told.alias("told"))
 
 
-@query("FN17", "SELECT event_type AS metric_key, count(*) AS n, 'Keep your ' || event_type || ' rhythm the same on every attempt.' AS cue_consistent FROM events GROUP BY event_type")
+_QUOTED = lambda v: "'" + v.replace("'", "''") + "'"
+WORDING_SQL = "wd(metric_key, " + ", ".join(text.KINDS) + ") AS (VALUES " + ", ".join("(" + ", ".join(map(_QUOTED, (k, *v))) + ")" for k, v in text.WORDING.items()) + ")"
+_KEYS = list(text.WORDING)
+
+
+@query("FN17", with_(shots_sql(), WORDING_SQL) + f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, wd.* FROM shots JOIN wd ON wd.metric_key = {[*_KEYS]}[(l_orderkey + l_linenumber) % {len(_KEYS)} + 1]""")
 def wording(spark, sf):
-    kinds = {k: (f"{k} rhythm", "higher", "lower") for k in ("view", "click", "signup", "purchase", "error")}
-    words = text.copy_table(spark, kinds).select("metric_key", "cue_consistent")
-    n = table(spark, sf, "events").groupBy(c("event_type").alias("metric_key")).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(words), "metric_key")  # five rows
+    """Every attempt with all texts of one of the thirteen metrics."""
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.pmod(c("l_orderkey") + c("l_linenumber"), F.lit(len(_KEYS))) + 1).cast("int"))
+    rows = shots(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", key.alias("metric_key"))
+    return rows.join(F.broadcast(text.copy_table(spark)), "metric_key")  # a row a metric
 
 
 @query("FN18", "SELECT o_orderkey, replace(lower(o_orderpriority), '-', ' ') AS told FROM orders")

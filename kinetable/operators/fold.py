@@ -15,9 +15,11 @@ import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinetable.operators.lineage import cut_lineage
 from kinetable.operators.ordered import BLOCK
@@ -46,9 +48,8 @@ class Fold:
         return state
 
 
-def _run(fold: Fold, pdf: pd.DataFrame, state, emit: bool):
+def _run(fold: Fold, columns: list[list], state, emit: bool):
     out = []
-    columns = [pdf[c].tolist() for c in fold.columns]
     for row in zip(*columns):
         state, produced = fold.step(state, tuple(None if v.__class__ is float and v != v else v for v in row))
         if emit and produced:
@@ -56,6 +57,14 @@ def _run(fold: Fold, pdf: pd.DataFrame, state, emit: bool):
     return state, out
 
 
+def _ordered(fold: Fold, table: pa.Table, order: Sequence[str]) -> list[list]:
+    """The fold's columns as lists, rows in order.  Integers with nulls stay integers."""
+    rank = list(zip(*[table.column(o).to_pylist() for o in order]))
+    at = sorted(range(len(rank)), key=lambda i: [(v is None, v) for v in rank[i]])
+    lists = [table.column(c).to_pylist() for c in fold.columns]
+    return [[values[i] for i in at] for values in lists]
+
+
 def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, fold: Fold) -> DataFrame:
     """Run ``fold`` over each key of ``df`` in ``order``; returns keys + ``fold.schema``."""
     keys, order = list(keys), list(order)
@@ -63,24 +72,22 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     rows = df.select(*need, block.cast("long").alias(BLOCK))
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType([*key_fields, *fold.schema.fields])
-    names = out_schema.fieldNames()
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        head = pdf.iloc[0]
-        fresh = "_in" not in pdf.columns or pd.isna(head["_in"])
-        state = fold.start() if fresh else json.loads(head["_in"])
-        state, out = _run(fold, pdf, state, True)
-        if "_last" not in pdf.columns or head["_last"]:
+    target = to_arrow_schema(out_schema)
+
+    def emit(table):
+        given = table.column("_in")[0].as_py() if "_in" in table.column_names else None
+        state, out = _run(fold, _ordered(fold, table, order), fold.start() if given is None else json.loads(given), True)
+        if "_last" not in table.column_names or table.column("_last")[0].as_py():
             out.extend(fold.finish(state))
-        key = tuple(head[k] for k in keys)
-        return pd.DataFrame([key + tuple(o) for o in out], columns=names).astype(object)
+        key = tuple(table.column(k)[0].as_py() for k in keys)
+        columns = zip(*[key + tuple(o) for o in out]) if out else [[] for _ in target]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, target)], schema=target)
 
     blocks = rows.select(*keys, BLOCK).distinct()
     by_key = Window.partitionBy(*keys).orderBy(BLOCK)
     plan = blocks.withColumn("_last", F.lead(BLOCK).over(by_key).isNull())
     if plan.filter(~F.col("_last")).isEmpty():
-        return rows.groupBy(*keys, BLOCK).applyInPandas(emit, out_schema)
+        return rows.groupBy(*keys, BLOCK).applyInArrow(emit, out_schema)
 
     plan = plan.withColumn("_first", F.lag(BLOCK).over(by_key).isNull())
     plan = cut_lineage(plan)
@@ -88,7 +95,7 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     multi = plan.join(long_keys, keys, "left_semi")
     solved = _settle(rows, multi, keys, order, fold)
     ready = plan.join(solved.select(*keys, BLOCK, "_in"), [*keys, BLOCK], "left").drop("_first")
-    return rows.join(ready, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(emit, out_schema)
+    return rows.join(ready, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInArrow(emit, out_schema)
 
 
 def _settle(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
@@ -97,21 +104,20 @@ def _settle(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str
         [*[rows.schema[c] for c in part], *[T.StructField(c, T.StringType()) for c in ("_in", "_in_token", "_out", "_out_token")]]
     )
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        head = pdf.iloc[0]
-        before = fold.start() if pd.isna(head["_in"]) else json.loads(head["_in"])
+    target = to_arrow_schema(state_schema)
+
+    def settle(table):
+        state = table.column("_in")[0].as_py()
+        before = fold.start() if state is None else json.loads(state)
         given = [json.dumps(before), json.dumps(fold.token(before))]  # steps may change the state in place
-        after, _ = _run(fold, pdf, before, False)
-        return pd.DataFrame(
-            [[*(head[c] for c in part), *given, json.dumps(after), json.dumps(fold.token(after))]],
-            columns=state_schema.fieldNames(),
-        )
+        after, _ = _run(fold, _ordered(fold, table, order), before, False)
+        row = [*(table.column(c)[0].as_py() for c in part), *given, json.dumps(after), json.dumps(fold.token(after))]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, target)], schema=target)
 
     start_token = json.dumps(fold.token(fold.start()))
     by_key = Window.partitionBy(*keys).orderBy(BLOCK)
     todo = blocks.select(*part, F.lit(None).cast("string").alias("_in"))
-    solved = cut_lineage(rows.join(todo, part).groupBy(*part).applyInPandas(settle, state_schema))
+    solved = cut_lineage(rows.join(todo, part).groupBy(*part).applyInArrow(settle, state_schema))
     # every round settles at least one more block of each key
     longest = solved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     for _ in range(longest + 1):
@@ -124,7 +130,7 @@ def _settle(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str
         redo = cut_lineage(wanted.select(*part, F.col("_want").alias("_in")))
         if redo.isEmpty():
             return solved
-        again = rows.join(redo, part).groupBy(*part).applyInPandas(settle, state_schema)
+        again = rows.join(redo, part).groupBy(*part).applyInArrow(settle, state_schema)
         solved = cut_lineage(solved.join(redo.select(*part), part, "left_anti").unionByName(again))
     raise RuntimeError("fold states did not settle; the fold is not deterministic")
 
@@ -133,7 +139,7 @@ def fold_call(fold: Fold) -> Callable[[pd.DataFrame], list]:
     """Run a whole in-memory series through a fold (used by streaming buffers and tests)."""
 
     def call(pdf: pd.DataFrame) -> list:
-        state, out = _run(fold, pdf, fold.start(), True)
+        state, out = _run(fold, [pdf[n].tolist() for n in fold.columns], fold.start(), True)
         return out + list(fold.finish(state))
 
     return call

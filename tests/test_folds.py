@@ -5,13 +5,14 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.operators import aggregates as ag
 from kinetable.operators import releases as rl
 from kinetable.operators import segment as sg
 from kinetable.operators import track as tr
 from kinetable.operators import windows as win
-from kinetable.operators.fold import fold_call, keyed_fold
+from kinetable.operators.fold import Fold, fold_call, keyed_fold
 
 LONG = "long"
 
@@ -71,6 +72,25 @@ def test_segment_in_blocks_equals_whole(spark, seed):
     assert whole.count() > 3
 
 
+class Echo(Fold):
+    columns = ("frame_index", "id")
+    schema = T.StructType([T.StructField("frame_index", T.LongType()), T.StructField("id", T.LongType())])
+
+    def start(self):
+        return 0
+
+    def step(self, state, row):
+        return state + 1, [row]
+
+
+def test_large_integers_with_nulls_stay_exact(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([("s", i, None if i % 3 == 0 else big + i) for i in range(40)], "sid string, frame_index long, id long")
+    for block in (F.lit(0), F.floor(F.col("frame_index") / 10)):
+        got = {r["frame_index"]: r["id"] for r in keyed_fold(df, ["sid"], ["frame_index"], block, Echo()).collect()}
+        assert got == {i: None if i % 3 == 0 else big + i for i in range(40)}
+
+
 def test_ema_and_cooldown(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in range(25)], "sid string, frame_index long, v double")
     got = win.ema(df, ["sid"], ["frame_index"], "v", F.floor(F.col("frame_index") / 8)).orderBy("frame_index").collect()

@@ -71,7 +71,7 @@ def test_thirds(spark):
 def test_summary_and_coaching(shots, spark):
     s = by(ss.session_summary(shots, ["sid"], METRICS), "sid")
     assert s["good"]["shooting_percentage"] == 50.0 and s["excluded"]["excluded"] == 3 and len(s["excluded"]["warnings"]) == 2
-    words = text.copy_table(spark, {"knee": ("Knee bend", "deeper", "straighter"), "pace": ("Rhythm", "slower", "quicker")})
+    words = text.copy_table(spark, {k: tuple(f"{k} {n}".replace("_", " ") for n in text.KINDS) for k in ("knee", "pace")})
     told = by(coaching(shots, ["sid"], METRICS, words), "sid")
     assert told["good"]["priority_key"] == "knee" and told["good"]["priority_source"] == "makes_vs_misses" and told["good"]["priority_confidence"] == "high"
     assert told["blurry"]["eligible"] is False and told["blurry"]["data_quality_notes"] == ["low_tracking_quality"]
