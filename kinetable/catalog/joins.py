@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.catalog.base import (
-    FRAME_SERIES, FRAMES_SQL, POSES_SQL, SIGNALS_SQL, frames, poses, query, shots, shots_sql, signals, table, with_,
+    FRAME_SERIES, FRAMES_SQL, POSES_SQL, SIGNALS_SQL, frames, poses, query, shots, signals, table, with_,
 )
 from kinetable.catalog.aggregates import COACH
 from kinetable.operators import joins as jn

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetable.operators import aggregates as ag
 from kinetable.operators import releases as rl
 from kinetable.operators import segment as sg
 from kinetable.operators import track as tr
